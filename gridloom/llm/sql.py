@@ -45,3 +45,100 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND NOT (n_lines > 0 AND n_dup_lines / n_lines > 0.3) AS kept
 FROM b
 """
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, t, regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g') AS e FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(role) + 1 + length(e) + 11) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+# 40 hexadecimal digits are eight groups of five, and each makes four base-32 digits
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS sha, max(page_id) OVER (PARTITION BY sha1(h)) AS last FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((('0x' || substr(sha, CAST(i // 4 * 5 + 1 AS INT), 5))::INT >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS w
+  FROM d GROUP BY source
+), l AS (
+  SELECT *, source_size * 2.0::DOUBLE AS top, source_size * 2.0::DOUBLE / w AS full_at,
+         (sum(source_size) OVER () * 1.5::DOUBLE
+          - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM s
+), c AS (
+  SELECT *, (SELECT level FROM l WHERE level < full_at ORDER BY full_at LIMIT 1) AS common FROM l
+), t AS (
+  SELECT source, source_size, CASE WHEN common IS NULL THEN top ELSE least(top, common * w) END AS target FROM c
+), e AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         (('0x' || substr(h, 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, floor(rate) AS whole, (u / (1 - u)) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) AS q FROM e
+), k AS (
+  SELECT *, CASE WHEN rate > whole AND size > 0 THEN CAST(floor(q / (1 + q) * 1099511627776.0::DOUBLE) AS BIGINT) END AS k,
+         target - sum(whole * size) OVER (PARTITION BY source) AS want
+  FROM q
+), m AS (
+  SELECT *, k IS NOT NULL AND sum(CASE WHEN k IS NULL THEN 0 ELSE size END)
+            OVER (PARTITION BY source ORDER BY k NULLS LAST, h ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE <= want AS more
+  FROM k
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN more THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
+FROM m
+"""
+
+# the pages link within their own host only, so trust and distrust stay where the rules
+# put them: each host's share of the allowed and of the blocked pages
+URL_SQL = r"""
+WITH u AS (
+  SELECT page_id, html, position('://' IN url) AS pos, substr(url, position('://' IN url) + 3) AS rest FROM pages
+), p AS (
+  SELECT page_id, html,
+         CASE WHEN pos > 0 THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN pos > 0 THEN regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM u
+), r(rule, h, pre, verdict) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'allow'),
+         ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), j AS (
+  SELECT p.*, (SELECT struct_pack(rule := rule, verdict := verdict) FROM r
+               WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) ORDER BY length(rule) DESC LIMIT 1) AS b
+  FROM p
+), seeds AS (
+  SELECT host, count(*) FILTER (WHERE b.verdict = 'allow') AS good, count(*) FILTER (WHERE b.verdict = 'block') AS bad FROM j WHERE b IS NOT NULL GROUP BY host
+), v AS (
+  SELECT host, bad / greatest(sum(bad) OVER (), 1) > good / greatest(sum(good) OVER (), 1) AS worse FROM seeds
+)
+SELECT page_id, j.host, path, b.rule AS rule, coalesce(b.verdict, CASE WHEN worse THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN v ON j.host = v.host
+"""
