@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, mixing, quality_rules, sql, url_filter, warc
+from gridloom.llm import chat_format, fingerprints, jaccard_join, mixing, quality_rules, sql, toxicity, url_filter, warc
 from gridloom.llm.common import load, settle
 
 
@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join(docs).select("doc_id", "class_id", "n_links")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -42,6 +47,24 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fingerprints.edited_fingerprints(docs)
+    return made.withColumns(
+        {
+            "near_edited": fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")),
+            "near_next": fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")),
+        }
+    ).drop("next_fingerprint")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held = toxicity.fold(F.col("doc_id")) == 0
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
     captures = warc.write_archives(pages)
@@ -58,8 +81,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_url_filters": op4_url_filters,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
 }
