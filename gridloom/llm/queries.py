@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, fingerprints, jaccard_join, mixing, quality_rules, sql, toxicity, url_filter, warc
+from gridloom.llm import chat_format, fingerprints, jaccard_join, mixing, quality_rules, sql, suffix_dedup, toxicity, url_filter, warc
 from gridloom.llm.common import load, settle
 
 
@@ -23,6 +23,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(docs).select("doc_id", "class_id", "n_links")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -82,6 +87,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_fingerprints": op6_fingerprints,

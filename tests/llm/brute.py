@@ -29,3 +29,20 @@ def jaccard_classes(rows, threshold=0.8):
                 r, s = root(i), root(j)
                 label[max(r, s)] = min(r, s)
     return {i: (root(i), links[i]) for i, _ in sets}
+
+
+def repeats(rows, length=100):
+    """{doc_id: (n_bytes, n_removed, n_spans, kept)} of rows of (doc_id, text), ids that differ."""
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        data = (text or "").encode()
+        drop = bytearray(len(data))
+        for p in range(len(data) - length + 1):
+            s = data[p : p + length]
+            if s in seen:
+                drop[p : p + length] = b"\1" * length
+            else:
+                seen.add(s)
+        spans = len([1 for p in range(len(data)) if drop[p] and not (p and drop[p - 1])])
+        out[i] = (len(data), sum(drop), spans, bytes(b for b, d in zip(data, drop, strict=True) if not d))
+    return out
