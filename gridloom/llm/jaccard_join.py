@@ -15,9 +15,10 @@ exactly, in blocks where a group is large, and only links of at least ``threshol
 No pair is ever a row: blocks return a row per member, with its number of links and its
 component in the block.
 
-``join`` returns one row per document: ``node`` (its set), ``class_id`` (the least doc_id
-of its component), ``n_links`` (other documents at ``threshold`` or more, copies
-included) and ``first`` (whether it is the least of its class).
+``join`` returns one row per document: ``digest`` (of its text), ``node`` (its set),
+``class_id`` (the least doc_id of its component), ``n_links`` (other documents at
+``threshold`` or more, copies included) and ``first`` (whether it has the class's least id,
+and the least digest of those).
 
 Defined results for odd input: null and wordless texts are the empty set, copies of each
 other and linked to nothing else; texts of one to four words have one shingle; a null
@@ -44,7 +45,7 @@ THRESHOLD, RECALL = 0.8, 0.999
 BINS = 128
 NEAR = 0.6
 SMALL, DEPTH, BLOCK = 1024, 6, 192
-SETS = "doc_id long, node long, n int, sketch binary, buckets array<long>"
+SETS = "doc_id long, digest long, node long, n int, sketch binary, buckets array<long>"
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -80,14 +81,15 @@ def sets(docs: DataFrame, threshold: float, runs: int, words: int) -> DataFrame:
             cut = np.cumsum([0, *map(len, picks)]).astype(np.int32)
             columns = [
                 b.column("doc_id"),
+                b.column("digest"),
                 pa.array([_node(t) for t in found], pa.int64()),
                 pa.array([len(t) for t in found], pa.int32()),
                 pa.array([_sketch(t) for t in found], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(picks))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "sketch", "buckets"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "node", "n", "sketch", "buckets"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, SETS)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -236,11 +238,12 @@ def _verify(threshold: float, words: int):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """One row per document: ``doc_id, node, class_id, n_links, first``."""
+    """One row per document: ``doc_id, digest, node, class_id, n_links, first``."""
     spark = docs.sparkSession
     runs = math.ceil(-math.log(1 - recall))
     made = settle(sets(docs, threshold, runs, words))
-    nodes = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    nodes = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(lead).alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
     nodes = settle(nodes)
     groups = settle(components(candidates(nodes, threshold)))
     size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -255,6 +258,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     info = nodes.select("node", "copies").join(links, "node", "left").join(classes, "node", "left")
     info = info.select("node", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     info = settle(info)
-    named = nodes.select("node", "doc_id").join(info.select("node", "label"), "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    info = info.join(named, "label").select("node", "class_id", "n_links")
-    return made.select("doc_id", "node").join(info, "node").withColumn("first", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    leads = nodes.select("node", "lead").join(info.select("node", "label"), "node").groupBy("label").agg(F.min("lead").alias("lead"))
+    info = info.join(leads, "label").select("node", "lead", "n_links")
+    out = made.select("doc_id", "digest", "node").join(info, "node")
+    first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))
+    return out.select("doc_id", "digest", "node", F.col("lead.doc_id").alias("class_id"), "n_links", first.alias("first"))
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that are the first of their class, one for each class."""
+    kept = join(docs, threshold, recall, words).where("first").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")

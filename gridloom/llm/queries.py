@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, fingerprints, jaccard_join, mixing, quality_rules, sql, suffix_dedup, toxicity, url_filter, warc
+from gridloom.llm import chat_format, fingerprints, jaccard_join, mixing, quality_rules, sentencepiece_lattice, sql, suffix_dedup, toxicity, url_filter, warc
 from gridloom.llm.common import load, settle
 
 
@@ -84,6 +84,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentencepiece_lattice.load_model()
+    read = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, model).drop("text"), model)
+    return read.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.sha2(F.coalesce(F.array_join("ids", " "), F.lit("")), 256).alias("ids_sha256"),
+        F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
@@ -94,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -314,8 +314,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> Da
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and, in place of
-    ``text``, what is left of it; bytes that are no UTF-8 any more, at the edges of what
-    was removed, are replaced. Without ``keep_text`` the text is left out."""
+    ``text``, what is left of it; parts of a character that stand at the edges of what
+    was removed are left out of the text, but not of the digest. Without ``keep_text`` the text is left out."""
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*added, "__id", "__salt")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, keep
                         at = s["stop"]
                 parts.append(data[at:])
                 left = b"".join(parts)
-                kept = text if not removed else left.decode("utf-8", "replace")
+                kept = text if not removed else left.decode("utf-8", "ignore")
                 out.append((kept, len(data), removed, n_spans, hashlib.sha256(left).hexdigest()))
             kept, *rest = zip(*out, strict=True)
             columns = [pa.array(kept, pa.string()) if c == "text" else b.column(c) for c in names]
