@@ -5,6 +5,229 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from gridloom.functions.stats import bit_is_set
+from gridloom.operators import cube as C
+from gridloom.operators import evaluate as E
+from gridloom.operators import explore as X
+from gridloom.operators import model as M
+from gridloom.operators import split as S
+from gridloom.plans import learning
+from gridloom.plans.oracle import SQL
+from gridloom.sources import cube as SC
+from gridloom.sources.fixtures import PREDICTORS, VARIABLES, pixels, predictions, table
+from gridloom.sources.fixtures import cube as fixture
+
+T, LAGS = "target", [0, 1, 2, 3]
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def rounded(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
+    """Doubles to six digits, so that engines that sum in another order agree."""
+    d = digits or {}
+    return df.select(*[F.round(c, d.get(c, 6)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def over_cube(name: str, keep: list[str] | None = None, **digits: int):
+    """Registers a query that starts from the dense cube."""
+
+    def register(f: Callable[[DataFrame], DataFrame]) -> None:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(fixture(spark, sf_dir))
+            return rounded(out.select(*keep) if keep else out, digits)
+
+        QUERIES[name] = query
+
+    return register
+
+
+def over_predictions(name: str, keep: list[str] | None = None, **digits: int):
+    def register(f: Callable[[DataFrame], DataFrame]) -> None:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(predictions(spark, sf_dir))
+            return rounded(out.select(*keep) if keep else out, digits)
+
+        QUERIES[name] = query
+
+    return register
+
+
+def query(name: str):
+    def register(f: Query) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        return f
+
+    return register
+
+
+CELL = ["pixel_id", "time_idx", T]
+
+over_cube("scan_time_roi", CELL)(lambda c: SC.select_time(c, 1996, 1998).where(F.col("lat_idx").between(0, 4) & F.col("lon_idx").between(2, 7)))
+over_cube("dense_spine", ["pixel_id", "time_idx", "time", T])(lambda c: c)
+over_cube("cube_long")(lambda c: SC.to_long(c, VARIABLES, ["pixel_id", "time_idx"]))
+over_cube("grid_metadata")(SC.grid_metadata)
+over_cube("time_resolution")(SC.time_resolution)
+over_cube("masked_cube", CELL)(lambda c: C.apply_mask(C.with_mask(c, [C.MaskPart("keep"), C.MaskPart("code", (0, 1, 2))]), [T], "kept"))
+over_cube("categorical_mask", CELL)(lambda c: C.apply_mask(c, [T], C.MaskPart("code", (1, 3)).keeps()))
+over_cube("annual_mean", ["pixel_id", "year", "time", T])(lambda c: C.annual(SC.select_time(c, 1995, 2000), {T: C.annual_rule(T)}))
+over_cube("annual_sum", ["pixel_id", "year", "time", "qty"])(lambda c: C.annual(C.full_years(c), {"qty": "sum"}, full_years=False))
+over_cube("full_year_check")(C.year_lengths)
+over_cube("climatology")(lambda c: C.climatology(c, [T]))
+over_cube("climatology_annual")(lambda c: C.climatology(c, [T], "annual"))
+over_cube("anomaly", CELL)(lambda c: C.anomaly(c, [T]))
+over_cube("anomaly_spatial_mean")(lambda c: X.spatial_anomaly(c, T))
+over_cube("monthly_climatology")(lambda c: X.monthly_climatology(c, T))
+over_cube("lagged_values", ["pixel_id", "time_idx", "qty_LAG_1", "qty_LAG_2", "qty_LAG_3"])(lambda c: C.lags(c, ["qty"], [1, 2, 3]))
+over_cube("time_years_centered")(C.centred_years)
+over_cube("theil_sen_slope")(lambda c: C.theil_sen(c, T))
+over_cube("detrended", CELL)(lambda c: C.preprocess(c, T, detrended=True).data)
+over_cube("reconstructed", CELL)(lambda c: C.reconstruct(C.preprocess(c, T, value_type="anomaly", detrended=True), T))
+over_cube("temporal_mean_map")(lambda c: X.temporal_map(c, T))
+over_cube("spatial_mean_series")(lambda c: X.spatial_series(c, T))
+over_cube("dataset_overview")(lambda c: X.overview(c, VARIABLES))
+over_cube("structure_report")(lambda c: X.structure_report(c, VARIABLES))
+over_cube("missing_summary")(lambda c: X.missing_summary(c, VARIABLES))
+over_cube("univariate_stats")(lambda c: X.univariate(c, VARIABLES))
+over_cube("global_corr_table")(lambda c: X.correlation_table(c, T, PREDICTORS))
+over_cube("corr_matrix")(lambda c: X.correlation_matrix(c, VARIABLES))
+over_cube("corr_matrix_lower")(lambda c: X.correlation_matrix(c, VARIABLES, "lower"))
+over_cube("vif")(lambda c: X.vif(c, ["qty", "disc"]))
+over_cube("pixel_corr", ["pixel_id", "predictor", "r"])(lambda c: X.correlations(c, T, PREDICTORS, ["pixel_id"]))
+over_cube("pixel_lag_corr")(lambda c: X.lagged_correlations(c, T, PREDICTORS, LAGS, ["pixel_id"]))
+over_cube("pixel_corr_sample")(lambda c: X.pivot(X.correlations(c.join(X.pixel_sample(c, T, 10), "pixel_id", "left_semi"), T, PREDICTORS, ["pixel_id"]), ["pixel_id"], "predictor", PREDICTORS))
+over_cube("pixel_moments", ["pixel_id", "n", "sx", "sy"], sx=4)(lambda c: X.joint_moments(c, T, "qty"))
+over_cube("spatial_corr_by_time", ["time_idx", "predictor", "r"])(lambda c: X.correlations(c, T, PREDICTORS, ["time_idx"]))
+over_cube("spatial_corr_summary", mean=5, std=5)(lambda c: X.spatial_correlation_summary(c, T, PREDICTORS))
+over_cube("spatial_corr_dominance")(lambda c: X.dominance(c, T, PREDICTORS))
+over_cube("monthly_corr_table")(lambda c: X.pivot(X.correlations(c, T, PREDICTORS, [F.month("time").alias("month")]), ["predictor"], "month", list(range(1, 13))))
+over_cube("lag_corr_table")(lambda c: X.pivot(X.lagged_correlations(c, T, PREDICTORS, LAGS).withColumn("lag", F.concat(F.lit("lag_"), "lag")), ["predictor"], "lag", [f"lag_{k}" for k in LAGS]))
+over_cube("best_lag")(lambda c: X.best_lag(c, T, PREDICTORS, LAGS))
+over_cube("category_corr", ["code", "label", "predictor", "r"])(lambda c: X.correlations(c, T, PREDICTORS, ["code", "label"]))
+over_cube("category_corr_pivot")(lambda c: X.pivot(X.correlations(c, T, PREDICTORS, ["label"]), ["label"], "predictor", PREDICTORS))
+over_cube("category_month_corr", ["label", "month", "predictor", "r"])(lambda c: X.correlations(c, T, PREDICTORS, ["label", F.month("time").alias("month")]))
+over_cube("category_lag_corr")(lambda c: X.lagged_correlations(c, T, PREDICTORS, LAGS, ["label"]))
+over_cube("dominant_predictor_map")(lambda c: X.dominant_map(c, T, PREDICTORS))
+over_cube("dominant_by_category")(lambda c: X.dominant_by_category(c, T, PREDICTORS))
+over_cube("valid_pixel_mask")(lambda c: S.valid_pixels(c, VARIABLES, 0.99))
+over_cube("valid_obs_mask", ["pixel_id", "time_idx"])(lambda c: S.valid_observations(c, VARIABLES, 0.99))
+over_cube("spatial_split")(lambda c: S.spatial_split(c, VARIABLES, 0.5, 0.25, min_fraction=0.9))
+over_cube("observation_split")(lambda c: S.observation_split(c, VARIABLES, 0.5, 0.25))
+over_cube("split_stats")(lambda c: S.split_stats(S.observation_split(c, VARIABLES, 0.5, 0.25)))
+over_cube("train_test_export")(lambda c: S.training_table(c, T, PREDICTORS, S.observation_split(c, VARIABLES, 0.5, 0.25)))
+over_cube("export_stats")(lambda c: S.table_stats(S.training_table(c, T, PREDICTORS, S.observation_split(c, VARIABLES, 0.5, 0.25))))
+over_cube("land_mask")(lambda c: C.always_valid(c, T))
+over_cube("scaled_standard", ["pixel_id", "time_idx", "qty"])(lambda c: M.standard_scaled(c, ["qty"]))
+over_cube("scaled_robust", ["pixel_id", "time_idx", "qty"])(lambda c: M.robust_scaled(c, ["qty"]))
+
+over_predictions("global_metrics")(E.global_metrics)
+over_predictions("fit_metrics")(E.fit_metrics)
+over_predictions("pixel_metrics", y_variance=4)(E.pixel_metrics)
+over_predictions("pixel_metrics_spatial")(E.pixel_metrics_spatial)
+over_predictions("pixel_metrics_summary", variance_mean=2)(lambda p: E.metrics_summary(E.pixel_metrics(p)))
+over_predictions("best_worst_pixels", ["pixel_id", "r2", "kind"])(lambda p: E.best_and_worst(E.pixel_metrics(p), k=10))
+over_predictions("pixel_series", ["order_id", "line", "pixel_id", "time", "y_true", "y_pred"])(lambda p: E.pixel_series(p, [1, 2, 3]))
+over_predictions("prediction_errors", ["order_id", "line", "pixel_id", "residual", "abs_error"])(E.with_errors)
+over_predictions("worst_error", ["order_id", "line", "abs_error"])(lambda p: E.worst_row(p, ["order_id", "line"]))
+over_predictions("metrics_by_time")(E.metrics_by_time)
+over_predictions("obs_metrics_by_time")(E.observation_metrics_by_time)
+over_predictions("pixel_obs_summary")(E.pixel_observations)
+over_predictions("binned_r2", mean_value=4)(lambda p: E.binned_summary(E.pixel_metrics(p), "y_variance"))
+over_predictions("error_bins")(E.error_bins)
+over_predictions("residual_bins")(E.residual_bins)
+over_predictions("ape_hist")(E.ape_histogram)
+over_predictions("metric_hist")(lambda p: E.histogram(E.pixel_metrics(p), "rmse"))
+over_predictions("density2d")(lambda p: E.density(p, "y_true", "y_pred", 5000, 5000))
+
+
+@query("lag_name_parse")
+def _(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select("n_name", F.concat_ws("_LAG_", "n_name", "n_regionkey").alias("name"))
+    return SC.parse_variables(names).select(F.col("n_name").alias("name"), "base", "lag").distinct()
+
+
+@query("combined_mask_stats")
+def _(spark, sf_dir):
+    p = pixels(spark, sf_dir).withColumn("ebf", F.col("lon_idx") % 2)
+    return C.mask_stats(C.with_mask(p, [C.MaskPart("keep"), C.MaskPart("code", (0, 1, 2)), C.MaskPart.named("ebf")]))
+
+
+@query("category_summary")
+def _(spark, sf_dir):
+    labels = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("label"))
+    return X.category_summary(fixture(spark, sf_dir), labels, T)
+
+
+@query("dominant_category_map")
+def _(spark, sf_dir):
+    return X.paint(pixels(spark, sf_dir), X.dominant_by_category(fixture(spark, sf_dir), T, PREDICTORS))
+
+
+@query("split_overlap")
+def _(spark, sf_dir):
+    s = S.spatial_split(fixture(spark, sf_dir), VARIABLES, 0.5, 0.25, min_fraction=0.9)
+    return S.overlap(s.where("split = 'train'"), s.where("split = 'test'"), ["pixel_id"])
+
+
+@query("group_folds")
+def _(spark, sf_dir):
+    return S.folds(pixels(spark, sf_dir).select("pixel_id"), 5, group="pixel_id")
+
+
+@query("stratified_sample")
+def _(spark, sf_dir):
+    return S.stratified_sample(pixels(spark, sf_dir).select("pixel_id", "code"), "code", ["pixel_id"], 8, 0.5, 20)
+
+
+@query("head_sample")
+def _(spark, sf_dir):
+    return S.head_sample(pixels(spark, sf_dir).select("pixel_id", "code"), ["pixel_id"], 10)
+
+
+@query("category_metrics")
+def _(spark, sf_dir):
+    return E.category_metrics(predictions(spark, sf_dir).join(pixels(spark, sf_dir).select("pixel_id", "code", "label"), "pixel_id"))
+
+
+@query("mask_label_lookup")
+def _(spark, sf_dir):
+    labels = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("label"))
+    return E.label_codes(predictions(spark, sf_dir), pixels(spark, sf_dir), labels).select("order_id", "line", "label")
+
+
+@query("metric_map")
+def _(spark, sf_dir):
+    metrics = E.pixel_metrics(predictions(spark, sf_dir)).where("pixel_id % 3 = 0")
+    return E.metric_map(pixels(spark, sf_dir), metrics, "r2", "keep")
+
+
+@query("coarsen_mask")
+def _(spark, sf_dir):
+    return C.coarsen(pixels(spark, sf_dir).withColumn("keep", F.col("keep").cast("int")), "keep", 5, 0.5)
+
+
+@query("bit_flags")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", bit_is_set("p_size", 1).alias("bit1"), bit_is_set("p_size", 2).alias("bit2"))
+
+
+@query("class_masks_coverage")
+def _(spark, sf_dir):
+    return pixels(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("n_pixels"))
+
+
+@query("regrid_nearest")
+def _(spark, sf_dir):
+    p = pixels(spark, sf_dir).where("lat_idx < 70")
+    points = p.select(F.col("pixel_id").alias("point"), (F.col("lat_idx") * 2.25 - 89).alias("latitude"), (F.col("lon_idx") * 30.1 - 179).alias("longitude"))
+    return C.nearest_cells(points, 0.5, 360, 720).select("point", "lat_idx", "lon_idx")
+
+
+@query("preview_stride")
+def _(spark, sf_dir):
+    return C.stride(pixels(spark, sf_dir), 3).select("pixel_id")
+
+
+QUERIES |= learning.QUERIES
+ORACLE_SQL: dict[str, str] = dict(SQL)
