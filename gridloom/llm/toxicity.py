@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes ratios.
 
 Features are the hashed 3- to 5-grams of a text's lower-cased UTF-8 bytes, present or
-not. ``fit`` counts them per class over all labelled training rows (partial counts in
-the tasks, summed by Spark), takes each feature's log-count ratio, keeps those that
-separate the classes most, and trains a logistic regression on presence times ratio
-over a sample of at most about ``max_rows`` training rows, drawn by a hash of the id.
+not. ``fit`` takes at most ``max_rows`` labelled rows, drawn by a hash of the id, counts
+features per class (partial counts in the tasks, summed by Spark), takes each feature's
+log-count ratio, keeps those that separate the classes most, and trains a logistic
+regression on presence times ratio.
 ``score`` is one pass over the documents without a shuffle; the model it sends along is
 of fixed size.
 
@@ -32,7 +32,7 @@ from gridloom.llm.common import pieces, settle
 
 BITS = 18
 GRAMS = (3, 4, 5)
-MAX_ROWS = 20_000
+MAX_ROWS = 30_000
 FEATURES = 8_192
 SMOOTH = 1.0
 FOLDS = 5
@@ -102,22 +102,25 @@ class Model:
     intercept: float
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic`` of the rows that may be learned from."""
-    known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.where(fold(F.col("doc_id")) != 0).select("doc_id", "text").join(known, "doc_id")
+def drawn_labels(labels: DataFrame, max_rows: int) -> DataFrame:
+    """``doc_id, toxic`` of the labels that may be learned from, ``max_rows`` at most, the
+    first in order of a hash of the id."""
+    usable = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
+    known = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return known.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max_rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -> Model:
-    rows = labelled(docs, labels)
-    known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    known = settle(drawn_labels(labels, max_rows))
+    # the drawn labels are bounded, so they go to the texts and no text is shuffled
+    rows = settle(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     none = np.full(1 << BITS, -1, np.int32)
     if not 0 < bad < n:
         share = min(max(bad / n, 1e-6), 1 - 1e-6) if n else 0.5
         return Model(none, np.zeros(1), float(np.log(share / (1 - share))))
     good = n - bad
-    counts = rows.select("text", "toxic").mapInArrow(_count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.mapInArrow(_count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p1, p0 = (F.col("n1") + SMOOTH) / F.lit(bad + 2 * SMOOTH), (F.col("n0") + SMOOTH) / F.lit(good + 2 * SMOOTH)
     pooled = (F.col("n0") + F.col("n1")) / F.lit(float(n))
     z = F.abs(p1 - p0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * F.lit(1 / bad + 1 / good))
@@ -127,8 +130,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     number, ratio = none.copy(), np.array([r["ratio"] for r in best])
     number[[r["bucket"] for r in best]] = np.arange(len(best), dtype=np.int32)
 
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, max_rows / n)))
-
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             row, f = _hits(b.column("text"), number)
@@ -137,11 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
 
     size, scale = len(best), ratio
     vector = F.udf(lambda f: SparseVector(size, f, scale[f]) if f else SparseVector(size, [], []), VectorUDT())
-    sample = settle(labelled(docs.where(drawn), labels).select("text", "toxic").mapInArrow(rows_of, "toxic int, f array<int>"))
+    sample = settle(rows.mapInArrow(rows_of, "toxic int, f array<int>"))
     train = sample.select(F.col("toxic").cast("double").alias("label"), vector("f").alias("features"))
-    seen = [r[0] for r in sample.select("toxic").distinct().collect()]
-    if len(seen) < 2:
-        return Model(number, np.zeros(len(best)), float(np.log(bad / good)))
     lr = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(train)
     return Model(number, np.asarray(lr.coefficients) * ratio, float(lr.intercept))
 
