@@ -46,3 +46,13 @@ def repeats(rows, length=100):
         spans = len([1 for p in range(len(data)) if drop[p] and not (p and drop[p - 1])])
         out[i] = (len(data), sum(drop), spans, bytes(b for b, d in zip(data, drop, strict=True) if not d))
     return out
+
+
+def plain(rows, columns):
+    """Rows of two engines made comparable: columns by name, values as text."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+
+    def value(v):
+        return "null" if v is None else f"{float(v):.4f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+
+    return sorted(tuple(value(r[i]) for i in order) for r in rows)
