@@ -54,9 +54,11 @@ def source_targets(sizes: DataFrame, cycle=CYCLE, share: float = SHARE, cap: flo
         {
             "level": (F.col("budget") - F.coalesce(F.sum("top").over(before), F.lit(0.0)))
             / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))),
+            "place": F.row_number().over(Window.orderBy("full_at", F.asc_nulls_last("source"))),
         }
     )
-    common = F.min(F.when(F.col("level") < F.col("full_at"), F.struct("full_at", "level"))).over(every)["level"]
+    # the first source in order that does not fill; what stands after it is not its level
+    common = F.min(F.when(F.col("level") < F.col("full_at"), F.struct("place", "level"))).over(every)["level"]
     w = w.withColumn("common", common)
     target = F.when(F.col("common").isNull(), F.col("top")).otherwise(F.least(F.col("top"), F.col("common") * F.col("w")))
     return w.select("source", "source_size", target.alias("target"))

@@ -94,7 +94,7 @@ WITH d AS (
          / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM s
 ), c AS (
-  SELECT *, (SELECT level FROM l WHERE level < full_at ORDER BY full_at LIMIT 1) AS common FROM l
+  SELECT *, (SELECT level FROM l WHERE level < full_at ORDER BY full_at, source NULLS LAST LIMIT 1) AS common FROM l
 ), t AS (
   SELECT source, source_size, CASE WHEN common IS NULL THEN top ELSE least(top, common * w) END AS target FROM c
 ), e AS (
