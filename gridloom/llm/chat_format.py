@@ -50,33 +50,29 @@ def _same(a: str, b: str, node_a: str, node_b: str) -> Column:
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{node_a}") == F.col(f"{b}.{node_b}"))
 
 
-def jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Tables ``tree, node, up, score``: after k steps, ``up`` is the ancestor 2**k
-    above (null beyond the root) and ``score`` sums the messages passed."""
+def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables ``tree, node, up, score, n``: after k steps, ``up`` is the ancestor 2**k
+    above, and ``score`` sums the ``n`` messages passed. A message whose way ends goes to
+    the second result, with the sums up to its root, and is jumped from no more."""
     known = nodes.select("tree", "node", "parent", "score")
     have = known.select("tree", F.col("node").alias("up"))
     linked = known.alias("a").join(have.alias("b"), _same("a", "b", "parent", "up"), "left")
     now = settle(linked.select("a.tree", "a.node", F.col("b.up").alias("up"), "a.score", F.lit(1).cast("long").alias("n")))
-    out = [now]
-    most = now.count()
-    while 2 ** len(out) <= 2 * most and not now.where("up IS NOT NULL").isEmpty():
-        go = now.alias("a").join(now.alias("b"), _same("a", "b", "up", "node"), "left")
-        now = settle(
-            go.select(
-                "a.tree", "a.node", F.col("b.up").alias("up"),
-                (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
-                (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"),
-            )
-        )
-        out.append(now)
-    return out
-
-
-def best_leaves(nodes: DataFrame, table: list[DataFrame], top: int) -> DataFrame:
+    ended, live = now.where("up IS NULL"), now.where("up IS NOT NULL")
+    out, most = [], now.count()
+    while 2 ** len(out) <= 2 * most and not live.isEmpty():
+        out.append(live)
+        go = live.alias("a").join(ended.unionByName(live).alias("b"), _same("a", "b", "up", "node"))
+        sums = [(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("score", "n")]
+        now = settle(go.select("a.tree", "a.node", F.col("b.up").alias("up"), *sums))
+        ended, live = ended.unionByName(now.where("up IS NULL")), now.where("up IS NOT NULL")
+    return out, ended
+
+
+def best_leaves(nodes: DataFrame, ended: DataFrame, top: int) -> DataFrame:
     """``tree, leaf, rank``: of each tree the ``top`` leaves of the best mean score.
-    The last table reaches the roots, where ``up`` is null; on cycles it never is."""
+    Messages on a cycle have no root and so never end."""
     parents = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("up")).distinct()
-    ended = table[-1].where("up IS NULL")
     leaves = ended.alias("a").join(parents.alias("b"), _same("a", "b", "node", "up"), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n"), "leaf")
     ranked = leaves.select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("n")).alias("mean"), "n")
@@ -87,7 +83,7 @@ def paths(leaves: DataFrame, table: list[DataFrame]) -> DataFrame:
     """``tree, leaf, rank, node, up_by``: all messages from each leaf to its root."""
     seen = leaves.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up_by"))
     for k, jump in enumerate(table):
-        far = seen.alias("a").join(jump.where("up IS NOT NULL").alias("b"), _same("a", "b", "node", "node"))
+        far = seen.alias("a").join(jump.alias("b"), _same("a", "b", "node", "node"))
         more = far.select("a.tree", "a.leaf", "a.rank", F.col("b.up").alias("node"), (F.col("a.up_by") + 2**k).alias("up_by"))
         seen = settle(seen.unionByName(more))
     return seen
@@ -137,5 +133,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
     """One conversation per tree and chosen leaf."""
-    table = jumps(nodes)
-    return format_paths(paths(best_leaves(nodes, table, top), table), nodes)
+    table, ended = jumps(nodes)
+    return format_paths(paths(best_leaves(nodes, ended, top), table), nodes)
