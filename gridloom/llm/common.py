@@ -69,3 +69,41 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     return data, ends - ends[0]
+
+
+def from_files(docs: DataFrame) -> DataFrame:
+    """``docs``, written to files first where not all rows come from some, with
+    ``__file``, a number for the file that a row is in."""
+    if not docs.where(F.input_file_name() == "").isEmpty():
+        docs = settle(docs)
+    return docs.withColumn("__file", F.xxhash64(F.input_file_name()))
+
+
+def by_file(rows: DataFrame, *order: str) -> str:
+    """Writes ``rows`` to a folder per ``file``, so that a task that reads documents in
+    place finds what concerns them without a shuffle of their texts; returns the folder."""
+    spark = rows.sparkSession
+    folder = shared_dir(spark)
+    rows.repartition(partitions(spark), "file").sortWithinPartitions("file", *order).write.partitionBy("file").parquet(folder)
+    return folder
+
+
+def rows_of_file(folder: str, file: int, schema: pa.Schema) -> pa.Table:
+    """In a task: what ``by_file`` wrote for one file."""
+    from pyarrow import dataset, fs
+
+    where, base = fs.FileSystem.from_uri(folder)
+    path = f"{base}/file={file}"
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        return schema.empty_table()
+    return dataset.dataset(path, filesystem=where, format="parquet", schema=schema).to_table()
+
+
+def same_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches cut where ``__file`` changes."""
+    for b in batches:
+        files = b.column("__file").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield int(files[i]), b.slice(i, j - i)

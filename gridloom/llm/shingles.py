@@ -20,7 +20,7 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(p: int, n: int) -> np.ndarray:
+def powers(p: int, n: int) -> np.ndarray:
     out = np.full(n, p, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
@@ -40,8 +40,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[inner - 1] = word[inner - 1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data)), out=total[1:])
-    h = (total[stop] - total[start]) * _powers(_INVERSE, len(data))[start]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data)), out=total[1:])
+    h = (total[stop] - total[start]) * powers(_INVERSE, len(data))[start]
     return mix(h), np.searchsorted(start, ends)
 
 

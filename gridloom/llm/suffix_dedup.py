@@ -4,12 +4,11 @@ Equal strings of ``length`` bytes contain the same anchor, the 24-byte gram of l
 in them, at the same place. So only anchors that occur twice can mark repeats, and all
 that is compared is what stands around such anchors:
 
-1. each document's anchors, ``(hash, doc, place)``, are brought together by hash, those
-   of one piece of input as one row; anchors that occur once go no further;
-2. the bytes around each repeated anchor, its context, are cut from the texts. Of equal
-   contexts the first is kept: all strings in the others have come before;
-3. where an anchor has several contexts, they are laid end to end in order of place, and
-   a suffix array (prefix doubling, cut at ``length``) gives each string's previous and
+1. each anchor, with a hash of its context, the bytes that strings around it can reach, is
+   brought to the others of its hash; equal contexts of one piece of input are one row;
+2. of equal contexts the first is kept: all strings in the others have come before;
+3. where an anchor has several contexts, the first of each are cut from the texts, which
+   are read in place, and laid end to end in order of place; a suffix array (prefix doubling, cut at ``length``) gives each string's previous and
    next smaller places in suffix order; the longer match with one of them is its longest
    previous factor, and where that reaches ``length`` the string has come before;
 4. the runs to remove are merged per document.
@@ -34,148 +33,189 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, pieces, settle, text_bytes
-from gridloom.llm.shingles import mix
+from gridloom.llm.common import by_file, from_files, partitions, pieces, rows_of_file, same_file, settle, text_bytes
+from gridloom.llm.shingles import mix, powers
 
 LENGTH, GRAM = 100, 24
-MANY = 20_000
-BATCH = 4 << 20
+MANY = 5_000
+BATCH = 768 << 10
+PLACES = 28
 
 
-def _sliding(a: np.ndarray, width: int, of) -> np.ndarray:
-    """``of`` (minimum or maximum) over each run of ``width`` values."""
+def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     at = 1
     while at * 2 <= width:
-        a = of(a[:-at], a[at:])
+        a = np.minimum(a[:-at], a[at:])
         at *= 2
-    return of(a[: len(a) - (width - at)], a[width - at :])
+    return np.minimum(a[: len(a) - (width - at)], a[width - at :])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all strings of ``length`` bytes in the rows."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of all strings of ``length`` bytes in the rows: their anchors' places and hashes, and
+    the bounds of the bytes of the strings that have this anchor. Anchors follow each
+    other as strings do, the leftmost among equals."""
     n, w = len(data) - length + 1, length - gram + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    last = np.repeat(ends[1:], np.diff(ends)) - length
+    whole = np.flatnonzero(np.arange(max(n, 0)) <= last[: max(n, 0)])
+    if not len(whole):
+        return (np.empty(0, np.int64),) * 4
     h, at, p = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    bits, whole, size = gram, None, 0
+    bits, grams, size = gram, None, 0
     while bits:  # grams of 1, 2, 4 ... bytes, put together as the binary digits say
         if bits & 1:
-            whole = h if whole is None else whole[: len(h) - size] * np.uint64(pow(p, at, 1 << 64)) + h[size:][: len(whole) - at]
+            grams = h if grams is None else grams[: len(h) - size] * np.uint64(pow(p, at, 1 << 64)) + h[size:][: len(grams) - at]
             size += at
         bits >>= 1
         if bits:
             h = h[:-at] * np.uint64(pow(p, at, 1 << 64)) + h[at:]
             at *= 2
-    g = mix(whole) | np.uint64(1)
-    least = _sliding(g, w, np.minimum)[:n]
-    last = np.repeat(ends[1:], np.diff(ends))[:n] - length
-    least[np.arange(n) > last] = 0
-    padded = np.zeros(len(g) + w - 1, np.uint64)
-    padded[w - 1 : w - 1 + n] = least
-    found = np.flatnonzero(_sliding(padded, w, np.maximum) == g)
-    return found, g[found]
+    grams = mix(grams)
+    # the leading bits of the hash, then the place: the least is the leftmost of the least
+    place = np.uint64((1 << PLACES) - 1)
+    least = _sliding_min((grams & ~place) | np.arange(len(grams), dtype=np.uint64), w)
+    own = (least[whole] & place).astype(np.int64)
+    first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
+    stop = np.append(first[1:], len(own)) - 1
+    return own[first], grams[own[first]], whole[first], whole[stop] + length
 
 
-OCCUR = "h long, doc_id long, salt long, place int, more binary"
-PLACE = np.dtype([("doc", "<i8"), ("salt", "<i8"), ("place", "<i8")])
+OCCUR = "h long, c long, doc_id long, salt long, start int, stop int, more binary"
+PLACE = np.dtype([("doc_id", "<i8"), ("salt", "<i8"), ("start", "<i4"), ("stop", "<i4")])
+
+
+def context_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to each stop, and of where the anchor is."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(0xD6E8FEB86659FD93, len(data)), out=total[1:])
+    inverse = powers(pow(0xD6E8FEB86659FD93, -1, 1 << 64), len(data))
+    return mix(mix((total[stop] - total[start]) * inverse[start], 9) + ((stop - start) << 16 | (at - start)).astype(np.uint64))
 
 
 def _occurrences(length: int):
+    """A row for each context of a piece of input, its first place there, with the places
+    where the piece has it again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, size=4 << 20):
+        for b in pieces(batches, size=2 << 20):
             data, ends = text_bytes(b.column("text"))
-            at, h = anchors(data, ends, length)
+            at, h, start, stop = anchors(data, ends, length)
+            if not len(at):
+                continue
             row = np.searchsorted(ends, at, "right") - 1
-            # rows without bytes share a bound; the last of them holds the place
+            c = context_hashes(data, start, stop, at)
             o = np.zeros(len(at), PLACE)
-            o["doc"] = b.column("doc_id").to_numpy(zero_copy_only=False)[row]
+            o["doc_id"] = b.column("doc_id").to_numpy(zero_copy_only=False)[row]
             o["salt"] = b.column("salt").to_numpy(zero_copy_only=False)[row]
-            o["place"] = at - ends[row]
-            order = np.argsort(h, kind="stable")
-            h, o = h[order], o[order]
-            first = np.flatnonzero(np.diff(h, prepend=~h[:1])) if len(h) else np.empty(0, np.int64)
-            stop = np.append(first[1:], len(h))
-            more = [o[i + 1 : j].tobytes() if j > i + 1 else None for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
-            f = o[first]
-            columns = [pa.array(h[first].view(np.int64)), pa.array(f["doc"]), pa.array(f["salt"]), pa.array(f["place"].astype(np.int32)), pa.array(more, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "salt", "place", "more"])
+            o["start"], o["stop"] = start - ends[row], stop - ends[row]
+            order = np.lexsort((o["start"], o["salt"], o["doc_id"], c, h))
+            h, c, o = h[order], c[order], o[order]
+            # rows that repeat a document have it twice
+            once = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (o[1:] != o[:-1]))
+            h, c, o = h[once], c[once], o[once]
+            new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(h))
+            more = [o[i + 1 : j].tobytes() if j > i + 1 else None for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+            columns = [pa.array(h[first].view(np.int64)), pa.array(c[first].view(np.int64)), *(pa.array(o[k][first]) for k in PLACE.names), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", *PLACE.names, "more"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, those of hashes that occur twice or more."""
-    last, waiting = None, None
+CLASSES = "kind int, h long, doc_id long, salt long, start int, stop int"
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor, context and place: of kind 0 every place but the first of
+    each context, of kind 1 the first places where an anchor has several contexts."""
+
+    def rows(kind: int, h: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), *(pa.array(o[k].copy()) for k in PLACE.names)], ["kind", "h", *PLACE.names])
+
+    before_h = before_c = before_o = None
+    waiting = None  # the only first place so far of the anchor that the last batch ended in
     for b in batches:
         if not b.num_rows:
             continue
-        h = b.column("h").to_numpy()
-        more = b.column("more")
-        some = ~more.is_null().to_numpy(zero_copy_only=False)
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
-        again = same | some
-        again[:-1] |= same[1:]
-        if last is not None and h[0] == last:
-            again[0] = True
+        h, c = b.column("h").to_numpy(), b.column("c").to_numpy()
+        o = np.zeros(len(h), PLACE)
+        for k in PLACE.names:
+            o[k] = b.column(k).to_numpy()
+        new_h = np.append(h[0] != before_h, h[1:] != h[:-1])
+        new_c = new_h | np.append(c[0] != before_c, c[1:] != c[:-1])
+        same = np.append(before_o is not None and o[0] == before_o, o[1:] == o[:-1])
+        again = [o[~new_c & ~same]]
+        for x in b.column("more").drop_null().to_pylist():
+            again.append(np.frombuffer(x, PLACE))
+        again = np.concatenate(again)
+        yield rows(0, np.zeros(len(again), np.int64), again)
+        first = np.flatnonzero(new_c)
+        group = np.cumsum(new_h)[first]
+        classes = np.bincount(group, minlength=int(new_h.sum()) + 1)
+        several = classes >= 2
+        if classes[0]:  # goes on with the anchor of the batch before
+            several[0] = True
             if waiting is not None:
-                yield waiting
-                # the rest of the same hash in this batch is known to repeat
-            again |= h == last
-        keep = np.flatnonzero(again)
-        hs = [h[keep]]
-        o = np.zeros(len(keep), PLACE)
-        for name, column in (("doc", "doc_id"), ("salt", "salt"), ("place", "place")):
-            o[name] = b.column(column).to_numpy()[keep]
-        os = [o]
-        for i in np.flatnonzero(some).tolist():
-            rest = np.frombuffer(more[i].as_py(), PLACE)
-            hs.append(np.full(len(rest), h[i]))
-            os.append(rest)
-        yield _places(np.concatenate(hs), np.concatenate(os))
-        waiting = None if again[-1] else _places(h[-1:], np.array([(b.column("doc_id")[-1].as_py(), b.column("salt")[-1].as_py(), b.column("place")[-1].as_py())], PLACE))
-        last = h[-1]
-
+                yield rows(1, h[:1], waiting)
+                waiting = None
+        take = first[several[group]]
+        yield rows(1, h[take], o[take])
+        if new_h.any():  # group 0 is over
+            waiting = None if several[-1] else o[first[-1:]]
+        before_h, before_c, before_o = h[-1], c[-1], o[-1]
 
-def _places(h: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(o["doc"].copy()), pa.array(o["salt"].copy()), pa.array(o["place"].astype(np.int32))], ["h", "doc_id", "salt", "place"])
 
+CONTEXT = "h long, doc_id long, salt long, start int, ctx binary"
 
-CONTEXT = "h long, c binary, doc_id long, salt long, start int, ctx binary"
 
-
-def _contexts(length: int):
-    before = length - GRAM
+def _contexts(folder: str):
+    """The bytes of the marked contexts, cut from the documents in place."""
+    entry = pa.schema([("doc_id", pa.int64()), ("salt", pa.int64()), ("marks", pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, size=256 << 10):
+        file, marks = None, {}
+        for of, b in same_file(pieces(batches, size=256 << 10)):
+            if of != file:
+                own = rows_of_file(folder, of, entry)
+                keys = zip(own.column("doc_id").to_pylist(), own.column("salt").to_pylist(), strict=True)
+                file, marks = of, {k: i for i, k in enumerate(keys)}
+                listed = pa.concat_arrays(own.column("marks").chunks or [pa.array([], entry.field("marks").type)])
             out: list[tuple] = []
-            for doc, salt, text, marks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "salt", "text", "marks")), strict=True):
-                data = (text or "").encode()
-                for m in marks:
-                    a = max(m["place"] - before, 0)
-                    ctx = data[a : m["place"] + length]
-                    digest = hashlib.blake2b(ctx, digest_size=16, salt=(m["place"] - a).to_bytes(8, "little")).digest()
-                    out.append((m["h"], digest, doc, salt, a, ctx))
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in CONTEXT.split(", ")])
+            for doc, salt, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "salt", "text")), strict=True):
+                # once is enough where a document is there twice
+                at = marks.pop((doc, salt), None)
+                if at is None:
+                    continue
+                data, m = text.encode(), listed[at].values
+                out += [(h, doc, salt, i, data[i:j]) for h, i, j in zip(*(m.field(k).to_pylist() for k in range(3)), strict=True)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in CONTEXT.split(", ")])
 
     return run
 
 
-def suffix_ranks(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each suffix by its first ``length`` bytes, by prefix doubling. Bytes
-    after the end of the data count as zeros; ``start`` ranks what must be equal first."""
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each suffix by its first ``length`` bytes (eight at least), by prefix
+    doubling from eight bytes on; bytes after the end of the data count as zeros."""
+
     def dense(key: np.ndarray) -> np.ndarray:
-        return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        order = np.argsort(key)
+        k = key[order]
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(np.append(False, k[1:] != k[:-1]))
+        return rank
 
     n = len(data)
-    rank, size = dense((start.astype(np.uint64) << np.uint64(8)) | data), 1
+    padded = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for i in range(min(8, length)):
+        key |= padded[i : n + i] << np.uint64(8 * (7 - i))
+    rank, size = dense(key), 8
     while size < length:
         step = min(size, length - size)
         after = np.zeros(n, np.uint64)
-        after[: n - step] = rank[step:] + np.uint64(1)
+        after[: max(n - step, 0)] = rank[step:] + np.uint64(1)
         rank = dense(rank * np.uint64(n + 1) + after)
         size += step
     return rank
@@ -197,12 +237,13 @@ def seen_before(data: np.ndarray, group: np.ndarray, age: np.ndarray, inside: np
     """Whether the string of ``length`` bytes at each place has a longest previous factor
     of that length. ``age`` orders places (equal: the same place), ``inside`` says where
     a whole string starts, and only strings of one ``group`` are compared."""
-    rank = suffix_ranks(data, group, length)
     at = np.flatnonzero(inside)
-    order = at[np.lexsort((age[at], rank[at]))]
+    rank = suffix_ranks(data, length)[at] * np.uint64(group.max(initial=0) + 1) + group[at].astype(np.uint64)
+    by = np.lexsort((age[at], rank))
+    order = at[by]
     # within the suffixes of one rank the oldest stand first, so a smaller age before is
     # the previous smaller place; after it, in the reversed order, the next smaller one
-    v, r = age[order], rank[order]
+    v, r = age[order], rank[by]
     out = np.zeros(len(data), bool)
     for flip in (slice(None), slice(None, None, -1)):
         p = nearest_smaller(v[flip])
@@ -279,71 +320,79 @@ def _strings(length: int):
     return run
 
 
-def _not_first(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The first place of each key, merged before the shuffle, and the rows that are not it."""
+def _later(strings: DataFrame) -> DataFrame:
+    """The rows that are not the first place of their string; the first is merged before
+    the shuffle."""
     place = F.struct("doc_id", "salt", "start")
-    first = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = rows.join(first.where("n > 1"), keys).where(place > F.col("first"))
-    return first, later
+    first = strings.groupBy("c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    return strings.join(first.where("n > 1"), "c").where(place > F.col("first"))
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
-    """``doc_id, salt, runs``: per document that has any, the runs of bytes to remove,
-    as sorted ``(start, stop)`` that may overlap. ``docs``: ``doc_id, salt, text``."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> str:
+    """The folder with, by input file, ``doc_id, salt, runs``: the runs of bytes to remove
+    from each document that has any, as sorted ``(start, stop)`` that may overlap.
+    ``docs``: ``doc_id, salt, text, __file``."""
     n = partitions(docs.sparkSession)
+    where = docs.select("doc_id", "salt", F.col("__file").alias("file")).distinct()
     found = docs.mapInArrow(_occurrences(length), OCCUR)
-    found = found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, doc_id long, salt long, place int")
-    found = settle(found)
-    marks = found.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("place", "h")).alias("marks"))
-    with_text = docs.join(marks, ["doc_id", "salt"]).select("doc_id", "salt", "text", "marks")
-    contexts = settle(with_text.mapInArrow(_contexts(length), CONTEXT))
-    light = contexts.select("h", "c", "doc_id", "salt", "start", F.octet_length("ctx").alias("size"))
-    first, later = _not_first(light, ["h", "c"])
-    copies = later.select("doc_id", "salt", "start", (F.col("start") + F.col("size")).alias("stop"))
-    first = settle(first.select("h", "c", "first.*"))
-    count = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    some = contexts.join(first.join(count, "h"), ["h", "c", "doc_id", "salt", "start"])
-    some = settle(some.select("h", "n", "doc_id", "salt", "start", "ctx"))
-    few = some.where(F.col("n") <= many).repartition(n, "h").sortWithinPartitions("h")
-    factors = few.mapInArrow(_factors(length), RUNS)
-    strings = some.where(F.col("n") > many).mapInArrow(_strings(length), "c binary, doc_id long, salt long, start int")
-    _, repeats = _not_first(strings, ["c"])
-    rest = repeats.select("doc_id", "salt", "start", (F.col("start") + length).alias("stop"))
-    return copies.unionByName(factors).unionByName(rest).groupBy("doc_id", "salt").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
+    found = found.repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "salt", "start")
+    found = settle(found.mapInArrow(_classes, CLASSES))
+    marks = found.where("kind = 1").groupBy("doc_id", "salt").agg(F.collect_list(F.struct("h", "start", "stop")).alias("marks"))
+    folder = by_file(marks.join(where, ["doc_id", "salt"]))
+    contexts = settle(docs.mapInArrow(_contexts(folder), CONTEXT))
+    large = settle(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select("h"))
+    runs = found.where("kind = 0").select("doc_id", "salt", "start", "stop")
+    few = contexts
+    if not large.isEmpty():
+        few = contexts.join(large, "h", "left_anti")
+        strings = contexts.join(large, "h", "left_semi").mapInArrow(_strings(length), "c binary, doc_id long, salt long, start int")
+        runs = runs.unionByName(_later(strings).select("doc_id", "salt", "start", (F.col("start") + length).alias("stop")))
+    factors = few.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_factors(length), RUNS)
+    runs = runs.unionByName(factors).groupBy("doc_id", "salt").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
+    return by_file(runs.join(where, ["doc_id", "salt"]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and, in place of
     ``text``, what is left of it; parts of a character that stand at the edges of what
-    was removed are left out of the text, but not of the digest. Without ``keep_text`` the text is left out."""
+    was removed are left out of the text, but not of the digest. Without ``keep_text``
+    the text is left out."""
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = docs.drop(*added, "__id", "__salt")
+    docs = docs.drop(*added, "__id", "__salt", "__file")
+    names = [c for c in docs.columns if keep_text or c != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"])
+    docs = from_files(docs)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     # only where an id stands for several rows must their texts tell them apart
     alone = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     salt = F.lit(0).cast("long") if alone else F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.withColumns({"__id": key, "__salt": salt})
-    plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__salt").alias("salt"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = settle(repeated_runs(plain, length, many)).select(F.col("doc_id").alias("__id"), F.col("salt").alias("__salt"), "runs")
-    joined = keyed.join(runs, ["__id", "__salt"], "left")
-    names = [c for c in docs.columns if keep_text or c != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"])
+    plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__salt").alias("salt"), F.coalesce("text", F.lit("")).alias("text"), "__file")
+    folder = repeated_runs(plain, length, many)
+    entry = pa.schema([("doc_id", pa.int64()), ("salt", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, size=4 << 20):
+        file, runs, listed = None, {}, None
+        for of, b in same_file(pieces(batches, size=4 << 20)):
+            if of != file:
+                own = rows_of_file(folder, of, entry)
+                file, runs = of, {k: i for i, k in enumerate(zip(own.column("doc_id").to_pylist(), own.column("salt").to_pylist(), strict=True))}
+                listed = pa.concat_arrays(own.column("runs").chunks or [pa.array([], entry.field("runs").type)])
             out: list[tuple] = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
+            for doc, salt, text in zip(*(b.column(k).to_pylist() for k in ("__id", "__salt", "text")), strict=True):
                 data = (text or "").encode()
                 parts, at, n_spans, removed = [], 0, 0, 0
-                for s in spans or ():
-                    if s["start"] > at or not n_spans:
-                        parts.append(data[at : s["start"]])
-                        n_spans += 1
-                        removed += s["stop"] - s["start"]
-                        at = s["stop"]
-                    elif s["stop"] > at:
-                        removed += s["stop"] - at
-                        at = s["stop"]
+                if (i := runs.get((doc, salt))) is not None:
+                    m = listed[i].values
+                    for start, stop in zip(m.field(0).to_pylist(), m.field(1).to_pylist(), strict=True):
+                        if start > at or not n_spans:
+                            parts.append(data[at:start])
+                            n_spans += 1
+                            removed += stop - start
+                            at = stop
+                        elif stop > at:
+                            removed += stop - at
+                            at = stop
                 parts.append(data[at:])
                 left = b"".join(parts)
                 kept = text if not removed else left.decode("utf-8", "ignore")
@@ -353,4 +402,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, keep
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], [*names, *added])
 
-    return joined.mapInArrow(cut, schema)
+    return keyed.mapInArrow(cut, schema)
