@@ -87,7 +87,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = sentencepiece_lattice.load_model()
-    read = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, model).drop("text"), model)
+    read = sentencepiece_lattice.encode(docs, model, round_trip=True).drop("text")
     return read.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),

@@ -35,12 +35,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, pieces, settle, shared_dir
+from gridloom.llm.common import by_file, from_files, partitions, pieces, rows_of_file, same_file, settle
 
 MARK = "▁"
-LONG = 63
-SPAN = 64
-RANK = 1 << 20
+LONG = 60
 
 
 @dataclass(frozen=True)
@@ -105,64 +103,82 @@ def marked(text: str):
 def words(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``file, word``: the distinct words of each input file."""
     found = F.regexp_extract_all(marked(text), F.lit(model.pattern), F.lit(0))
-    all_ = docs.select(F.xxhash64(F.input_file_name()).alias("file"), F.explode(found).alias("word"))
+    all_ = docs.select(F.col("__file").alias("file"), F.explode(found).alias("word"))
     return all_.where(F.length("word") <= LONG).distinct()
 
 
-def lattice(distinct: DataFrame, model: Model) -> DataFrame:
-    """``word, n, edges``: per word its pieces by place, ``at = 64 * start + length``;
-    of an edge ``value`` is rank and id in one number, ``score`` the piece's."""
-    spark, rank = distinct.sparkSession, model.ranks()
-    table = spark.createDataFrame([(p, rank[p] * RANK + i, s) for p, (i, s) in model.table.items()], "piece string, value long, score double")
-    spans = F.expr(
-        f"""flatten(transform(sequence(0, length(word) - 1), s -> transform(sequence(1, least({model.longest}, length(word) - s)),
-            l -> named_struct('at', {SPAN} * s + l, 'piece', substring(word, s + 1, l)))))"""
-    )
-    exploded = distinct.select("word", F.explode(spans).alias("e")).select("word", "e.at", "e.piece")
-    edges = exploded.join(F.broadcast(table), "piece")
-    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("at", F.struct("value", "score").alias("v"))).alias("edges"))
-    return grouped
+def lattice(numbered: DataFrame, model: Model) -> DataFrame:
+    """``number, word, n, edges`` from ``number, word``: the pieces found in each word, an
+    edge as one number of rank (from bit 32), start (from 26), length (from 20) and id, so
+    that edges sort by rank, then from the left. The words are partitioned by number, so
+    neither exploding nor grouping again moves them."""
+    spark, rank = numbered.sparkSession, model.ranks()
+    table = spark.createDataFrame([(p, rank[p] << 32 | i) for p, (i, _) in model.table.items()], "piece string, value long")
+    sized = numbered.withColumn("n", F.length("word")).withColumn("m", F.least(F.col("n"), F.lit(model.longest)))
+    spans = sized.select("number", "word", "n", "m", F.explode(F.expr("sequence(0, n * m - 1)")).alias("k"))
+    spans = spans.withColumns({"s": F.expr("k div m").cast("int"), "l": F.col("k") % F.col("m") + 1}).where("s + l <= n")
+    edges = spans.select("number", F.expr("substring(word, s + 1, l)").alias("piece"), "s", "l").join(F.broadcast(table), "piece")
+    edge = F.col("value") + F.shiftleft(F.col("s").cast("long"), 26) + F.shiftleft(F.col("l").cast("long"), 20)
+    grouped = edges.select("number", edge.alias("edge")).groupBy("number").agg(F.collect_list("edge").alias("edges"))
+    return sized.select("number", "word", "n").join(grouped.hint("shuffle_hash"), "number", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<bigint>")))
 
 
 def _bytes(model: Model, text: str) -> str:
     return f"transform(sequence(1, octet_length({text})), k -> {model.first_byte} + cast(conv(substring(hex({text}), 2 * k - 1, 2), 16, 10) as int))"
 
 
-def _look(start: str, stop: str) -> str:
-    return f"try_element_at(m, {SPAN} * ({start}) + ({stop}) - ({start}))"
+#: An edge's start and length, the bounds of both ends, and those that stand inside it.
+_START, _LENGTH = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)"
+_EDGE = f"""named_struct('s', {_START}, 'ends', shiftleft(1L, {_START}) | shiftleft(1L, {_START} + {_LENGTH}),
+    'inner', shiftleft(shiftleft(1L, {_LENGTH} - 1) - 1L, {_START} + 1), 'id', cast(e & 1048575 as int))"""
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _pieces_at(model: Model, bounds: str) -> str:
+    """The ids between bounds, a number's bits; what no edge spans is one character."""
+    char = _bytes(model, "substring(word, p + 1, 1)")
+    found = f"sort_array(transform(filter(g, x -> (b & x.ends) = x.ends and (b & x.inner) = 0), x -> struct(x.s, x.id)))"
+    all_ = "transform(f, x -> x.id)"
+    some = f"flatten(transform(filter(sequence(0, n - 1), p -> getbit(b, p) = 1), p -> {_let('filter(f, x -> x.s = p)', 'h', f'if(size(h) > 0, transform(h, x -> x.id), {char})')}))"
+    chosen = f"if(size(f) = bit_count(b) - 1, {all_}, {some})"
+    return _let(bounds, "b", _let(found, "f", chosen))
 
 
 def fold_merges(grouped: DataFrame, model: Model) -> DataFrame:
     """``word, ids``: starting from characters, joins the pair of neighbours of the best
-    rank, leftmost first, while there is one."""
-    s = grouped.select("word", F.length("word").alias("n"), F.expr("map_from_entries(transform(edges, e -> struct(e.at, e.v.value)))").alias("m"))
-    none = "cast(array() as array<bigint>)"
-    start = f"named_struct('b', sequence(0, n), 'r', if(n < 2, {none}, transform(sequence(0, n - 2), s -> {_look('s', 's + 2')})))"
-    left = f"if(p > 1, array({_look('get(a.b, p - 2)', 'get(a.b, p + 1)')}), {none})"
-    right = f"if(p + 3 <= size(a.b), array({_look('get(a.b, p - 1)', 'get(a.b, p + 2)')}), {none})"
-    step = f"""get(transform(array(cast(array_position(a.r, array_min(a.r)) as int)), p -> if(p is null, a, named_struct(
-        'b', concat(slice(a.b, 1, p), slice(a.b, p + 2, n + 1)),
-        'r', concat(slice(a.r, 1, greatest(p - 2, 0)), {left}, {right}, slice(a.r, p + 2, n + 1))))), 0)"""
-    s = s.withColumn("b", F.expr(f"if(n < 2, sequence(0, n), aggregate(sequence(2, n), {start}, (a, x) -> {step}, a -> a.b))"))
-    char = "substring(word, get(b, i - 1) + 1, get(b, i) - get(b, i - 1))"
-    ids = f"""flatten(transform(sequence(1, size(b) - 1), i -> coalesce(
-        if({_look('get(b, i - 1)', 'get(b, i)')} is null, null, array(cast({_look('get(b, i - 1)', 'get(b, i)')} % {RANK} as int))), {_bytes(model, char)})))"""
-    return s.select("word", F.expr(ids).alias("ids"))
+    rank, leftmost first, while there is one. The bounds between pieces are the bits of a
+    number: an edge joins a pair where both its ends are bounds and one stands inside."""
+    first = "get(filter(pairs, x -> (b & x.ends) = x.ends and bit_count(b & x.inner) = 1), 0)"
+    step = _let(f"{first}.inner", "i", "if(i is null, named_struct('b', b, 'go', false), named_struct('b', b & ~i, 'go', true))")
+    step = f"if(a.go, {_let('a.b', 'b', step)}, a)"
+    start = "named_struct('b', shiftleft(1L, n + 1) - 1L, 'go', true)"
+    fold = f"aggregate(sequence(2, n), {start}, (a, y) -> {step}, a -> a.b)"
+    bounds = f"if(n < 2, 3L, {_let('filter(g, x -> x.inner <> 0)', 'pairs', fold)})"
+    ids = _let(f"transform(sort_array(edges), e -> {_EDGE})", "g", _pieces_at(model, bounds))
+    return grouped.select("word", F.expr(ids).alias("ids"))
 
 
 def fold_viterbi(grouped: DataFrame, model: Model) -> DataFrame:
     """``word, ids``: the segmentation of the largest sum of scores; a character that no
-    piece holds costs 10 more than the least score."""
+    piece holds costs 10 more than the least score. The state has the best sum and the
+    last piece's length for each place so far."""
     unknown = min(s for _, s in model.table.values()) - 10
-    s = grouped.select("word", F.length("word").alias("n"), F.expr("map_from_entries(transform(edges, e -> struct(e.at, e.v)))").alias("m"))
-    back = f"""array_max(filter(transform(sequence(1, least({model.longest}, j)), l -> named_struct(
-        'score', get(a, j - l).score + coalesce({_look('j - l', 'j')}.score, if(l = 1, {unknown}D, null)), 'l', l)), x -> x.score is not null))"""
+    scores = "array(" + ", ".join(f"{model.table[p][1]!r}D" for p in model.ranks()) + ")"
+    edge = f"named_struct('s', {_START}, 'l', {_LENGTH}, 'score', get(scores, cast(shiftright(e, 32) as int)))"
+    s = grouped.crossJoin(F.broadcast(grouped.sparkSession.range(1).select(F.expr(scores).alias("scores"))))
+    s = s.withColumn("w", F.expr(f"transform(edges, e -> {edge})"))
+    back = f"""array_max(concat(
+        transform(filter(w, x -> x.s + x.l = j), x -> named_struct('score', get(a, x.s).score + x.score, 'l', x.l)),
+        array(named_struct('score', get(a, j - 1).score + if(exists(w, x -> x.s = j - 1 and x.l = 1), double('-infinity'), {unknown!r}D), 'l', 1))))"""
     best = f"aggregate(sequence(1, n), array(named_struct('score', 0D, 'l', 0)), (a, j) -> concat(a, array({back})))"
-    s = s.withColumn("best", F.expr(best))
-    # from the end back: the starts of the pieces
-    s = s.withColumn("b", F.expr("array_sort(aggregate(sequence(1, n), array(n), (a, x) -> if(element_at(a, -1) = 0, a, concat(a, array(element_at(a, -1) - get(best, element_at(a, -1)).l)))))"))
-    char = "substring(word, get(b, i - 1) + 1, get(b, i) - get(b, i - 1))"
-    ids = f"flatten(transform(sequence(1, size(b) - 1), i -> if({_look('get(b, i - 1)', 'get(b, i)')} is null, {_bytes(model, char)}, array(cast({_look('get(b, i - 1)', 'get(b, i)')}.value % {RANK} as int)))))"
+    # from the end back: the bounds, as bits
+    walk = "aggregate(sequence(1, n), named_struct('b', shiftleft(1L, n), 'at', n), (a, y) -> if(a.at = 0, a, named_struct('b', a.b | shiftleft(1L, a.at - get(best, a.at).l), 'at', a.at - get(best, a.at).l)), a -> a.b)"
+    s = s.withColumn("best", F.expr(best)).withColumn("bounds", F.expr(walk))
+    ids = _let(f"transform(edges, e -> {_EDGE})", "g", _pieces_at(model, "bounds"))
     return s.select("word", F.expr(ids).alias("ids"))
 
 
@@ -208,46 +224,39 @@ def segment(word: str, model: Model, rank: dict[str, int]) -> list[int]:
 
 def dictionaries(docs: DataFrame, model: Model, text: str = "text") -> str:
     """Writes each input file's words with their pieces; returns the folder."""
-    spark = docs.sparkSession
-    pairs = settle(words(docs, model, text).repartition(partitions(spark), "word"))
-    distinct = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("files")).select("word")
+    n = partitions(docs.sparkSession)
+    pairs = settle(words(docs, model, text).repartition(n, "word"))
+    numbered = settle(pairs.select("word").distinct().withColumn("number", F.monotonically_increasing_id()))
     fold = fold_viterbi if model.unigram else fold_merges
-    known = fold(lattice(distinct, model), model)
-    folder = shared_dir(spark)
-    # a word without any edge is bytes throughout
-    both = pairs.join(known, "word", "left").select("file", "word", F.coalesce("ids", F.expr(_bytes(model, "word"))).alias("ids"))
-    both.repartition(partitions(spark), "file").sortWithinPartitions("file").write.partitionBy("file").parquet(folder)
-    return folder
-
-
-def encode(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the pieces of each text."""
-    docs = docs.drop("ids")
-    if not docs.where(F.input_file_name() == "").isEmpty():
-        docs = settle(docs)
-    folder = dictionaries(docs, model, text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>"])
+    known = fold(lattice(numbered.repartition(n, "number"), model), model)
+    return by_file(pairs.join(known, "word").select("file", "word", "ids"))
+
+
+def _texts(ids: pa.ListArray, strings: pa.Array) -> pa.Array:
+    bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(bounds, strings.take(pc.list_flatten(ids))), pa.scalar(b"", pa.large_binary()))
+    return pa.array([t.decode("utf-8", "replace")[1:] for t in joined.to_pylist()], pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+
+
+def encode(docs: DataFrame, model: Model, text: str = "text", round_trip: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the pieces of each text, and for a ``round_trip`` with
+    ``decoded``, the text of these ids."""
+    docs = docs.drop("ids", *(["decoded"] if round_trip else []))
     names = docs.columns
+    docs = from_files(docs)
+    folder = dictionaries(docs, model, text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "ids array<int>", *(["decoded string"] if round_trip else [])])
+    entry = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import dataset, fs
-
         find, rank = re.compile(model.pattern).findall, model.ranks()
-        where, base = fs.FileSystem.from_uri(folder)
         file, known, ids = None, None, None
-        for b in pieces(batches, text, 4 << 20):
-            files = b.column("__file").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if files[i] != file:
-                    file = files[i]
-                    path = f"{base}/file={file}"
-                    there = where.get_file_info(path).type != fs.FileType.NotFound
-                    own = dataset.dataset(path, filesystem=where, format="parquet", exclude_invalid_files=False).to_table(["word", "ids"]) if there else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-                    known, ids = own.column("word").combine_chunks(), own.column("ids").combine_chunks()
-                    known = known.chunk(0) if isinstance(known, pa.ChunkedArray) else known
-                    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-                part = b.slice(i, j - i)
+        strings = pa.array(model.strings, pa.large_binary())
+        for b in pieces(batches, text):
+            for of, part in same_file(iter([b])):
+                if of != file:
+                    own = rows_of_file(folder, of, entry)
+                    file, known, ids = of, pa.concat_arrays(own.column("word").chunks or [pa.array([], pa.string())]), pa.concat_arrays(own.column("ids").chunks or [pa.array([], entry.field("ids").type)])
                 texts = part.column(text)
                 found = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts.to_pylist()]
                 counts = np.array([len(f) for f in found])
@@ -265,26 +274,21 @@ def encode(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 size = np.append(0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))
                 bounds = pa.array(size[np.append(0, np.cumsum(counts))].astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
                 listed = pa.ListArray.from_arrays(bounds, pc.list_flatten(taken))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), listed], [*names, "ids"])
+                made = [listed, _texts(listed, strings)] if round_trip else [listed]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], [*names, "ids", "decoded"][: len(names) + len(made)])
 
-    return docs.withColumn("__file", F.xxhash64(F.input_file_name())).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the text of its pieces."""
     encoded = encoded.drop("decoded")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"])
-    strings = model.strings
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.array(strings, pa.large_binary())
+        strings = pa.array(model.strings, pa.large_binary())
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                c = part.column(ids)
-                bytes_ = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False))).astype(np.int64), held.take(pc.list_flatten(c)))
-                texts = [t.decode("utf-8", "replace")[1:] for t in pc.binary_join(bytes_, pa.scalar(b"", pa.large_binary())).to_pylist()]
-                out = pa.array(texts, pa.string(), mask=c.is_null().to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(part.column(ids), strings)], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
