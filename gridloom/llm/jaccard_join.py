@@ -3,10 +3,13 @@
 A document is the set of its five-word shingles; equal sets are one node. In each run a
 set of n shingles picks each with chance 1/(lambda n), by a hash that all sets share, so
 two sets of similarity ``threshold`` expect to pick one in common; each pick is a bucket.
-Runs are repeated until a pair is missed with a chance below ``1 - recall``. Buckets of
-more than ``SMALL`` sets are split again and again on sampled values of the sets' minwise
-sketches (the tokens of the embedded set); what still does not fall apart after ``DEPTH``
-levels is alike, and is compared in blocks.
+Runs are repeated until a pair shares none with a chance below half of ``1 - recall``. The
+sets of buckets of more than ``SMALL`` are dealt together to trees: at each level of a tree a
+set goes to the bucket of one sampled value of its minwise sketch (the tokens of the embedded
+set), which two sets share with the chance of their similarity. Only buckets that are still
+large go a level deeper; what does not fall apart after ``DEPTH`` levels is alike, and is
+compared in blocks. There are as many trees as it takes that a pair stays together in one
+down to the last level but for the other half of ``1 - recall``.
 
 Within buckets sketches are compared, at a limit that a true pair meets but for chances
 of a few in a million, and what is near is linked to one of its bucket. The components of these
@@ -45,6 +48,8 @@ THRESHOLD, RECALL = 0.8, 0.999
 BINS = 128
 NEAR = 0.6
 SMALL, DEPTH, BLOCK = 1024, 6, 192
+#: of the likeness of two sketches, about the similarity of their sets
+SPREAD = 0.035
 SETS = "doc_id long, digest long, node long, n int, sketch binary, buckets array<long>"
 
 
@@ -146,18 +151,27 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _split(rows: DataFrame, level: int, threshold: float) -> DataFrame:
-    """The buckets' next level: each set goes to a bucket per sampled bin of its sketch."""
+def _trees(threshold: float, missed: float) -> int:
+    """So many trees that a pair of ``threshold``, and of a sketch less alike by ``SPREAD``,
+    comes apart in all of them before the last level with a chance of ``missed`` at most."""
+    return math.ceil(math.log(missed) / math.log1p(-((threshold - SPREAD) ** DEPTH)))
+
+
+def _split(rows: DataFrame, level: int, trees: int) -> DataFrame:
+    """The trees' next level: each set goes to the bucket of the sampled one of its sketch's
+    bins. ``bucket`` is the one before; at the first level each set goes to all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            at = b.column("bucket").to_numpy().view(np.uint64)
-            h = mix(mix(at, 31 + level)[:, None] ^ mix(np.arange(BINS, dtype=np.uint64), level)[None, :])
-            chance = np.minimum(1 / (threshold * np.maximum((s != 0).sum(1), 1)), 1 - 1e-12)
-            row, bin_ = np.nonzero((s != 0) & (h < (chance * 2**64).astype(np.uint64)[:, None]))
-            child = mix(h[row, bin_] ^ s[row, bin_], 63)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("node").take(pa.array(row))], ["bucket", "node"])
+            for b in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
+                s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+                seeds = [mix(np.full(len(s), t, np.uint64), 31) for t in range(trees)] if level == 0 else [b.column("bucket").to_numpy().view(np.uint64)]
+                for at in seeds:
+                    h = mix(mix(at, 31 + level)[:, None] ^ mix(np.arange(BINS, dtype=np.uint64), level)[None, :])
+                    bin_ = np.where(s != 0, h, np.uint64(2**64 - 1)).argmin(1)
+                    row = np.arange(len(s))
+                    child = mix(h[row, bin_] ^ s[row, bin_], 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("node")], ["bucket", "node"])
 
     return rows.select("bucket", "node", "sketch").mapInArrow(run, "bucket long, node long")
 
@@ -170,11 +184,12 @@ def _blocks(rows: DataFrame, key: str, size: DataFrame, block: int) -> DataFrame
     return rows.withColumn("__p", F.explode(pair)).select("*", "__p.*").drop("__p", "__nb")
 
 
-def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links ``a, b`` between sets whose sketches are near, a tree per bucket."""
+def candidates(nodes: DataFrame, threshold: float, missed: float) -> DataFrame:
+    """Links ``a, b`` between sets whose sketches are near, a tree of links per bucket;
+    a pair that shares a bucket is not brought together with a chance below ``missed``."""
     about = nodes.select("node", "n", "sketch")
     live = nodes.select("node", F.explode("buckets").alias("bucket"))
-    links = None
+    links, trees = None, _trees(threshold, missed)
     for level in range(DEPTH + 1):
         size = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         live = settle(live.join(size, "bucket"))
@@ -190,7 +205,9 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
         large = live.where(F.col("size") > SMALL)
         if last or large.isEmpty():
             break
-        live = _split(large.drop("size").join(about, "node"), level, threshold).distinct()
+        if level == 0:
+            large = large.select("node", F.lit(0).cast("long").alias("bucket")).distinct()
+        live = _split(large.select("node", "bucket").join(about, "node"), level, trees)
     return links
 
 
@@ -240,12 +257,13 @@ def _verify(threshold: float, words: int):
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
     """One row per document: ``doc_id, digest, node, class_id, n_links, first``."""
     spark = docs.sparkSession
-    runs = math.ceil(-math.log(1 - recall))
+    missed = (1 - recall) / 2
+    runs = math.ceil(-math.log(missed))
     made = settle(sets(docs, threshold, runs, words))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     nodes = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(lead).alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
     nodes = settle(nodes)
-    groups = settle(components(candidates(nodes, threshold)))
+    groups = settle(components(candidates(nodes, threshold, missed)))
     size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     members = groups.join(nodes.select("node", "doc_id", "copies"), "node")
     members = members.withColumnRenamed("doc_id", "__id")

@@ -43,6 +43,19 @@ def test_join_equals_brute_force(spark, rows, monkeypatch):
         assert got == want
 
 
+def test_join_finds_pairs_in_large_buckets(spark, monkeypatch):
+    """Pairs of 0.8 that share nothing but a passage, which many others hold too."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    draw, n = random.Random(8), iter(range(10**9))
+    own = lambda k: " ".join(f"{draw.choice(VOCABULARY)}{next(n)}" for _ in range(k))
+    texts = []
+    for _ in range(150):
+        passage = own(100)
+        texts += [f"{passage} {own(12)}" for _ in range(2)] + [f"{own(75)} {passage} {own(75)}" for _ in range(8)]
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [1, 1, *[0] * 8] * 150
+
+
 def test_join_of_repeated_and_unnamed_rows(spark):
     t = prose(60)
     df = frame(spark, [(1, t), (1, t), (None, t), (None, t + " end"), (None, None), (2, prose(50)), (2, prose(50))]).withColumns({"node": F.lit("mine"), "first": F.lit(0)})
