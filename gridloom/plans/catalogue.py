@@ -219,7 +219,7 @@ def _(spark, sf_dir):
 
 @query("regrid_nearest")
 def _(spark, sf_dir):
-    p = pixels(spark, sf_dir).where("lat_idx < 70")
+    p = pixels(spark, sf_dir)
     points = p.select(F.col("pixel_id").alias("point"), (F.col("lat_idx") * 2.25 - 89).alias("latitude"), (F.col("lon_idx") * 30.1 - 179).alias("longitude"))
     return C.nearest_cells(points, 0.5, 360, 720).select("point", "lat_idx", "lon_idx")
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import cube as C
+from gridloom.plans import catalogue
 from gridloom.sources import config, cube
 
 
@@ -120,3 +121,10 @@ def test_scan_and_run_cache(spark, tmp_path):
     config.mark_run(spark, conf, folder)
     assert config.run_is_current(spark, conf, folder) and not config.run_is_current(spark, conf | {"resolution": "annual"}, folder)
     assert config.fraction_tag(0.125) == "12p5" and config.fraction_tag(0.1) == "10"
+
+
+def test_regrid_query_takes_all_pixels(spark, monkeypatch):
+    rows = [(690, 69, 0), (709, 70, 9), (790, 79, 0), (800, 80, 0), (990, 99, 0)]
+    monkeypatch.setattr(catalogue, "pixels", lambda *_: spark.createDataFrame(rows, "pixel_id long, lat_idx int, lon_idx int"))
+    got = {r.point: (r.lat_idx, r.lon_idx) for r in catalogue.QUERIES["regrid_nearest"](spark, "").collect()}
+    assert got == {690: (312, 2), 709: (317, 543), 790: (357, 2), 800: (None, None), 990: (None, None)}
