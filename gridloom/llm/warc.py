@@ -14,8 +14,9 @@ the successful attempt returns is referred to, so a lost executor or a repeated
 leaves at worst a file that nothing names.
 
 Defined results for odd input: null html is an empty payload, also deduplicated; null
-urls have an empty key; pages that repeat an id are separate captures (each finds the
-first written); an empty table writes nothing; columns beside those named are not kept.
+urls have an empty key; pages that repeat an id are separate captures, each with a record
+and a key of its own; a null id stays null, and such a page is a response unless a page
+with an id has its payload, which it then refers to; an empty table writes nothing; columns beside those named are not kept.
 """
 
 from __future__ import annotations
@@ -50,18 +51,21 @@ def surt(url: Column) -> Column:
 
 
 def capture_key(url: Column, page_id: Column) -> Column:
-    """The index key: white space escaped URL key, then the capture's number."""
-    return F.concat(F.regexp_replace(surt(F.coalesce(url, F.lit(""))), r"\s", "%20"), F.lit(" "), F.format_string("%020d", F.coalesce(page_id, F.lit(0))))
+    """White space escaped URL key, then the capture's number. The archive and the place
+    that a capture is written at are put behind it, so that no two captures' keys are equal."""
+    number = F.when(page_id.isNull(), F.lit("-")).otherwise(F.format_string("%020d", page_id))
+    return F.concat(F.regexp_replace(surt(F.coalesce(url, F.lit(""))), r"\s", "%20"), F.lit(" "), number)
 
 
 def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id, __sha, refers_to``: per page the payload's SHA-1 and, for revisits, the
+    """``pages`` with ``__sha``, the payload's SHA-1, and ``refers_to``, for revisits the
     largest page_id of an equal payload. The largest per payload is merged before the
-    shuffle, so a payload that many pages share is no hot group."""
-    ids = settle(pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("__sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("__n")))
-    last = ids.groupBy("__sha").agg(F.max("page_id").alias("__last"))
-    refers = F.when((F.col("__n") >= min_bytes) & (F.col("page_id") != F.col("__last")), F.col("__last"))
-    return ids.join(last, "__sha").select("page_id", "__sha", refers.alias("refers_to")).dropDuplicates(["page_id"])
+    shuffle and joined by payload, where a payload that many pages share is split by size."""
+    html = F.coalesce("html", F.lit(""))
+    made = pages.withColumn("__sha", F.sha1(html))
+    last = made.groupBy("__sha").agg(F.max("page_id").alias("__last"))
+    refers = F.when((F.octet_length(html) >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last"))
+    return made.join(last.hint("shuffle_hash"), "__sha").withColumn("refers_to", refers).drop("__last")
 
 
 def _fs(path: str):
@@ -70,13 +74,13 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _record(kind: str, page_id: int, url: str, refers: int | None, digest: str, n: int, payload: bytes) -> bytes:
+def _record(kind: str, page_id: int | None, url: str, refers: int | None, digest: str, n: int, payload: bytes) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
     block = http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {json.dumps(url)[1:-1]}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -95,7 +99,8 @@ def _parse(member: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda k: int(fields[k].rpartition(":")[2].rstrip(">")) if k in fields else None
+    named = lambda k: fields.get(k, "").rpartition(":")[2].rstrip(">")
+    number = lambda k: int(named(k)) if named(k) else None
     kind, said = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     length = int(http.rpartition(b"Content-Length: ")[2])
     if kind == "response":
@@ -114,9 +119,7 @@ def _parse(member: bytes) -> dict:
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the archives; returns the settled captures ``key, page_id, file, offset, length``."""
     folder = shared_dir(pages.sparkSession)
-    meta = record_types(pages, min_bytes)
-    url = F.coalesce("url", F.lit(""))
-    rows = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html")).join(meta.hint("shuffle_hash"), "page_id")
+    rows = record_types(pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")), min_bytes)
     rows = rows.select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "page_id", "url", "refers_to", F.unhex("__sha").alias("sha"), F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), F.octet_length("html").alias("n"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +130,13 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
                 if out is None:
                     fs, base = _fs(folder)
                     fs.create_dir(base, recursive=True)
-                    name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                    own = uuid.uuid4().hex
+                    name = f"{folder}/{own}.warc.gz"
                     out = fs.open_output_stream(_fs(name)[1], compression=None)
                 kind = "response" if r["refers_to"] is None else "revisit"
-                record = _record(kind, r["page_id"] or 0, r["url"], r["refers_to"], base64.b32encode(r["sha"]).decode(), r["n"], (r["html"] or "").encode())
+                record = _record(kind, r["page_id"], r["url"], r["refers_to"], base64.b32encode(r["sha"]).decode(), r["n"], (r["html"] or "").encode())
                 out.write(record)
-                made.append((r["key"], r["page_id"], name, at, len(record)))
+                made.append((f"{r['key']} {own} {at:015d}", r["page_id"], name, at, len(record)))
                 at += len(record)
             yield _batch(CAPTURES, made)
         if out is not None:

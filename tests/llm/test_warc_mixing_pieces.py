@@ -41,6 +41,24 @@ def test_archives_without_deduplication_of_small_payloads_and_empty(spark):
     assert warc.lookup(warc.write_index(none), none).count() == 0
 
 
+def test_archives_of_null_and_repeated_ids(spark):
+    rows = [(None, "http://a.org/", "<p>n</p>"), (None, "http://a.org/", "<p>n</p>"), (0, "http://a.org/", "<p>0</p>"), (None, "http://a.org/", "<p>0</p>"), (None, None, None)]
+    rows += [(5, "http://b.org/", "<p>5</p>"), (5, "http://b.org/", "<p>other</p>"), (9, "http://c.org/", "<p>other</p>"), (6, "http://b.org/", "same"), (6, "http://b.org/", "same")]
+    last = {"<p>0</p>": 0, "<p>5</p>": 5, "<p>other</p>": 9, "same": 6}
+    captures = warc.write_archives(pages(spark, rows))
+    assert captures.count() == captures.select("key").distinct().count() == captures.select("file", "offset").distinct().count() == len(rows)
+    want = []
+    for i, url, html in rows:
+        refers = None if last.get(html) == i else last.get(html)
+        data = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want.append((i, url or "", "response" if refers is None else "revisit", refers, digest, data if refers is None else None))
+    for block in (warc.BLOCK, 2):
+        found = warc.lookup(warc.write_index(captures, block), captures).collect()
+        got = [(r.page_id, r.url, r.record_type, r.refers_to, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in found]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def targets(sizes, cycle=(3, 1, 2), share=1.5, cap=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: cycle[i % 3] for i, s in enumerate(names)}
