@@ -9,12 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a file whose share a task holds at once.
+GROUP = 16_384
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,11 +75,20 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def from_files(docs: DataFrame) -> DataFrame:
-    """``docs``, written to files first where not all rows come from some, with
-    ``__file``, a number for the file that a row is in."""
+    """``docs``, written to Parquet files first where not all rows come from some, with
+    ``__file``, a number for the file and the ``GROUP`` rows of it that a row is in. Rows are
+    counted in the file, so the number is the same however a scan splits it."""
     if not docs.where(F.input_file_name() == "").isEmpty():
         docs = settle(docs)
-    return docs.withColumn("__file", F.xxhash64(F.input_file_name()))
+    try:
+        return _numbered(docs)
+    except AnalysisException:  # no rows are counted in other formats
+        return _numbered(settle(docs))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    at = docs.metadataColumn("_metadata")
+    return docs.withColumn("__file", F.xxhash64(at["file_path"], (at["row_index"] / GROUP).cast("long")))
 
 
 def by_file(rows: DataFrame, *order: str) -> str:

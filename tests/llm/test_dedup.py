@@ -5,7 +5,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, jaccard_join, suffix_dedup
+from gridloom.llm import common, components, jaccard_join, sentencepiece_lattice, suffix_dedup
 
 random.seed(5)
 VOCABULARY = ["".join(random.choices("abcdefgh", k=5)) for _ in range(400)]
@@ -88,6 +88,19 @@ def test_suffix_dedup_orders_by_id_and_takes_repeats(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_one_file_is_taken_in_groups(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "GROUP", 20)
+    frame(spark, rows).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    docs = spark.read.parquet(f"file://{tmp_path}/one").select("doc_id", "text")
+    assert max(r["count"] for r in common.from_files(docs).groupBy("__file").count().collect()) == 20
+    assert common.from_files(docs).inputFiles() == docs.inputFiles()
+    want = {i: (b, hashlib.sha256(k).hexdigest()) for i, (_, b, _, k) in brute.repeats(rows).items()}
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()} == want
+    model = sentencepiece_lattice.Model({p: (i + 256, -1.0) for i, p in enumerate("abcdefgh▁")}, [bytes([i]) for i in range(256)] + [p.replace("▁", " ").encode() for p in "abcdefgh▁"], 0, True)
+    read = {r.doc_id: r.decoded for r in sentencepiece_lattice.encode(docs, model, round_trip=True).collect()}
+    assert all(read[i] == t for i, t in rows)
+
+
 def test_seen_before_against_plain():
     import numpy as np
 
