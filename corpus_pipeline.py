@@ -53,8 +53,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode_pieces),
 ]
 
-#: Classifier, join and suffix arrays are beyond SQL; tests hold each stage against a
-#: plain version.
+#: Classifier, join and suffix arrays are beyond SQL; tests hold the join and suffix
+#: stages against a plain version.
 ORACLE_SQL = None
 
 
