@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a file whose share a task holds at once.
-GROUP = 16_384
+GROUP = 8_192
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_dir`` has named, once what it held is written on."""
+    if "/gridloom-" not in path:
+        raise ValueError(f"not a folder of this package: {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

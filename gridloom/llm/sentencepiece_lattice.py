@@ -1,31 +1,37 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut where no piece of the vocabulary can cross (before a space mark, and around
-characters that only stand alone), and each distinct word is segmented once: its
-substrings up to the longest piece's length are exploded and equi-joined to the piece
-table, the edges found are grouped by word again, and one higher-order ``aggregate``
-folds each word's lattice to its pieces. A unigram model folds Viterbi; a BPE model,
+Texts are cut where no piece of the vocabulary can cross (before a space mark, between a
+letter and punctuation that follows letters in no piece, and around characters that only
+stand alone), and each distinct word is segmented once: its substrings up to the longest
+piece's length are exploded and equi-joined to the piece table, by hash and then by string,
+the edges found are grouped by word again, and one higher-order ``aggregate`` folds each
+word's lattice to the bounds of its pieces. A unigram model folds Viterbi; a BPE model,
 whose scores only rank its merges, folds the merges, best first and leftmost among
 equals, since the best sum of such scores is not what the model encodes. Characters that
 no piece holds become byte pieces. The piece table is the vocabulary, so its size is
 bounded, and it is broadcast.
 
-Words go back to the texts by input file: the distinct words of a file, with their
-pieces, form its dictionary, written below the shared folder, and the documents are read
-in place, each task looking words up in the dictionary of its file. Documents that come
-from no file are written to some first. A word of more than ``LONG`` characters is
-segmented where it stands, by the same rules.
+The words of each ``GROUP`` rows of an input file are kept in a table bucketed by word, so
+that the distinct words, their lattices and the way back to the groups need no shuffle of
+their own. The bounds then go to a folder per group, below the shared folder, and the
+documents are read in place; a task holds the words of the group that it reads. Documents
+that come from no Parquet file are written to some first.
+
+A word of more than ``LONG`` characters (a run of letters, as other characters are cut) has
+more bounds than a number has bits; it is segmented where it stands, by the same rules.
 
 Defined results for odd input: null texts give null pieces, empty ones none; as in any
-SentencePiece model a space and the mark itself decode to a space; repeated rows are
-encoded each; an empty table gives none; extra columns are kept, but for ``ids`` and
-``decoded``, which are replaced.
+SentencePiece model a space and the mark itself decode to a space; texts of any length are
+taken whole, a task holding one text at once at least; repeated rows are encoded each; an
+empty table gives none; extra columns are kept, but for ``ids`` and ``decoded``, which are
+replaced. A model with a mark behind another character of a piece is refused.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_file, from_files, partitions, pieces, rows_of_file, same_file, settle
+from gridloom.llm.common import by_file, discard, from_files, partitions, pieces, rows_of_file, same_file, shared_dir, text_bytes
 
 MARK = "▁"
 LONG = 60
@@ -55,16 +61,24 @@ class Model:
     def longest(self) -> int:
         return max(map(len, self.table))
 
-    @property
-    def cuts(self) -> str:
-        """The ASCII characters that no longer piece has."""
-        used = {c for p in self.table if len(p) > 1 for c in p}
-        return "".join(c for c in map(chr, range(128)) if c not in used and c != " ")
-
     @property
     def pattern(self) -> str:
-        own = "".join(rf"\x{ord(c):02x}" for c in self.cuts)
-        return f"{MARK}*[^{MARK}{own}]+|{MARK}+|[{own}]" if own else f"{MARK}*[^{MARK}]+|{MARK}+"
+        """Words: marks, then punctuation, then letters. ``inner`` are the characters of longer
+        pieces; ``after`` are those of them that follow no letter in a piece, and follow
+        only others of this kind."""
+        inner = {c for p in self.table if len(p) > 1 for c in p} - {MARK}
+        before: dict[str, set[str]] = {}
+        for p in self.table:
+            for a, b in zip(p, p[1:], strict=False):
+                before.setdefault(b, set()).add(a)
+        if before.get(MARK, set()) - {MARK}:
+            raise ValueError("a piece goes on behind a space mark")
+        after = {c for c in inner if not c.isalpha()}
+        while crossed := {c for c in after if before.get(c, set()) - after - {MARK}}:
+            after -= crossed
+        letters, marks = (re.escape("".join(sorted(x))) for x in (inner - after, after))
+        words = [f"[{marks}]*[{letters}]+" if marks else f"[{letters}]+"] * bool(letters) + [f"[{marks}]+"] * bool(marks)
+        return "|".join([*([f"{MARK}*(?:{'|'.join(words)})"] if words else []), f"{MARK}+", f"[^{MARK}{letters}{marks}]"])
 
     def ranks(self) -> dict[str, int]:
         return {p: r for r, p in enumerate(sorted(self.table, key=lambda p: (-self.table[p][1], self.table[p][0])))}
@@ -95,42 +109,53 @@ def load_model(path: str | None = None) -> Model:
     return Model(table, strings, first_byte, proto.trainer_spec.model_type == 1)
 
 
-def marked(text: str):
-    t = F.col(text)
-    return F.when(t != "", F.concat(F.lit(MARK), F.replace(t, F.lit(" "), F.lit(MARK)))).otherwise(F.lit(""))
-
-
 def words(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``file, word``: the distinct words of each input file."""
-    found = F.regexp_extract_all(marked(text), F.lit(model.pattern), F.lit(0))
-    all_ = docs.select(F.col("__file").alias("file"), F.explode(found).alias("word"))
-    return all_.where(F.length("word") <= LONG).distinct()
-
+    """``file, word``: the words of each group of rows, once for each task that reads it."""
+    pattern = model.pattern
 
-def lattice(numbered: DataFrame, model: Model) -> DataFrame:
-    """``number, word, n, edges`` from ``number, word``: the pieces found in each word, an
-    edge as one number of rank (from bit 32), start (from 26), length (from 20) and id, so
-    that edges sort by rank, then from the left. The words are partitioned by number, so
-    neither exploding nor grouping again moves them."""
-    spark, rank = numbered.sparkSession, model.ranks()
-    table = spark.createDataFrame([(p, rank[p] << 32 | i) for p, (i, _) in model.table.items()], "piece string, value long")
-    sized = numbered.withColumn("n", F.length("word")).withColumn("m", F.least(F.col("n"), F.lit(model.longest)))
-    spans = sized.select("number", "word", "n", "m", F.explode(F.expr("sequence(0, n * m - 1)")).alias("k"))
-    spans = spans.withColumns({"s": F.expr("k div m").cast("int"), "l": F.col("k") % F.col("m") + 1}).where("s + l <= n")
-    edges = spans.select("number", F.expr("substring(word, s + 1, l)").alias("piece"), "s", "l").join(F.broadcast(table), "piece")
-    edge = F.col("value") + F.shiftleft(F.col("s").cast("long"), 26) + F.shiftleft(F.col("l").cast("long"), 20)
-    grouped = edges.select("number", edge.alias("edge")).groupBy("number").agg(F.collect_list("edge").alias("edges"))
-    return sized.select("number", "word", "n").join(grouped.hint("shuffle_hash"), "number", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<bigint>")))
-
-
-def _bytes(model: Model, text: str) -> str:
-    return f"transform(sequence(1, octet_length({text})), k -> {model.first_byte} + cast(conv(substring(hex({text}), 2 * k - 1, 2), 16, 10) as int))"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, file, seen = re.compile(pattern).findall, None, set()
+
+        def held() -> Iterator[pa.RecordBatch]:
+            listed = [w for w in seen if len(w) <= LONG]
+            for i in range(0, len(listed), 32_768):
+                part = listed[i : i + 32_768]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.int64()), pa.array(part, pa.string())], ["file", "word"])
+
+        for of, b in same_file(pieces(batches, text)):
+            if of != file:
+                yield from held()
+                file, seen = of, set()
+            for t in b.column(text).to_pylist():
+                if t:
+                    seen.update(find(MARK + t.replace(" ", MARK)))
+        yield from held()
+
+    return docs.select("__file", text).mapInArrow(run, "file long, word string")
+
+
+def lattice(distinct: DataFrame, model: Model) -> DataFrame:
+    """``word, n, edges`` from ``word``: the pieces found in each word, an edge as one number
+    of rank (from bit 32), start (from 6) and length, so that edges sort by rank, then from
+    the left. What is partitioned by word stays so: neither exploding nor grouping again
+    moves it. Merges need no edges of one character."""
+    spark, rank, least = distinct.sparkSession, model.ranks(), 1 if model.unigram else 2
+    table = spark.createDataFrame([(p, rank[p] << 32) for p in model.table if len(p) >= least], "found string, rank long")
+    sized = distinct.withColumns({"h": F.xxhash64("word"), "n": F.length("word")})
+    spans = sized.withColumn("m", F.least(F.col("n"), F.lit(model.longest)))
+    spans = spans.select("h", "word", "n", "m", F.explode(F.expr("sequence(0, n * m - 1)")).alias("k"))
+    spans = spans.withColumns({"s": F.expr("k div m"), "l": F.expr("k % m + 1")}).where(f"s + l <= n AND l >= {least}")
+    spans = spans.select("h", "word", F.expr("substring(word, cast(s as int) + 1, l)").alias("piece"), (F.shiftleft("s", 6) + F.col("l")).alias("span"))
+    # numbers are looked up faster than strings; equal hashes are told apart by the string
+    edges = spans.withColumn("hash", F.xxhash64("piece")).join(F.broadcast(table.withColumn("hash", F.xxhash64("found"))), "hash").where("piece = found")
+    grouped = edges.groupBy("h", "word").agg(F.collect_list(F.col("rank") + F.col("span")).alias("edges"))
+    return sized.select("word", "n").join(grouped.select("word", "edges").hint("shuffle_hash"), "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<bigint>")))
 
 
 #: An edge's start and length, the bounds of both ends, and those that stand inside it.
-_START, _LENGTH = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)"
-_EDGE = f"""named_struct('s', {_START}, 'ends', shiftleft(1L, {_START}) | shiftleft(1L, {_START} + {_LENGTH}),
-    'inner', shiftleft(shiftleft(1L, {_LENGTH} - 1) - 1L, {_START} + 1), 'id', cast(e & 1048575 as int))"""
+_START, _LENGTH = "cast(shiftright(e, 6) & 63 as int)", "cast(e & 63 as int)"
+_EDGE = f"""named_struct('ends', shiftleft(1L, {_START}) | shiftleft(1L, {_START} + {_LENGTH}),
+    'inner', shiftleft(shiftleft(1L, {_LENGTH} - 1) - 1L, {_START} + 1))"""
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -138,32 +163,22 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _pieces_at(model: Model, bounds: str) -> str:
-    """The ids between bounds, a number's bits; what no edge spans is one character."""
-    char = _bytes(model, "substring(word, p + 1, 1)")
-    found = f"sort_array(transform(filter(g, x -> (b & x.ends) = x.ends and (b & x.inner) = 0), x -> struct(x.s, x.id)))"
-    all_ = "transform(f, x -> x.id)"
-    some = f"flatten(transform(filter(sequence(0, n - 1), p -> getbit(b, p) = 1), p -> {_let('filter(f, x -> x.s = p)', 'h', f'if(size(h) > 0, transform(h, x -> x.id), {char})')}))"
-    chosen = f"if(size(f) = bit_count(b) - 1, {all_}, {some})"
-    return _let(bounds, "b", _let(found, "f", chosen))
-
-
-def fold_merges(grouped: DataFrame, model: Model) -> DataFrame:
-    """``word, ids``: starting from characters, joins the pair of neighbours of the best
+def fold_merges(grouped: DataFrame) -> DataFrame:
+    """``word, bounds``: starting from characters, joins the pair of neighbours of the best
     rank, leftmost first, while there is one. The bounds between pieces are the bits of a
-    number: an edge joins a pair where both its ends are bounds and one stands inside."""
-    first = "get(filter(pairs, x -> (b & x.ends) = x.ends and bit_count(b & x.inner) = 1), 0)"
-    step = _let(f"{first}.inner", "i", "if(i is null, named_struct('b', b, 'go', false), named_struct('b', b & ~i, 'go', true))")
-    step = f"if(a.go, {_let('a.b', 'b', step)}, a)"
-    start = "named_struct('b', shiftleft(1L, n + 1) - 1L, 'go', true)"
-    fold = f"aggregate(sequence(2, n), {start}, (a, y) -> {step}, a -> a.b)"
-    bounds = f"if(n < 2, 3L, {_let('filter(g, x -> x.inner <> 0)', 'pairs', fold)})"
-    ids = _let(f"transform(sort_array(edges), e -> {_EDGE})", "g", _pieces_at(model, bounds))
-    return grouped.select("word", F.expr(ids).alias("ids"))
+    number: an edge joins a pair where both its ends are bounds and one stands inside. Edges
+    that have lost an end, or have nothing inside any more, are dropped on the way."""
+    left = "filter(a.edges, x -> (b & x.ends) = x.ends AND (b & x.inner) <> 0)"
+    joined = _let("a.b & ~i", "b", f"named_struct('b', b, 'edges', {left})")
+    none = "named_struct('b', a.b, 'edges', filter(a.edges, x -> false))"
+    step = _let("get(filter(a.edges, x -> bit_count(a.b & x.inner) = 1), 0).inner", "i", f"if(i is null, {none}, {joined})")
+    start = f"named_struct('b', shiftleft(1L, n + 1) - 1L, 'edges', transform(sort_array(edges), e -> {_EDGE}))"
+    fold = f"aggregate(sequence(2, n), {start}, (a, y) -> if(size(a.edges) = 0, a, {step}), a -> a.b)"
+    return grouped.select("word", F.expr(f"if(n < 2, 3L, {fold})").alias("bounds"))
 
 
 def fold_viterbi(grouped: DataFrame, model: Model) -> DataFrame:
-    """``word, ids``: the segmentation of the largest sum of scores; a character that no
+    """``word, bounds``: the segmentation of the largest sum of scores; a character that no
     piece holds costs 10 more than the least score. The state has the best sum and the
     last piece's length for each place so far."""
     unknown = min(s for _, s in model.table.values()) - 10
@@ -177,9 +192,7 @@ def fold_viterbi(grouped: DataFrame, model: Model) -> DataFrame:
     best = f"aggregate(sequence(1, n), array(named_struct('score', 0D, 'l', 0)), (a, j) -> concat(a, array({back})))"
     # from the end back: the bounds, as bits
     walk = "aggregate(sequence(1, n), named_struct('b', shiftleft(1L, n), 'at', n), (a, y) -> if(a.at = 0, a, named_struct('b', a.b | shiftleft(1L, a.at - get(best, a.at).l), 'at', a.at - get(best, a.at).l)), a -> a.b)"
-    s = s.withColumn("best", F.expr(best)).withColumn("bounds", F.expr(walk))
-    ids = _let(f"transform(edges, e -> {_EDGE})", "g", _pieces_at(model, "bounds"))
-    return s.select("word", F.expr(ids).alias("ids"))
+    return s.withColumn("best", F.expr(best)).select("word", F.expr(walk).alias("bounds"))
 
 
 def segment(word: str, model: Model, rank: dict[str, int]) -> list[int]:
@@ -223,13 +236,44 @@ def segment(word: str, model: Model, rank: dict[str, int]) -> list[int]:
 
 
 def dictionaries(docs: DataFrame, model: Model, text: str = "text") -> str:
-    """Writes each input file's words with their pieces; returns the folder."""
-    n = partitions(docs.sparkSession)
-    pairs = settle(words(docs, model, text).repartition(n, "word"))
-    numbered = settle(pairs.select("word").distinct().withColumn("number", F.monotonically_increasing_id()))
-    fold = fold_viterbi if model.unigram else fold_merges
-    known = fold(lattice(numbered.repartition(n, "number"), model), model)
-    return by_file(pairs.join(known, "word").select("file", "word", "ids"))
+    """Writes the words of each group of rows with the bounds of their pieces; returns the
+    folder."""
+    spark = docs.sparkSession
+    n, name, place = partitions(spark), f"gridloom_words_{uuid.uuid4().hex}", shared_dir(spark)
+    pairs = words(docs, model, text).repartition(n, "word")
+    pairs.write.bucketBy(n, "word").option("path", place).saveAsTable(name)
+    known = spark.table(name)
+    grouped = lattice(known.select("word").distinct(), model)
+    bounds = fold_viterbi(grouped, model) if model.unigram else fold_merges(grouped)
+    folder = by_file(known.join(bounds.hint("shuffle_hash"), "word").select("file", "word", "bounds"))
+    spark.sql(f"DROP TABLE {name}")
+    discard(spark, place)
+    return folder
+
+
+def ids_of(words: pa.Array, bounds: np.ndarray, model: Model, known: pa.Array, ids: np.ndarray) -> pa.ListArray:
+    """The ids between the bounds of each word. ``known``: the pieces, ``ids``: theirs."""
+    data, ends = text_bytes(words)
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    word = np.searchsorted(ends, first, "right") - 1
+    start = np.searchsorted(first, ends[:-1])
+    cut = first[(bounds[word] >> (np.arange(len(first)) - start[word])) & 1 == 1]
+    offsets = pa.array(np.append(cut, len(data)).astype(np.int32))
+    parts = pa.StringArray.from_buffers(len(cut), offsets.buffers()[1], pa.py_buffer(data))
+    at = pc.index_in(parts, value_set=known)
+    lists = ids[at.fill_null(0).to_numpy()].astype(np.int32)
+    count = np.searchsorted(cut, ends)
+    strange = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+    if not len(strange):
+        return pa.ListArray.from_arrays(pa.array(count.astype(np.int32)), pa.array(lists))
+    # the characters that no piece holds become a piece per byte
+    size = np.ones(len(cut), np.int64)
+    size[strange] = (np.append(cut, len(data))[strange + 1] - cut[strange])
+    total = np.append(0, np.cumsum(size))
+    out = np.repeat(lists, size)
+    for k in strange.tolist():
+        out[total[k] : total[k + 1]] = model.first_byte + data[cut[k] : cut[k] + size[k]].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(total[count].astype(np.int32)), pa.array(out))
 
 
 def _texts(ids: pa.ListArray, strings: pa.Array) -> pa.Array:
@@ -246,17 +290,19 @@ def encode(docs: DataFrame, model: Model, text: str = "text", round_trip: bool =
     docs = from_files(docs)
     folder = dictionaries(docs, model, text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "ids array<int>", *(["decoded string"] if round_trip else [])])
-    entry = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
+    entry = pa.schema([("word", pa.string()), ("bounds", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, rank = re.compile(model.pattern).findall, model.ranks()
         file, known, ids = None, None, None
         strings = pa.array(model.strings, pa.large_binary())
-        for b in pieces(batches, text):
+        table, numbers = pa.array(list(model.table), pa.string()), np.array([i for i, _ in model.table.values()])
+        for b in pieces(batches, text, 2 << 20):
             for of, part in same_file(iter([b])):
                 if of != file:
-                    own = rows_of_file(folder, of, entry)
-                    file, known, ids = of, pa.concat_arrays(own.column("word").chunks or [pa.array([], pa.string())]), pa.concat_arrays(own.column("ids").chunks or [pa.array([], entry.field("ids").type)])
+                    own = rows_of_file(folder, of, entry).combine_chunks()
+                    file, known = of, pa.concat_arrays(own.column("word").chunks or [pa.array([], pa.string())])
+                    ids = ids_of(known, own.column("bounds").to_numpy(), model, table, numbers)
                 texts = part.column(text)
                 found = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts.to_pylist()]
                 counts = np.array([len(f) for f in found])
