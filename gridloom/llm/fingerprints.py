@@ -13,8 +13,9 @@ so order is found without gathering the table.
 Defined results for odd input: a null text is empty, with the fingerprint ``3::``; equal
 fingerprints have likeness 1; signatures shorter than seven characters count for less,
 in proportion, as they prove little; documents that repeat an id follow each other in
-order of text; a null id is the smallest; a single document is its own next; an empty
-table gives none.
+order of text; a null id is the smallest; ids are 64-bit whole numbers; a single document
+is its own next; texts of any length are taken whole, one in a task at once; an empty table
+gives none; columns beside those named are not kept, so none can clash.
 """
 
 from __future__ import annotations
@@ -99,24 +100,30 @@ def likeness(a: Column, b: Column) -> Column:
 def neighbours(docs: DataFrame) -> DataFrame:
     """``part, extra, doc_id, text``, partitioned and sorted such that within a part each
     row stands before the next document in descending order of id; the last row of a
-    part is a copy (``extra`` 1) of the first document of the part that follows."""
+    part is a copy (``extra`` 1) of the first document of the part that follows.
+
+    Parts are ranges of ids as doubles, which keep the order of longs but not all their
+    digits; within a part, and to find its first document, ids are compared as longs."""
     spark = docs.sparkSession
     n = partitions(spark)
-    low = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("double")
-    rows = docs.select("doc_id", text_or_empty().alias("text"), (-low).alias("__key"))
+    low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # the bitwise complement turns the order round and never overflows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.bitwise_not(low).alias("__key"))
+    rows = rows.withColumn("__about", F.col("__key").cast("double"))
     if rows.select("__key").isEmpty():
         return rows.select(F.lit(0).alias("part"), F.lit(0).alias("extra"), "doc_id", "text")
-    cuts = rows.agg(F.percentile_approx("__key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    cuts = rows.agg(F.percentile_approx("__about", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="__key", outputCol="__part").transform(rows).withColumn("__part", F.col("__part").cast("int"))
+    dealt = Bucketizer(splits=splits, inputCol="__about", outputCol="__part").transform(rows).withColumn("__part", F.col("__part").cast("int"))
+    # a row per part: no more than there are shuffle partitions
     heads = [(r[0], r[1]) for r in dealt.groupBy("__part").agg(F.min("__key")).orderBy("__part").collect()]
-    before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}
+    before = spark.createDataFrame([(part, key, heads[i - 1][0]) for i, (part, key) in enumerate(heads)], "__part int, __key long, __back int")
+    marked = dealt.join(F.broadcast(before), ["__part", "__key"], "left")
     own = F.struct(F.col("__part").alias("part"), F.lit(0).alias("extra"))
-    back = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__key"))
-    copy = F.struct(back.alias("part"), F.lit(1).alias("extra"))
-    where = F.when(F.col("__key").isin(list(before)), F.array(own, copy)).otherwise(F.array(own))
-    spread = dealt.withColumn("__to", F.explode(where)).select("__to.part", "__to.extra", "doc_id", "text", "__key")
-    return spread.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", "__key", "text").drop("__key")
+    copy = F.struct(F.col("__back").alias("part"), F.lit(1).alias("extra"))
+    spread = marked.withColumn("__to", F.explode(F.when(F.col("__back").isNotNull(), F.array(own, copy)).otherwise(F.array(own))))
+    spread = spread.select("__to.part", "__to.extra", "doc_id", "text", "__key", F.col("doc_id").isNull().alias("__none"))
+    return spread.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", "__key", "__none", "text").drop("__key", "__none")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"

@@ -5,7 +5,7 @@ copies are its source's target spread over the source by document weight; their
 whole part is certain, and for the rest the documents of a source are ranked by
 their random odds divided by their inclusion odds, ``(u/(1-u)) / (p/(1-p))``, and
 taken in that order until the source's words are reached. ``u`` is a hash of the
-seed and the document's id, so reruns agree.
+seed and the document's id (without one, its text), so reruns agree.
 
 The cut of a source is found on histograms of the rank, twice refined, so that only
 the documents of one bin in a million are ever put in order; no source, however hot,
@@ -14,7 +14,10 @@ to the documents is a join that leaves their texts where they are.
 
 Defined results for odd input: a null text has size 0 and is taken 0 words; a null
 source is a source of its own, the last; rows that repeat an id rank the same and are
-taken or left together; a source of size 0 has target 0; an empty table gives none.
+taken or left together, and a row without an id goes by its text; a source of size 0 has
+target 0; a text of any length is one document; an empty table gives none; columns of the
+names that are added are replaced, others kept. The sources, a row each, are put in order in
+one task, the documents nowhere.
 """
 
 from __future__ import annotations
@@ -97,7 +100,7 @@ def with_sources(docs: DataFrame, per_source: DataFrame) -> DataFrame:
 def rank(docs: DataFrame, weight: str | None, cap: float, seed: str) -> DataFrame:
     """Adds ``whole`` copies, and the rank of the rest as ``(__k, __h)``; __k is null
     where nothing is left to draw."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("__of")))
     e = F.least(F.col("rate") * (F.col(weight) if weight else F.lit(1.0)), F.lit(cap))
     u = (F.conv(F.substring("__h", 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
     q = (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p")))
@@ -142,10 +145,11 @@ def cuts(docs: DataFrame, weight: str | None = None, cycle=CYCLE, share: float =
 def mix(docs: DataFrame, text: str = "text", weight: str | None = None, cycle=CYCLE, share: float = SHARE, cap: float = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """``docs`` with ``size, source_size, target`` and ``copies``, the number of times
     that the mix takes the document. Columns of these names are replaced."""
-    sized = docs.drop("size").withColumn("size", n_words(text))
-    small = settle(sized.select("doc_id", "source", "size", *([weight] if weight else [])))
+    of = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(text_or_empty(text))))
+    sized = docs.drop("size").withColumns({"size": n_words(text), "__of": of})
+    small = settle(sized.select("__of", "source", "size", *([weight] if weight else [])))
     per = settle(cuts(small, weight, cycle, share, cap, seed))
     out = rank(with_sources(sized.drop("source_size", "target", "rate", "copies", "whole", "cut_k", "cut_h"), per), weight, cap, seed)
     extra = (F.col("__k") < F.col("cut_k")) | ((F.col("__k") == F.col("cut_k")) & (F.col("__h") <= F.col("cut_h")))
     copies = F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
-    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long")).drop("__k", "__h", "whole", "rate", "cut_k", "cut_h")
+    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long")).drop("__k", "__h", "__of", "whole", "rate", "cut_k", "cut_h")

@@ -81,7 +81,7 @@ FROM d
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS h
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -112,7 +112,7 @@ WITH d AS (
             OVER (PARTITION BY source ORDER BY k NULLS LAST, h ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE <= want AS more
   FROM k
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target,
+SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN more THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
 FROM m
 """

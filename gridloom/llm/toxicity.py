@@ -9,10 +9,11 @@ regression on presence times ratio.
 of fixed size.
 
 Defined results for odd input: a null text is empty, and an empty text scores what the
-intercept says; null labels are ignored, and a document with several labels is toxic if
-one of them says so; without labels of both classes every score is the share of toxic
-labels (0.5 where there are none); an empty table gives none; extra columns are kept by
-``score`` except ``score`` and ``predicted``, which are replaced.
+intercept says; labels other than 0 and 1 are ignored, as null ones are, and a document
+with several labels is toxic if one of them says so; without labels of both classes every score is the share of toxic
+labels (0.5 where there are none); texts of any length are taken whole, a task holding one
+at once at least; an empty table gives none; extra columns are kept by ``score`` except
+``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm.common import pieces, settle
 
@@ -105,7 +107,7 @@ class Model:
 def drawn_labels(labels: DataFrame, max_rows: int) -> DataFrame:
     """``doc_id, toxic`` of the labels that may be learned from, ``max_rows`` at most, the
     first in order of a hash of the id."""
-    usable = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
+    usable = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0))
     known = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     return known.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max_rows)
 
@@ -130,16 +132,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     number, ratio = none.copy(), np.array([r["ratio"] for r in best])
     number[[r["bucket"] for r in best]] = np.arange(len(best), dtype=np.int32)
 
+    # made as the arrays that a sparse vector consists of, so that no row meets a user function
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             row, f = _hits(b.column("text"), number)
-            cut = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.ListArray.from_arrays(pa.array(cut), pa.array(f.astype(np.int32)))], ["toxic", "f"])
+            cut = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (f.astype(np.int32), ratio[f])]
+            fixed = [pa.array(np.full(b.num_rows, x), k) for x, k in ((0, pa.int8()), (len(ratio), pa.int32()))]
+            vector = pa.StructArray.from_arrays([*fixed, *lists], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.float64()), vector], ["label", "features"])
 
-    size, scale = len(best), ratio
-    vector = F.udf(lambda f: SparseVector(size, f, scale[f]) if f else SparseVector(size, [], []), VectorUDT())
-    sample = settle(rows.mapInArrow(rows_of, "toxic int, f array<int>"))
-    train = sample.select(F.col("toxic").cast("double").alias("label"), vector("f").alias("features"))
+    train = settle(rows.mapInArrow(rows_of, StructType().add("label", "double").add("features", VectorUDT())))
     lr = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(train)
     return Model(number, np.asarray(lr.coefficients) * ratio, float(lr.intercept))
 

@@ -16,7 +16,11 @@ leaves at worst a file that nothing names.
 Defined results for odd input: null html is an empty payload, also deduplicated; null
 urls have an empty key; pages that repeat an id are separate captures, each with a record
 and a key of its own; a null id stays null, and such a page is a response unless a page
-with an id has its payload, which it then refers to; an empty table writes nothing; columns beside those named are not kept.
+with an id has its payload, which it then refers to; white space and control characters of
+a url are percent-encoded in its header, and the url as given is kept in a line beside it;
+payloads of any length are one record, held by a task one at a time; an empty table writes
+nothing; columns beside those named are not kept, so none can clash. A payload that does
+not have the digest written with it raises when it is read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import base64
 import bisect
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +42,8 @@ from gridloom.llm.common import partitions, settle, shared_dir
 from gridloom.llm.url_filter import host_and_path
 
 BLOCK = 256
+#: What a header line cannot hold is percent-encoded; the url as it was is then in a line of its own.
+BREAKS, EXACT = re.compile(r"[\x00-\x20\x7f\x85\u2028\u2029]+"), "X-Target-As-Given"
 CAPTURES = "key string, page_id long, file string, offset long, length long"
 TOP = "first_key string, last_key string, directory string, index string"
 FOUND = "key string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -77,11 +84,13 @@ def _fs(path: str):
 def _record(kind: str, page_id: int | None, url: str, refers: int | None, digest: str, n: int, payload: bytes) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
     block = http + payload
+    plain = BREAKS.sub(lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), url)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {json.dumps(url)[1:-1]}",
+        f"WARC-Target-URI: {plain}",
+        *([f"{EXACT}: {json.dumps(url)}"] if plain != url else []),
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if kind == "revisit" else []),
@@ -99,15 +108,18 @@ def _parse(member: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
+    said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     named = lambda k: fields.get(k, "").rpartition(":")[2].rstrip(">")
     number = lambda k: int(named(k)) if named(k) else None
-    kind, said = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    kind = fields["WARC-Type"]
     length = int(http.rpartition(b"Content-Length: ")[2])
     if kind == "response":
-        said, length = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
+        length = len(payload)
+        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != said:
+            raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not the one that was written")
     return {
         "page_id": number("WARC-Record-ID"),
-        "url": json.loads(f'"{fields["WARC-Target-URI"]}"'),
+        "url": json.loads(fields[EXACT]) if EXACT in fields else fields["WARC-Target-URI"],
         "record_type": kind,
         "refers_to": number("WARC-Refers-To"),
         "payload_digest": said,
