@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,11 +29,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a temporary folder is used.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    the executors are threads of this process, as in tests, a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
@@ -41,9 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut,
     and a lost executor costs no recomputation of what came before."""
+    return settle_at(df)[0]
+
+
+def settle_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``settle`` with the folder, for ``discard``."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:

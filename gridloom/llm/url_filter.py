@@ -8,14 +8,18 @@ host with more distrust than trust, each relative to its even share, is blocked.
 
 A rule table of at most ``MAX_COMPILED`` rows is compiled into the projection as a map
 (its size is checked); a larger one is joined on host and prefix. Edges are counted per
-pair of hosts before anything is joined, and each PageRank step is written to the
-shared folder, so that a lost executor costs one step.
+pair of hosts before anything is joined. Both walks go in one set of rows, each step is one
+job written to the shared folder, and they end when no step changes either by more than
+``TOLERANCE`` in all (``STEPS`` at most, by when less than that is left); a host of very many
+links is a key of a plain join of two shuffles, which Spark splits at run time.
 
 Defined results for odd input: a null url or one without ``://`` has an empty host and
-path, fits no rule and is allowed; null html has no links; a host without links passes
-its trust back to the seeds; without seeds nothing is trusted or distrusted and all is
-allowed; an empty table gives none; repeated pages are judged each, and their links
-count each time.
+path, fits no rule and is allowed; null html has no links; html and urls of any length are
+read whole; a host without links passes its trust back to the seeds; without seeds nothing
+is trusted or distrusted and all is allowed; an empty table gives none; repeated pages are
+judged each, and their links count each time; columns of the names that are added are
+replaced, others kept. A rule that is null or has no verdict is left out, one without ``/``
+fits all paths of its host, and of a rule with several verdicts block counts.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle
+from gridloom.llm.common import discard, settle, settle_at
 
-MAX_COMPILED = 2_000
+MAX_COMPILED = 64
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, STEPS = 0.85, 10
+DAMPING, TOLERANCE, STEPS = 0.85, 1e-6, 90
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -68,14 +72,15 @@ def match_rules(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame)
     ``rules``: pairs of ``host/path-prefix`` and verdict, or a table ``rule, verdict``.
     """
     spark = pages.sparkSession
-    table = rules if isinstance(rules, DataFrame) else None
-    if table is not None:
-        head = table.select("rule", "verdict").distinct().limit(MAX_COMPILED + 1).collect()
+    if isinstance(rules, DataFrame):
+        table = rules.where("rule IS NOT NULL AND verdict IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict"))
+        head = table.limit(MAX_COMPILED + 1).collect()
         listed = [tuple(r) for r in head] if len(head) <= MAX_COMPILED else None
-        lengths = [r[0] for r in table.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().collect()]
+        # as many as there are lengths of path prefixes
+        lengths = [r[0] for r in table.select(F.when(F.contains("rule", F.lit("/")), F.length("rule") - F.instr("rule", "/") + 1).otherwise(0).alias("n")).distinct().collect()]
     else:
-        listed = list(rules)
-        lengths = sorted({len(r) - r.index("/") for r, _ in listed})
+        listed = sorted({r: v for r, v in sorted((r, v) for r, v in rules if r is not None and v is not None)}.items())
+        lengths = sorted({len(r) - r.index("/") if "/" in r else 0 for r, _ in listed})
         if len(listed) > MAX_COMPILED:
             table, listed = spark.createDataFrame(listed, "rule string, verdict string"), None
     if listed is not None and not listed:
@@ -102,45 +107,68 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return per_page.select("src", dst.alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """Personalised PageRank: ``host, score`` over ``src, dst, n`` from ``host, weight``.
-    The walk restarts at the seeds, also from hosts without links."""
+def walks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
+    """Personalised PageRank: ``walk, host, score`` over ``walk, src, dst, n`` from
+    ``walk, host, weight``, each walk for itself. It restarts at the seeds, also from hosts
+    without links."""
+    spark = edges.sparkSession
     # a sum per source is merged before the shuffle; a window would gather hosts whole
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = settle(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    start = settle(seeds.crossJoin(F.broadcast(seeds.agg(F.sum("weight").alias("all")))).where("all > 0").select("host", (F.col("weight") / F.col("all")).alias("p")))
-    rank = start.select("host", F.col("p").alias("score"))
+    out, at_out = settle_at(edges.groupBy("walk", "src").agg(F.sum("n").alias("all")))
+    shares, at_shares = settle_at(edges.join(out, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all") * damping).alias("share")))
+    total = seeds.groupBy("walk").agg(F.sum("weight").alias("all")).where("all > 0")
+    start, at_start = settle_at(seeds.join(F.broadcast(total), "walk").where("weight > 0").select("walk", "host", (F.col("weight") / F.col("all")).alias("p")))
+    rank = start.select("walk", "host", F.col("p").alias("score"))
+    zero, at_before = F.lit(0.0), at_out
     for _ in range(steps):
-        moved = rank.join(shares, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share") * damping).alias("moved"))
-        moved = settle(moved)
-        # what did not move along a link goes back to the seeds; one row
-        back = moved.agg((F.lit(1.0) - F.coalesce(F.sum("moved"), F.lit(0.0))).alias("back"))
-        restart = start.crossJoin(F.broadcast(back)).select("host", (F.col("p") * F.col("back")).alias("score"))
-        rank = settle(moved.select(F.col("dst").alias("host"), F.col("moved").alias("score")).unionByName(restart).groupBy("host").agg(F.sum("score").alias("score")))
+        moved = rank.join(shares, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("moved"), zero.alias("p"), zero.alias("was"))
+        parts = moved.unionByName(start.select("walk", "host", zero.alias("moved"), "p", zero.alias("was"))).unionByName(rank.select("walk", "host", zero.alias("moved"), zero.alias("p"), F.col("score").alias("was")))
+        now, at_now = settle_at(parts.groupBy("walk", "host").agg(*(F.sum(c).alias(c) for c in ("moved", "p", "was"))))
+        # what did not move along a link goes back to the seeds: a number per walk
+        back = {r["walk"]: 1.0 - r["moved"] for r in now.groupBy("walk").agg(F.sum("moved").alias("moved")).collect()}
+        if not back:
+            break
+        share = F.lit(0.0)
+        for walk, left in back.items():
+            share = F.when(F.col("walk") == walk, left).otherwise(share)
+        score = F.col("moved") + F.col("p") * share
+        change = now.agg(F.sum(F.abs(score - F.col("was")))).first()[0]
+        rank = now.select("walk", "host", score.alias("score"))
+        discard(spark, at_before)  # no longer read
+        at_before = at_now
+        if change <= tolerance:
+            break
+    rank = settle(rank)
+    for path in (at_shares, at_start, at_before):
+        discard(spark, path)
     return rank
 
 
-def host_verdicts(judged: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
-    """``host, trust, distrust, host_verdict`` for all hosts of pages or links."""
-    edges = settle(edges)
-    seeds = settle(
+def host_verdicts(judged: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host, trust, distrust, host_verdict`` for all hosts that a walk comes to."""
+    spark = judged.sparkSession
+    edges, at_edges = settle_at(edges)
+    seeds, at_seeds = settle_at(
         judged.where(F.col("rule_verdict").isNotNull())
         .groupBy("host")
         .agg(F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad"))
     )
-    trust = propagate(edges, seeds.select("host", F.col("good").alias("weight")), steps=steps).withColumnRenamed("score", "trust")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, seeds.select("host", F.col("bad").alias("weight")), steps=steps).withColumnRenamed("score", "distrust")
-    both = trust.join(distrust, "host", "full").fillna(0.0, ["trust", "distrust"])
-    return both.withColumn("host_verdict", F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow"))
-
-
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame = RULES, steps: int = STEPS) -> DataFrame:
+    both = edges.select(F.lit("trust").alias("walk"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    begin = seeds.select(F.lit("trust").alias("walk"), "host", F.col("good").alias("weight")).unionByName(seeds.select(F.lit("distrust").alias("walk"), "host", F.col("bad").alias("weight")))
+    rank = walks(both, begin, tolerance=tolerance)
+    of = [F.sum(F.when(F.col("walk") == w, F.col("score")).otherwise(0.0)).alias(w) for w in ("trust", "distrust")]
+    out = settle(rank.groupBy("host").agg(*of))
+    for path in (at_edges, at_seeds):
+        discard(spark, path)
+    # what differs by no more than rounding is the same
+    return out.withColumn("host_verdict", F.when(F.col("distrust") > F.col("trust") + 1e-9, "block").otherwise("allow"))
+
+
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame = RULES, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds ``host, path, rule, trust, distrust, verdict`` to pages of ``url, html``;
     columns of these names are replaced."""
     host, path = host_and_path(F.col("url"))
     pages = pages.drop("rule", "rule_verdict", "trust", "distrust", "verdict", "host_verdict").withColumns({"host": host, "path": path})
     judged = match_rules(pages, rules)
-    verdicts = settle(host_verdicts(judged, host_edges(pages), steps))
+    verdicts = host_verdicts(judged, host_edges(pages), tolerance)
     out = judged.join(verdicts, "host", "left").fillna(0.0, ["trust", "distrust"])
     return out.withColumn("verdict", F.coalesce("rule_verdict", "host_verdict", F.lit("allow"))).drop("rule_verdict", "host_verdict")

@@ -99,5 +99,61 @@ def test_trust_and_distrust_follow_links(spark):
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(df).collect()}
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "allow"}
     assert url_filter.filter_urls(df.limit(0)).count() == 0
-    scores = url_filter.propagate(url_filter.host_edges(df.withColumn("host", url_filter.host_and_path(F.col("url"))[0])), spark.createDataFrame([("good.org", 1.0)], "host string, weight double"))
-    assert scores.agg(F.sum("score")).first()[0] == pytest.approx(1.0)
+
+
+def test_rules_repeated_null_and_without_a_path(spark, monkeypatch):
+    rules = [("a.org/", "allow"), ("a.org/", "block"), (None, "block"), ("b.org/x", None), ("c.org", "allow"), ("c.org/y", "block")]
+    df = spark.createDataFrame([("a.org", "/1", "old"), ("b.org", "/x", "old"), ("c.org", "", "old"), ("d.c.org", "/y/z", "old")], "host string, path string, mine string")
+    for limit in (url_filter.MAX_COMPILED, 1):
+        monkeypatch.setattr(url_filter, "MAX_COMPILED", limit)
+        for given in (rules, spark.createDataFrame(rules, "rule string, verdict string")):
+            got = {r.host: (r.rule, r.rule_verdict) for r in url_filter.match_rules(df, given).collect()}
+            assert got == {"a.org": ("a.org/", "block"), "b.org": (None, None), "c.org": ("c.org", "allow"), "d.c.org": ("c.org/y", "block")}
+        assert url_filter.match_rules(df, []).where("rule IS NOT NULL").isEmpty()
+
+
+def pagerank(links, seeds, damping=0.85):
+    """Plain: {host: score} of [(src, dst, n)] from {host: weight}, until it stands."""
+    out, total = {}, sum(seeds.values())
+    for a, _, n in links:
+        out[a] = out.get(a, 0) + n
+    p = {h: w / total for h, w in seeds.items()}
+    now = dict(p)
+    for _ in range(300):
+        new = {}
+        for a, b, n in links:
+            new[b] = new.get(b, 0.0) + damping * now.get(a, 0.0) * n / out[a]
+        left = 1 - sum(new.values())
+        for h, w in p.items():
+            new[h] = new.get(h, 0.0) + w * left
+        now = new
+    return now
+
+
+def test_scores_of_a_linked_graph_against_plain(spark):
+    """300 hosts, one that all link to and that links to all, and a chain of 14 to a blocked host."""
+    import random
+
+    draw = random.Random(3)
+    hosts = [f"h{i}.{'org' if i % 9 == 0 else 'com' if i % 7 == 0 else 'net'}" for i in range(300)]
+    links = [(h, draw.choice(hosts)) for h in hosts for _ in range(4)] + [(h, "hub.net") for h in hosts] + [("hub.net", h) for h in hosts]
+    links += [(f"chain{i}.net", f"chain{i + 1}.net") for i in range(14)] + [("chain14.net", "bad.com")]
+    by = {}
+    for a, b in links:
+        by.setdefault(a, []).append(b)
+    rows = [(i, f"http://{a}/{'de' if a.endswith('com') else 'p'}/1", "".join(f"<a href='http://{x}/p'>t</a>" for x in b)) for i, (a, b) in enumerate(sorted(by.items()))]
+    rows.append((10_000, "http://bad.com/de/", None))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.filter_urls(df).collect()}
+    counted = {}
+    for a, b in links:
+        counted[a, b] = counted.get((a, b), 0) + 1
+    edges = [(a, b, n) for (a, b), n in counted.items()]
+    good = {a: 1 for a in by if a.endswith(".org")}
+    bad = {a: 1 for a in [*by, "bad.com"] if a.endswith(".com")}
+    trust, distrust = pagerank(edges, good), pagerank([(b, a, n) for a, b, n in edges], bad)
+    for host, r in got.items():
+        assert r.trust == pytest.approx(trust.get(host, 0.0), abs=2e-5) and r.distrust == pytest.approx(distrust.get(host, 0.0), abs=2e-5)
+        if r.rule is None and abs(trust.get(host, 0.0) - distrust.get(host, 0.0)) > 1e-4:
+            assert r.verdict == ("block" if distrust.get(host, 0.0) > trust.get(host, 0.0) else "allow")
+    assert got["chain0.net"].distrust > 0 and got["chain0.net"].verdict == "block"
