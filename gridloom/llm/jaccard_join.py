@@ -7,16 +7,18 @@ Runs are repeated until a pair shares none with a chance below half of ``1 - rec
 sets of buckets of more than ``SMALL`` are dealt together to trees: at each level of a tree a
 set goes to the bucket of one sampled value of its minwise sketch (the tokens of the embedded
 set), which two sets share with the chance of their similarity. Only buckets that are still
-large go a level deeper; what does not fall apart after ``DEPTH`` levels is alike, and is
-compared in blocks. There are as many trees as it takes that a pair stays together in one
-down to the last level but for the other half of ``1 - recall``.
+large go a level deeper, ``DEPTH`` at most; what is large even then is compared in blocks. There
+are as many trees as it takes that a pair, also one whose sketches are less alike by twice
+``SPREAD``, stays together in one down to the last level but for the other half of ``1 - recall``.
 
 Within buckets sketches are compared, at a limit that a true pair meets but for chances
 of a few in a million, and what is near is linked to one of its bucket. The components of these
 links are small groups; their texts come together once, all pairs in a group are compared
-exactly, in blocks where a group is large, and only links of at least ``threshold`` count.
-No pair is ever a row: blocks return a row per member, with its number of links and its
-component in the block.
+exactly, and only links of at least ``threshold`` count. A group of more than ``ROWS`` sets or
+``TOKENS`` shingles is cut to blocks, and each pair of blocks meets in a task: the work is
+quadratic in the different sets of a group, as their links are counted one by one. No pair is
+ever a row: blocks return a row per member, with its number of links and its component in
+the block.
 
 ``join`` returns one row per document: ``digest`` (of its text), ``node`` (its set),
 ``class_id`` (the least doc_id of its component), ``n_links`` (other documents at
@@ -26,7 +28,9 @@ and the least digest of those).
 Defined results for odd input: null and wordless texts are the empty set, copies of each
 other and linked to nothing else; texts of one to four words have one shingle; a null
 doc_id is kept and takes part, but names a class only if the whole class has none;
-repeated rows are copies; an empty table gives none.
+repeated rows are copies; a text of any length is one set, taken whole, one in a task at
+once at least; an empty table gives none. ``join`` reads ``doc_id`` and ``text`` only;
+``keep_first`` keeps all columns, but for ``__text``, ``__id`` and ``__digest``, which it drops.
 """
 
 from __future__ import annotations
@@ -37,17 +41,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, pieces, settle
+from gridloom.llm.common import discard, partitions, pieces, settle, settle_at
 from gridloom.llm.components import components
 from gridloom.llm.shingles import WORDS, mix, shingle_sets
 
 THRESHOLD, RECALL = 0.8, 0.999
 BINS = 128
 NEAR = 0.6
-SMALL, DEPTH, BLOCK = 1024, 6, 192
+SMALL, BLOCK, DEPTH = 4096, 1024, 4
+ROWS, TOKENS = 2048, 1 << 20
 #: of the likeness of two sketches, about the similarity of their sets
 SPREAD = 0.035
 SETS = "doc_id long, digest long, node long, n int, sketch binary, buckets array<long>"
@@ -152,9 +157,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trees(threshold: float, missed: float) -> int:
-    """So many trees that a pair of ``threshold``, and of a sketch less alike by ``SPREAD``,
-    comes apart in all of them before the last level with a chance of ``missed`` at most."""
-    return math.ceil(math.log(missed) / math.log1p(-((threshold - SPREAD) ** DEPTH)))
+    """So many trees that a pair of ``threshold``, and of sketches less alike by twice
+    ``SPREAD``, comes apart in all of them before the last level with a chance of ``missed`` at
+    most."""
+    return math.ceil(math.log(missed) / math.log1p(-((threshold - 2 * SPREAD) ** DEPTH)))
+
+
+def _children(s: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+    """The buckets below ``at`` that sets of sketches ``s`` go to: of the sampled bin's value."""
+    h = mix(mix(at, 31 + level)[:, None] ^ mix(np.arange(BINS, dtype=np.uint64), level)[None, :])
+    bin_ = np.where(s != 0, h, np.uint64(2**64 - 1)).argmin(1)
+    row = np.arange(len(s))
+    return mix(h[row, bin_] ^ s[row, bin_], 63)
 
 
 def _split(rows: DataFrame, level: int, trees: int) -> DataFrame:
@@ -167,18 +181,15 @@ def _split(rows: DataFrame, level: int, trees: int) -> DataFrame:
                 s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
                 seeds = [mix(np.full(len(s), t, np.uint64), 31) for t in range(trees)] if level == 0 else [b.column("bucket").to_numpy().view(np.uint64)]
                 for at in seeds:
-                    h = mix(mix(at, 31 + level)[:, None] ^ mix(np.arange(BINS, dtype=np.uint64), level)[None, :])
-                    bin_ = np.where(s != 0, h, np.uint64(2**64 - 1)).argmin(1)
-                    row = np.arange(len(s))
-                    child = mix(h[row, bin_] ^ s[row, bin_], 63)
+                    child = _children(s, at, level)
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("node")], ["bucket", "node"])
 
     return rows.select("bucket", "node", "sketch").mapInArrow(run, "bucket long, node long")
 
 
-def _blocks(rows: DataFrame, key: str, size: DataFrame, block: int) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, size: DataFrame, blocks: Column) -> DataFrame:
     """Adds ``i, j, side``: each pair of blocks of a group gets both blocks' rows."""
-    rows = rows.join(size.select(key, F.ceil(F.col("size") / block).cast("int").alias("__nb")), key)
+    rows = rows.join(size.select(key, blocks.cast("int").alias("__nb")), key)
     own = F.pmod(F.xxhash64("node"), F.col("__nb")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("__nb") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), own.alias("side")))
     return rows.withColumn("__p", F.explode(pair)).select("*", "__p.*").drop("__p", "__nb")
@@ -187,19 +198,23 @@ def _blocks(rows: DataFrame, key: str, size: DataFrame, block: int) -> DataFrame
 def candidates(nodes: DataFrame, threshold: float, missed: float) -> DataFrame:
     """Links ``a, b`` between sets whose sketches are near, a tree of links per bucket;
     a pair that shares a bucket is not brought together with a chance below ``missed``."""
-    about = nodes.select("node", "n", "sketch")
+    spark, about = nodes.sparkSession, nodes.select("node", "n", "sketch")
     live = nodes.select("node", F.explode("buckets").alias("bucket"))
-    links, trees = None, _trees(threshold, missed)
+    links, trees, at_before = None, _trees(threshold, missed), None
     for level in range(DEPTH + 1):
-        size = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        live = settle(live.join(size, "bucket"))
+        # written first, so that a hot bucket's rows are joined to it in parts
+        size, at_size = settle_at(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        live, at_live = settle_at(live.join(size, "bucket"))
+        for path in (at_size, at_before) if at_before else (at_size,):
+            discard(spark, path)
+        at_before = at_live
         if level and live.isEmpty():
             break
         last = level == DEPTH
         here = live if last else live.where(F.col("size") <= SMALL)
         sized = here.select("bucket", "size").distinct()
-        found = _blocks(here.drop("size").join(about, "node"), "bucket", sized, SMALL)
-        found = found.repartition(partitions(nodes.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = _blocks(here.drop("size").join(about, "node"), "bucket", sized, F.ceil(F.col("size") / BLOCK))
+        found = found.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         found = settle(found.mapInArrow(_near, "a long, b long").distinct())
         links = found if links is None else links.unionByName(found)
         large = live.where(F.col("size") > SMALL)
@@ -207,19 +222,33 @@ def candidates(nodes: DataFrame, threshold: float, missed: float) -> DataFrame:
             break
         if level == 0:
             large = large.select("node", F.lit(0).cast("long").alias("bucket")).distinct()
-        live = _split(large.select("node", "bucket").join(about, "node"), level, trees)
+        live, at_split = settle_at(_split(large.select("node", "bucket").join(about, "node"), level, trees))
+        discard(spark, at_before)
+        at_before = at_split
+    discard(spark, at_before)
     return links
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows that repeat the one before in group and node, as copies of a row do."""
+    keys, last = ["label", "i", "j", "node"], None
+    for b in batches:
+        if b.num_rows:
+            k = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
+            new = np.append(last is None or (k[:, 0] != last).any(), (k[:, 1:] != k[:, :-1]).any(0))
+            last = k[:, -1]
+            yield b if new.all() else b.filter(pa.array(new))
+
+
 VERIFIED = "node long, links long, root long"
 
 
 def _verify(threshold: float, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["label", "i", "j"]):
+        for g in _groups(_once(batches), ["label", "i", "j"]):
             node, side, copies = (g.column(c).to_numpy() for c in ("node", "side", "copies"))
             tokens = [t for b in pieces(iter(g.select(["text"]).combine_chunks().to_batches())) for t in shingle_sets(b.column("text"), words)]
-            # the text of a repeated doc_id may be another's
+            # texts of equal digests may differ
             mine = np.flatnonzero([_node(t) == k for t, k in zip(tokens, node.tolist(), strict=True)])
             mine = mine[np.unique(node[mine], return_index=True)[1]]
             if len(mine) < 2:
@@ -263,14 +292,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     nodes = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(lead).alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
     nodes = settle(nodes)
-    groups = settle(components(candidates(nodes, threshold, missed)))
-    size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(nodes.select("node", "doc_id", "copies"), "node")
-    members = members.withColumnRenamed("doc_id", "__id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id").eqNullSafe(F.col("__id")))
-    blocks = _blocks(texts.select("label", "node", "copies", "text"), "label", size, BLOCK)
-    blocks = blocks.repartition(partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    groups = components(candidates(nodes, threshold, missed))
+    members, at_members = settle_at(groups.join(nodes.select("node", "lead", "copies", "n"), "node").select("label", "node", "copies", "n", F.col("lead.doc_id").alias("__id"), F.col("lead.digest").alias("__digest")))
+    size = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    # one document of each set, by id and text, so that rows without an id do not all meet
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    texts = mine.join(members, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
+    number = F.greatest(F.ceil(F.col("size") / ROWS), F.ceil(F.col("tokens") / TOKENS))
+    blocks = _blocks(texts.select("label", "node", "copies", "text"), "label", size, number)
+    blocks = blocks.repartition(partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     verified = settle(blocks.mapInArrow(_verify(threshold, words), VERIFIED))
+    discard(spark, at_members)
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     info = nodes.select("node", "copies").join(links, "node", "left").join(classes, "node", "left")

@@ -39,6 +39,7 @@ def test_join_equals_brute_force(spark, rows, monkeypatch):
     for small, block in ((jaccard_join.SMALL, jaccard_join.BLOCK), (6, 4)):  # the second splits buckets and groups
         monkeypatch.setattr(jaccard_join, "SMALL", small)
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "ROWS", block)
         got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(frame(spark, rows)).collect()}
         assert got == want
 
@@ -56,6 +57,28 @@ def test_join_finds_pairs_in_large_buckets(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [1, 1, *[0] * 8] * 150
 
 
+@pytest.mark.parametrize("n", [9, 45, 450])
+def test_pairs_meet_in_a_tree_at_every_depth(n):
+    """2,000 pairs of sets of similarity 0.8, with only their tree buckets to meet in."""
+    import numpy as np
+
+    draw, trees = np.random.default_rng(n), jaccard_join._trees(0.8, (1 - jaccard_join.RECALL) / 2)
+    ids = draw.integers(0, 2**64, (2000, n * 10 // 9), dtype=np.uint64)
+    both, own = n * 8 // 9, (n - n * 8 // 9)
+    a, b = (np.stack([np.frombuffer(jaccard_join._sketch(np.sort(np.append(r[:both], o))), np.uint8) for r, o in zip(ids, part, strict=True)]) for part in (ids[:, both : both + own], ids[:, both + own : both + 2 * own]))
+    met = np.zeros(2000, int)
+    for t in range(trees):
+        at = [jaccard_join.mix(np.full(2000, t, np.uint64), 31)] * 2
+        same = np.ones(2000, bool)
+        for level in range(jaccard_join.DEPTH):
+            at = [jaccard_join._children(s, x, level) for s, x in zip((a, b), at, strict=True)]
+            same &= at[0] == at[1]
+            met = np.maximum(met, np.where(same, level + 1, 0))
+    for depth in range(1, jaccard_join.DEPTH + 1):
+        print(n, depth, (met >= depth).mean())
+    assert (met == jaccard_join.DEPTH).mean() > 0.998
+
+
 def test_join_of_repeated_and_unnamed_rows(spark):
     t = prose(60)
     df = frame(spark, [(1, t), (1, t), (None, t), (None, t + " end"), (None, None), (2, prose(50)), (2, prose(50))]).withColumns({"node": F.lit("mine"), "first": F.lit(0)})
