@@ -6,21 +6,27 @@ that is compared is what stands around such anchors:
 
 1. each anchor, with a hash of its context, the bytes that strings around it can reach, is
    brought to the others of its hash; equal contexts of one piece of input are one row;
-2. of equal contexts the first is kept: all strings in the others have come before;
+2. of equal contexts the first is kept: all strings in the others have come before. Contexts
+   are told apart by a 64-bit hash among those of one anchor's 64-bit hash, so of k contexts of
+   an anchor two are taken for equal with a chance of k * k / 2**65;
 3. where an anchor has several contexts, the first of each are cut from the texts, which
-   are read in place, and laid end to end in order of place; a suffix array (prefix doubling, cut at ``length``) gives each string's previous and
-   next smaller places in suffix order; the longer match with one of them is its longest
-   previous factor, and where that reaches ``length`` the string has come before;
+   are read in place, and laid end to end in order of place; a suffix array (prefix doubling,
+   cut at ``length``) gives each string's previous and next smaller places in suffix order; the
+   longer match with one of them is its longest previous factor, and where that reaches
+   ``length`` the string has come before;
 4. the runs to remove are merged per document.
 
-An anchor of more than ``MANY`` contexts is not gathered: its strings are grouped by
-digest and the first of each is found by a merge before the shuffle.
+The contexts of an anchor that has more than ``MANY`` are too many for one task: their strings
+are grouped by 128-bit digest and the first of each is found by a merge before the shuffle.
+An anchor's rows, one for each context in a piece of input, stream through one task sorted
+and are never held there.
 
 Order is by doc_id, then place. Defined results for odd input: a null text is empty and
 a null doc_id comes first; documents that repeat an id are told apart by their text, in
 order of its digest, and those that repeat both are one document, judged once, with the
-same result for each; an empty table gives none; extra columns are kept by
-``remove_repeats``, but for those it adds.
+same result for each; a text of any length up to 2 GB is taken whole, in parts where it is
+hashed; an empty table gives none; extra columns are kept by ``remove_repeats``, but for those
+it adds and ``__id``, ``__salt`` and ``__file``, which it drops.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from gridloom.llm.shingles import mix, powers
 LENGTH, GRAM = 100, 24
 MANY = 5_000
 BATCH = 768 << 10
-PLACES = 28
+PLACES, PART = 28, 4 << 20
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -50,15 +56,9 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - at)], a[width - at :])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of all strings of ``length`` bytes in the rows: their anchors' places and hashes, and
-    the bounds of the bytes of the strings that have this anchor. Anchors follow each
-    other as strings do, the leftmost among equals."""
-    n, w = len(data) - length + 1, length - gram + 1
-    last = np.repeat(ends[1:], np.diff(ends)) - length
-    whole = np.flatnonzero(np.arange(max(n, 0)) <= last[: max(n, 0)])
-    if not len(whole):
-        return (np.empty(0, np.int64),) * 4
+def _anchors(data: np.ndarray, whole: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Per run of the strings that start at ``whole`` and have one anchor: the anchor's place
+    and hash, and the run's first and last string."""
     h, at, p = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
     bits, grams, size = gram, None, 0
     while bits:  # grams of 1, 2, 4 ... bytes, put together as the binary digits say
@@ -72,23 +72,54 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM) -
     grams = mix(grams)
     # the leading bits of the hash, then the place: the least is the leftmost of the least
     place = np.uint64((1 << PLACES) - 1)
-    least = _sliding_min((grams & ~place) | np.arange(len(grams), dtype=np.uint64), w)
+    least = _sliding_min((grams & ~place) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     own = (least[whole] & place).astype(np.int64)
     first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
     stop = np.append(first[1:], len(own)) - 1
-    return own[first], grams[own[first]], whole[first], whole[stop] + length
+    return own[first], grams[own[first]], whole[first], whole[stop]
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM, part: int = PART) -> tuple[np.ndarray, ...]:
+    """Of all strings of ``length`` bytes in the rows: their anchors' places and hashes, and
+    the bounds of the bytes of the strings that have this anchor. Anchors follow each
+    other as strings do, the leftmost among equals. Strings are taken ``part`` at a time, so
+    that places within a part are small, however long a text is."""
+    found = []
+    for lo in range(0, max(len(data) - length + 1, 0), part):
+        row = np.searchsorted(ends, [lo, min(lo + part, len(data))], "right")
+        near = ends[max(row[0] - 1, 0) : row[1] + 1]
+        inside = np.arange(lo, min(lo + part, len(data) - length + 1))
+        whole = inside[inside + length <= near[np.searchsorted(near, inside, "right")]]
+        if len(whole):
+            at, h, start, last = _anchors(data[lo : lo + part + length - 1], whole - lo, length, gram)
+            found.append((at + lo, h, start + lo, last + lo))
+    if not found:
+        return (np.empty(0, np.int64),) * 4
+    at, h, start, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    # a run that goes over the end of a part is one
+    new = np.append(True, at[1:] != at[:-1])
+    return at[new], h[new], start[new], last[np.append(new[1:], True)] + length
 
 
 OCCUR = "h long, c long, doc_id long, salt long, start int, stop int, more binary"
 PLACE = np.dtype([("doc_id", "<i8"), ("salt", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
 
-def context_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from each start to each stop, and of where the anchor is."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(0xD6E8FEB86659FD93, len(data)), out=total[1:])
-    inverse = powers(pow(0xD6E8FEB86659FD93, -1, 1 << 64), len(data))
-    return mix(mix((total[stop] - total[start]) * inverse[start], 9) + ((stop - start) << 16 | (at - start)).astype(np.uint64))
+def context_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, part: int = PART) -> np.ndarray:
+    """A hash of the bytes from each start to each stop, and of where the anchor is; about
+    ``part`` bytes are taken at a time."""
+    out = np.empty(len(start), np.uint64)
+    cuts = [0, *(np.flatnonzero(np.diff(start // part)) + 1).tolist(), len(start)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if j == i:
+            continue
+        lo, hi = int(start[i]), int(stop[i:j].max())
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(0xD6E8FEB86659FD93, hi - lo), out=total[1:])
+        inverse = powers(pow(0xD6E8FEB86659FD93, -1, 1 << 64), hi - lo)
+        a, b, c = start[i:j] - lo, stop[i:j] - lo, at[i:j] - lo
+        out[i:j] = mix(mix((total[b] - total[a]) * inverse[a], 9) + ((b - a) << 16 | (c - a)).astype(np.uint64))
+    return out
 
 
 def _occurrences(length: int):

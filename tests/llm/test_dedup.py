@@ -124,6 +124,21 @@ def test_one_file_is_taken_in_groups(spark, rows, tmp_path, monkeypatch):
     assert all(read[i] == t for i, t in rows)
 
 
+def test_anchors_of_parts_are_those_of_the_whole():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    data = draw.integers(97, 100, 9000).astype(np.uint8)
+    ends = np.array([0, 0, 50, 149, 250, 4000, 4000, 9000])
+    want = suffix_dedup.anchors(data, ends, 100)
+    hashes = suffix_dedup.context_hashes(data, want[2], want[3], want[0])
+    assert len(want[0]) > 100
+    for part in (1, 101, 4096):
+        got = suffix_dedup.anchors(data, ends, 100, part=part)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        assert (suffix_dedup.context_hashes(data, got[2], got[3], got[0], part) == hashes).all()
+
+
 def test_seen_before_against_plain():
     import numpy as np
 
