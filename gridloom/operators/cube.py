@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import DAYS_PER_YEAR, is_finite
+from gridloom.sources.cube import load_json, save_json
 
 SUMMED = ("TP", "SSRD")
 EXCLUDING = ("bs", "ebf")
@@ -115,6 +116,21 @@ def lags(df: DataFrame, values: list[str], steps: list[int]) -> DataFrame:
     return df
 
 
+def write_lags(long: DataFrame, path: str, steps: list[int]) -> DataFrame:
+    """Writes ``X_LAG_k`` of every variable of a long cube and every k, a partition each, and
+    reads them back; raises unless each has as many rows as its base."""
+    lagged = lags(long, ["value"], steps)
+    names = [f"value_LAG_{k}" for k in steps]
+    keys = [c for c in long.columns if c not in ("variable", "value")]
+    tall = lagged.unpivot(["variable", *keys], names, "lag", "value")
+    tall = tall.withColumn("variable", F.concat("variable", F.expr("substring(lag, 6)"))).drop("lag")
+    tall.write.mode("overwrite").partitionBy("variable").parquet(path)
+    written = long.sparkSession.read.parquet(path)
+    if written.count() != long.count() * len(steps):
+        raise ValueError(f"{path} lacks rows")
+    return written
+
+
 def _season(resolution: str) -> list[Column]:
     if resolution not in ("monthly", "annual"):
         raise ValueError(resolution)
@@ -185,10 +201,23 @@ class Preprocessed:
     slopes: DataFrame | None
     years: DataFrame | None
 
+    @property
+    def steps(self) -> list[str]:
+        """What was done, in order; the inverse undoes it from the end."""
+        return ["anomaly"] * (self.climatology is not None) + ["detrend"] * (self.slopes is not None)
+
     def save(self, folder: str) -> None:
-        for name in ("data", "climatology", "slopes", "years"):
-            if (df := getattr(self, name)) is not None:
-                df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        """Writes each table, and last which there are and what columns they have."""
+        kept = {n: df for n in ("data", "climatology", "slopes", "years") if (df := getattr(self, n)) is not None}
+        for name, df in kept.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        save_json(self.data.sparkSession, {"steps": self.steps, "products": {n: dict(df.dtypes) for n, df in kept.items()}}, f"{folder}/products")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Preprocessed:
+        products = load_json(spark, f"{folder}/products")["products"]
+        read = lambda n: spark.read.parquet(f"{folder}/{n}") if n in products else None
+        return Preprocessed(*(read(n) for n in ("data", "climatology", "slopes", "years")))
 
 
 def preprocess(df: DataFrame, value: str, resolution: str = "monthly", value_type: str = "real", detrended: bool = False) -> Preprocessed:

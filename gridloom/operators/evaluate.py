@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.quantiles import quantile, quantiles
 from gridloom.functions.stats import all_finite, bias, fit_intercept, fit_slope, mae, pair, r2, rmse, safe_corr
 
 Y, P = "y_true", "y_pred"
@@ -27,6 +28,11 @@ def _core() -> list[Column]:
     return [_n(), rmse(Y, P).alias("rmse"), mae(Y, P).alias("mae")]
 
 
+def metric_columns() -> list[Column]:
+    """Count, RMSE, MAE and R2, to aggregate with."""
+    return [*_core(), r2(Y, P, perfect=True).alias("r2")]
+
+
 def global_metrics(df: DataFrame) -> DataFrame:
     return df.agg(*_core(), r2(Y, P, perfect=True).alias("r2"))
 
@@ -45,14 +51,13 @@ def pixel_metrics_spatial(df: DataFrame, min_valid: int = 12) -> DataFrame:
 
 
 def metrics_summary(pixels: DataFrame) -> DataFrame:
-    """How the pixels' metrics are distributed."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
+    """How the pixels' metrics are distributed, one row."""
+    q = {c: quantiles(pixels, c, [0.05, 0.5, 0.95]).get(None, [None] * 3) for c in ("r2", "rmse", "mae")}
+    at = lambda c, i: F.lit(q[c][i]).cast("double")
     return pixels.agg(
         F.count(F.lit(1)).alias("n_pixels"), F.count("r2").alias("n_valid_r2"), F.count_if(F.col("r2").isNull()).alias("n_null_r2"),
-        F.avg("r2").alias("r2_mean"), q("r2", 0.5).alias("r2_median"), q("r2", 0.05).alias("r2_p05"), q("r2", 0.95).alias("r2_p95"),
-        F.avg("rmse").alias("rmse_mean"), q("rmse", 0.5).alias("rmse_median"), F.avg("mae").alias("mae_mean"), q("mae", 0.5).alias("mae_median"),
-        F.avg("y_variance").alias("variance_mean"),
-    )
+        F.avg("r2").alias("r2_mean"), F.avg("rmse").alias("rmse_mean"), F.avg("mae").alias("mae_mean"), F.avg("y_variance").alias("variance_mean"),
+    ).withColumns({"r2_median": at("r2", 1), "r2_p05": at("r2", 0), "r2_p95": at("r2", 2), "rmse_median": at("rmse", 1), "mae_median": at("mae", 1)})
 
 
 def best_and_worst(pixels: DataFrame, metric: str = "r2", k: int = 20, ascending: bool | None = None) -> DataFrame:
@@ -91,10 +96,55 @@ def category_metrics(df: DataFrame, keys: tuple[str, ...] = ("code", "label")) -
     return df.groupBy(*keys).agg(*_core(), r2(Y, P).alias("r2"), bias(Y, P).alias("bias"), pixels.alias("n_pixels"), F.count_distinct("time").alias("n_times"), (F.count(F.lit(1)) / pixels).alias("mean_per_pixel"))
 
 
+def category_spatial_metrics(df: DataFrame, keys: tuple[str, ...] = ("code", "label"), ignore: tuple[int, ...] = (0,)) -> DataFrame:
+    """Per category the metrics of its rows, and the means of its pixels' correlation and bias."""
+    known = df.where(~F.col(keys[0]).isin(list(ignore)))
+    rows = known.groupBy(*keys).agg(*_core(), r2(Y, P).alias("r2"))
+    per = known.groupBy(*keys, "pixel_id").agg(bias(Y, P).alias("bias"), safe_corr(Y, P, 12).alias("corr"))
+    means = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pixels"), F.avg("corr").alias("corr_mean"), F.avg("bias").alias("bias_mean"))
+    return rows.join(means, list(keys))
+
+
+def target_year(df: DataFrame, year: int | None) -> DataFrame:
+    """The rows of one year; none raises."""
+    if year is None:
+        return df
+    out = df.where(F.year(F.try_to_timestamp(F.col("time").cast("string"))) == year)
+    if out.isEmpty():
+        raise ValueError(f"no row is of {year}")
+    return out
+
+
+def value_stats(df: DataFrame, value: str) -> DataFrame:
+    """What a histogram is marked with: count, mean, deviation and three quantiles of the
+    finite values; NULL where there are none."""
+    p05, p50, p95 = quantiles(df, value, [0.05, 0.5, 0.95]).get(None, [None] * 3)
+    known = df.where(all_finite(value)).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return known.withColumns({n: F.lit(v).cast("double") for n, v in (("median", p50), ("p05", p05), ("p95", p95))})
+
+
+def spatial_bundle(df: DataFrame, pixels: DataFrame, base: str | None = None) -> dict[str, DataFrame]:
+    """All tables behind the maps and histograms of a spatial evaluation."""
+    per = pixel_metrics(df)
+    metrics = ("r2", "rmse", "mae")
+    return {
+        "metrics": fit_metrics(df), "pixels": per, "summary": metrics_summary(per), "density": density(df, Y, P, 5000, 5000), "error_bins": error_bins(df),
+        **{f"map_{m}": metric_map(pixels, per, m, base) for m in metrics}, **{f"hist_{m}": histogram(per, m) for m in metrics}, **{f"stats_{m}": value_stats(per, m) for m in metrics},
+    }
+
+
+def observation_bundle(df: DataFrame) -> dict[str, DataFrame]:
+    """All tables behind the plots of an evaluation by observation."""
+    errors = with_errors(df)
+    return {
+        "metrics": fit_metrics(df), "by_time": observation_metrics_by_time(df), "pixels": pixel_observations(df), "error_bins": error_bins(df), "residual_bins": residual_bins(df),
+        "ape": ape_histogram(df), "hist_residual": histogram(errors, "residual"), "stats_residual": value_stats(errors, "residual"), "density": density(df, Y, P, 5000, 5000),
+    }
+
+
 def quantile_edges(df: DataFrame, value: str, n: int) -> list[float]:
     """The distinct edges of n bins of equal count; n numbers, exact."""
-    q = df.agg(F.percentile(value, [i / n for i in range(n + 1)])).first()[0] or []
-    return sorted(set(q))
+    return sorted(set(quantiles(df, value, [i / n for i in range(n + 1)]).get(None, [])))
 
 
 def bin_of(value: str, edges: list[float]) -> Column:
@@ -108,9 +158,9 @@ def bin_of(value: str, edges: list[float]) -> Column:
 
 def binned_summary(df: DataFrame, value: str, metric: str = "r2", bins: int = 8) -> DataFrame:
     edges = quantile_edges(df, value, bins)
-    return df.withColumn("bin", bin_of(value, edges)).where("bin IS NOT NULL").groupBy("bin").agg(
-        F.count(metric).alias("n"), F.avg(value).alias("mean_value"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.percentile(metric, F.lit(0.5)).alias("median")
-    )
+    dealt = df.withColumn("bin", bin_of(value, edges)).where("bin IS NOT NULL")
+    middle = df.sparkSession.createDataFrame([(g, q[0]) for g, q in quantiles(dealt, metric, [0.5], "bin").items()], "bin int, median double")
+    return dealt.groupBy("bin").agg(F.count(metric).alias("n"), F.avg(value).alias("mean_value"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std")).join(middle, "bin", "left")
 
 
 def error_bins(df: DataFrame, bins: int = 12, least: float = 1e-6) -> DataFrame:
@@ -122,17 +172,23 @@ def error_bins(df: DataFrame, bins: int = 12, least: float = 1e-6) -> DataFrame:
 
 
 def residual_bins(df: DataFrame, edges: int = 20, top: float = 0.995, least: int = 10) -> DataFrame:
-    """Mean residual over bins of equal width up to a high quantile of the truth."""
-    lo, hi = df.agg(F.min(Y), F.percentile(Y, F.lit(top))).first()
+    """Mean residual over bins of equal width up to a high quantile of the truth; one bin
+    where that is the least truth, none without rows."""
+    lo, hi = quantiles(df, Y, [0.0, top]).get(None, (0.0, 0.0))
+    if lo == hi:
+        return df.where(F.col(Y) == lo).groupBy(F.lit(0).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(P) - F.col(Y)).alias("mean_residual")).where(F.col("n") >= least)
     width = (hi - lo) / (edges - 1)
     number = F.floor((F.col(Y) - lo) / width).cast("int")
     return df.where(F.col(Y) < hi).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(P) - F.col(Y)).alias("mean_residual")).where(F.col("n") >= least)
 
 
 def ape_histogram(df: DataFrame, bins: int = 20, top: float = 0.99, least: float = 1e-6) -> DataFrame:
-    """Counts of absolute percentage errors up to a high quantile."""
+    """Counts of absolute percentage errors up to a high quantile; all in one bin where that
+    is 0, none without rows."""
     ape = df.where(F.abs(Y) > least).select((F.abs(F.col(P) - F.col(Y)) / F.abs(Y) * 100).alias("ape"))
-    hi = ape.agg(F.percentile("ape", F.lit(top))).first()[0]
+    hi = quantile(ape, "ape", top) or 0.0
+    if hi == 0:
+        return ape.where(F.col("ape") == 0).groupBy(F.lit(0).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return ape.where(F.col("ape") <= hi).groupBy(F.least(F.floor(F.col("ape") / (hi / bins)).cast("int"), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -154,7 +210,7 @@ def density(df: DataFrame, x: str, y: str, width: float, height: float) -> DataF
 
 def label_codes(df: DataFrame, mask: DataFrame, labels: DataFrame, code: str = "code") -> DataFrame:
     """Adds the mask's code by pixel and its label; what has none is Unknown."""
-    out = df.join(mask.select("pixel_id", code).dropDuplicates(["pixel_id"]), "pixel_id", "left").join(F.broadcast(labels.select(code, "label")), code, "left")
+    out = df.join(mask.select("pixel_id", code).dropDuplicates(["pixel_id"]), "pixel_id", "left").join(labels.select(code, "label"), code, "left")
     return out.withColumn("label", F.coalesce("label", F.lit("Unknown")))
 
 

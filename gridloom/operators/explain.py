@@ -18,6 +18,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.split import head_sample, stratified_sample
+from gridloom.sources.cube import save_json
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -102,3 +105,23 @@ def importance(explained: DataFrame, predictors: list[str], by: str | None = Non
     means = F.array(*[F.struct(F.lit(p).alias("feature"), F.avg(F.abs(f"shap_{p}")).alias("mean_abs_shap")) for p in predictors])
     groups = explained.groupBy(*([by] if by else [])).agg(means.alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return groups.select(*([by] if by else []), "n", F.explode("s").alias("s")).select(*([by] if by else []), "n", "s.*")
+
+
+def run(rows: DataFrame, model: PipelineModel, predictors: list[str], folder: str, group: str | None = None, keys: tuple[str, ...] = ("pixel_id", "time_idx"), max_per_group: int = 1000, max_total: int = 5000, fraction: float = 0.5, least: int = 30, seed: int = 42) -> dict[str, DataFrame]:
+    """Explains a stratified sample of the rows and writes ``values``, ``importance`` and, with
+    a ``group``, ``by_group`` below ``folder``, with a summary; groups of fewer than ``least``
+    rows have no importance of their own."""
+    spark = rows.sparkSession
+    sample = stratified_sample(rows, group, list(keys), max_per_group, fraction, max_total, seed) if group else head_sample(rows, list(keys), max_total, seed)
+    forest = leaves(model, f"{folder}/forest")
+    explain(sample, predictors, forest).write.mode("overwrite").parquet(f"{folder}/values")
+    values = spark.read.parquet(f"{folder}/values")
+    if values.isEmpty():
+        raise ValueError("no rows were chosen to be explained")
+    out = {"values": values, "importance": importance(values, predictors)}
+    if group:
+        out["by_group"] = importance(values, predictors, group, least)
+    for name in out.keys() - {"values"}:
+        out[name].coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{folder}/{name}")
+    save_json(spark, {"n_rows": values.count(), "base_value": base_value(forest), "predictors": predictors, "group": group, "seed": seed}, f"{folder}/summary")
+    return out

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.quantiles import quantiles
 from gridloom.functions.stats import is_finite, kurtosis, pair, safe_corr, safe_divide, skewness
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -72,15 +73,16 @@ def univariate(df: DataFrame, variables: list[str]) -> DataFrame:
 
     def stats(v: str) -> list[Column]:
         x = F.when(is_finite(v), F.col(v))
-        q = F.percentile(x, list(QUANTILES))
-        named = [F.get(q, F.lit(i)).alias(f"p{round(p * 100):02d}") for i, p in enumerate(QUANTILES)]
         return [
             F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
-            (F.max(x) - F.min(x)).alias("range"), safe_divide(F.stddev_pop(x), F.avg(x)).alias("cv"), *named,
-            (F.get(q, F.lit(4)) - F.get(q, F.lit(2))).alias("iqr"), skewness(v).alias("skewness"), kurtosis(v).alias("kurtosis"),
+            (F.max(x) - F.min(x)).alias("range"), safe_divide(F.stddev_pop(x), F.avg(x)).alias("cv"), skewness(v).alias("skewness"), kurtosis(v).alias("kurtosis"),
         ]
 
-    return df.agg(_each(variables, stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    moments = df.agg(_each(variables, stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    names = [f"p{round(p * 100):02d}" for p in QUANTILES]
+    found = quantiles(df.unpivot([], variables, "variable", "value"), "value", list(QUANTILES), "variable")
+    table = df.sparkSession.createDataFrame([(v, *q) for v, q in found.items()], f"variable string, {', '.join(f'{n} double' for n in names)}")
+    return moments.join(table, "variable", "left").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def correlations(df: DataFrame, target: str, predictors: list[str], by: list[str | Column] = (), min_n: int = 2) -> DataFrame:
@@ -179,7 +181,7 @@ def dominant_by_category(df: DataFrame, target: str, predictors: list[str], code
 
 def paint(pixels: DataFrame, table: DataFrame, code: str = "code", value: str = "dominant_code") -> DataFrame:
     """Each pixel its category's value, 0 where the category has none."""
-    return pixels.select("pixel_id", code).join(F.broadcast(table.select(code, value)), code, "left").select("pixel_id", F.coalesce(value, F.lit(0)).alias(value))
+    return pixels.select("pixel_id", code).join(table.select(code, value), code, "left").select("pixel_id", F.coalesce(value, F.lit(0)).alias(value))
 
 
 def dominance(df: DataFrame, target: str, predictors: list[str]) -> DataFrame:
@@ -193,7 +195,7 @@ def category_summary(df: DataFrame, labels: DataFrame, value: str, code: str = "
     """Sizes and missing values of each labelled category, zero where it has no pixel."""
     per = df.groupBy("pixel_id", code).agg(F.count(F.lit(1)).alias("cells"), F.count(value).alias("values"))
     per = per.groupBy(code).agg(F.count(F.lit(1)).alias("n_pixels"), F.count_if(F.col("values") > 0).alias("n_valid_pixels"), F.sum("cells").alias("n_total_values"), (F.sum("cells") - F.sum("values")).alias("n_missing"))
-    out = labels.where(~F.col(code).isin(list(ignore))).join(F.broadcast(per), code, "left").fillna(0, ["n_pixels", "n_valid_pixels", "n_total_values", "n_missing"])
+    out = labels.where(~F.col(code).isin(list(ignore))).join(per, code, "left").fillna(0, ["n_pixels", "n_valid_pixels", "n_total_values", "n_missing"])
     return out.withColumn("missing_percent", safe_divide(F.col("n_missing") * 100.0, F.col("n_total_values")))
 
 

@@ -12,7 +12,9 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.stats import safe_divide
+from gridloom.functions.quantiles import quantiles
+from gridloom.functions.stats import all_finite, safe_divide
+from gridloom.operators.evaluate import global_metrics
 from gridloom.sources.cube import save_json
 
 MODELS = {
@@ -79,10 +81,37 @@ def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minus the median, over the range of the middle half."""
-    moments = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(moments))
-    q = lambda c, i: F.get(f"__{c}", F.lit(i))
-    return out.withColumns({c: safe_divide(F.col(c) - q(c, 1), q(c, 2) - q(c, 0)) for c in columns}).drop(*[f"__{c}" for c in columns])
+    found = quantiles(df.unpivot([], columns, "variable", "value"), "value", [0.25, 0.5, 0.75], "variable")
+    q = lambda c, i: F.lit(found[c][i] if c in found else None).cast("double")
+    return df.withColumns({c: safe_divide(F.col(c) - q(c, 1), q(c, 2) - q(c, 0)) for c in columns})
+
+
+def classification_metrics(df: DataFrame) -> DataFrame:
+    """Accuracy, and precision, recall and F1 weighted by class size, of rounded predictions
+    of whole-number truths; a class that is never predicted has precision 0."""
+    rows = df.where(all_finite("y_true", "y_pred")).select(F.round("y_true").alias("t"), F.round("y_pred").alias("p"))
+    cells = rows.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"))
+    sides = cells.select(F.explode(F.array(F.struct(F.col("t").alias("k"), F.col("n").alias("truth"), F.lit(0).alias("said")), F.struct(F.col("p").alias("k"), F.lit(0).cast("long").alias("truth"), F.col("n").cast("int").alias("said")))).alias("s"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("hit"))
+    per = sides.groupBy("s.k").agg(F.sum("s.truth").alias("truth"), F.sum("s.said").alias("said"), (F.sum("hit") / 2).alias("hit"))
+    precision, recall = F.coalesce(safe_divide(F.col("hit"), F.col("said")), F.lit(0.0)), F.coalesce(safe_divide(F.col("hit"), F.col("truth")), F.lit(0.0))
+    f1 = F.coalesce(safe_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    per = per.withColumns({"precision": precision, "recall": recall}).withColumn("f1", f1)
+    mean = lambda c: (F.sum(F.col("truth") * F.col(c)) / F.sum("truth")).alias(c)
+    return per.agg(F.sum("truth").alias("n"), (F.sum("hit") / F.sum("truth")).alias("accuracy"), mean("precision"), mean("recall"), mean("f1"))
+
+
+def fit_report(predicted: DataFrame, classes: int = 20) -> DataFrame:
+    """Metrics of a fit: of classes where the truth is a whole-number column of few values,
+    else of a regression."""
+    whole = predicted.schema["y_true"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and predicted.select("y_true").distinct().limit(classes + 1).count() <= classes:
+        return classification_metrics(predicted)
+    return global_metrics(predicted)
+
+
+def write_csv(df: DataFrame, path: str, keys: list[str], limit: int = 20_000) -> None:
+    """A small table as one CSV file: the first ``limit`` rows by ``keys``."""
+    df.orderBy(*keys).limit(limit).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def save_run(model: PipelineModel, info: dict, folder: str) -> None:

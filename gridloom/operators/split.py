@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.stats import all_finite, stable_order
 
-BUCKETS = 4096
-
 
 def valid_pixels(df: DataFrame, variables: list[str], min_fraction: float = 0.0) -> DataFrame:
     """``pixel_id, valid``: any complete step, or at least that share of them."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from gridloom.operators import explore as X
 from gridloom.operators import model as M
 from gridloom.operators import split as S
 from gridloom.plans import learning
+from gridloom.plans import workflow as W
 from gridloom.plans.oracle import SQL
 from gridloom.sources import cube as SC
 from gridloom.sources.fixtures import PREDICTORS, VARIABLES, pixels, predictions, table
@@ -192,14 +194,13 @@ def _(spark, sf_dir):
 
 @query("mask_label_lookup")
 def _(spark, sf_dir):
-    labels = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("label"))
+    labels = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("label"))
     return E.label_codes(predictions(spark, sf_dir), pixels(spark, sf_dir), labels).select("order_id", "line", "label")
 
 
 @query("metric_map")
 def _(spark, sf_dir):
-    metrics = E.pixel_metrics(predictions(spark, sf_dir)).where("pixel_id % 3 = 0")
-    return E.metric_map(pixels(spark, sf_dir), metrics, "r2", "keep")
+    return E.metric_map(pixels(spark, sf_dir), E.pixel_metrics(predictions(spark, sf_dir)), "r2", "keep")
 
 
 @query("coarsen_mask")
@@ -229,5 +230,178 @@ def _(spark, sf_dir):
     return C.stride(pixels(spark, sf_dir), 3).select("pixel_id")
 
 
+def _long(spark: SparkSession, sf_dir: str, names: dict[str, str]) -> DataFrame:
+    """The fixture as a long cube whose variables are named anew."""
+    c = fixture(spark, sf_dir).select("pixel_id", "time_idx", "time", *(F.col(v).alias(n) for v, n in names.items()))
+    return SC.to_long(c, list(names.values()), ["pixel_id", "time_idx", "time"])
+
+
+def _kept(spark: SparkSession, sf_dir: str, names: dict[str, str]) -> str:
+    path = learning.scratch(spark)
+    SC.write_cube(_long(spark, sf_dir, names), path)
+    return path
+
+
+def _place(p: DataFrame) -> DataFrame:
+    return p.withColumns({"latitude": F.col("lat_idx") * 0.5 - 60, "longitude": F.col("lon_idx") * 2.0 - 100})
+
+
+@query("select_roi")
+def _(spark, sf_dir):
+    return SC.select_roi(_place(pixels(spark, sf_dir)), {"lat_min": -60, "lat_max": -40, "lon_min": -97, "lon_max": -90}).select("pixel_id", "latitude", "longitude")
+
+
+@query("standard_axes")
+def _(spark, sf_dir):
+    return SC.standard_axes(_place(pixels(spark, sf_dir)).select("pixel_id", F.col("latitude").alias("lat"), F.col("longitude").alias("X")))
+
+
+@query("axis_index")
+def _(spark, sf_dir):
+    return SC.axis_index(_place(pixels(spark, sf_dir)).select("pixel_id", (-F.col("latitude")).alias("latitude")), "latitude", "place").select("pixel_id", "place")
+
+
+@query("flip_axis")
+def _(spark, sf_dir):
+    return SC.flip_rows(pixels(spark, sf_dir), 1_000_000).select("pixel_id", "lat_idx", "lon_idx")
+
+
+@query("coordinate_lookup")
+def _(spark, sf_dir):
+    c = fixture(spark, sf_dir)
+    return SC.with_coordinates(c.select("pixel_id", "time_idx"), _place(pixels(spark, sf_dir)), c.select("time_idx", "time").distinct())
+
+
+@query("scan_variable")
+def _(spark, sf_dir):
+    path = _kept(spark, sf_dir, {"target": "LAI", "qty": "TP"})
+    return SC.read_variable(spark, path, "lai", start_year=1996, end_year=1998).select("variable", "pixel_id", "time_idx", "value")
+
+
+@query("scan_lagged_variable")
+def _(spark, sf_dir):
+    path = _kept(spark, sf_dir, {"target": "LAI", "qty": "TP"})
+    return SC.read_variable(spark, path, "TP_LAG_2", start_year=1996, end_year=1998).select("variable", "pixel_id", "time_idx", "value")
+
+
+@query("scan_expanded_names")
+def _(spark, sf_dir):
+    path = _kept(spark, sf_dir, {"target": "LAI", "qty": "TP_A", "disc": "TP_B", "tax": "SM"})
+    return SC.read_cube(spark, path, ["LAI", "TP"]).select("variable", "pixel_id", "time_idx", "value")
+
+
+@query("class_variables")
+def _(spark, sf_dir):
+    c = fixture(spark, sf_dir).select("pixel_id", "time_idx", F.col("code").alias("class"), F.col("target").alias("value"))
+    return SC.stack_classes(c, "lai")
+
+
+@query("lagged_files")
+def _(spark, sf_dir):
+    out = C.write_lags(_long(spark, sf_dir, {"qty": "TP", "disc": "SM"}), learning.scratch(spark), [1, 2])
+    return out.select("variable", "pixel_id", "time_idx", "value")
+
+
+@query("reconstructed_from_files")
+def _(spark, sf_dir):
+    path = learning.scratch(spark)
+    C.preprocess(fixture(spark, sf_dir).select("pixel_id", "time_idx", "time", T), T, value_type="anomaly", detrended=True).save(path)
+    return C.reconstruct(C.Preprocessed.load(spark, path), T).select(*CELL)
+
+
+@query("mask_labels")
+def _(spark, sf_dir):
+    path = learning.scratch(spark)
+    table(spark, sf_dir, "region").select(F.lit("region").alias("mask"), F.col("r_regionkey").alias("code"), F.col("r_name").alias("label")).write.parquet(path)
+    return SC.labels_of(spark, path, "region")
+
+
+@query("available_masks")
+def _(spark, sf_dir):
+    path = learning.scratch(spark)
+    pixels(spark, sf_dir).select("pixel_id", "code").write.parquet(f"{path}/climate")
+    found = SC.available_masks(spark, path, ["climate", "landcover"])
+    return reduce(DataFrame.unionByName, [df.withColumn("mask", F.lit(n)) for n, df in found.items()])
+
+
+@query("scan_files_by_name")
+def _(spark, sf_dir):
+    return SC.read_files(spark, sf_dir, "nation*.parquet")
+
+
+@query("coerced_casts")
+def _(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("given", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(F.concat(F.col("n_nationkey"), F.lit(".5"))))
+    dates = F.concat(F.lit("2001-0"), F.col("n_nationkey") % 10, F.lit("-10"))
+    return n.select("n_nationkey", F.col("given").try_cast("double").alias("number"), dates.try_cast("date").alias("day"))
+
+
+@query("slug_names")
+def _(spark, sf_dir):
+    slug = F.trim(F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "_"), F.lit("_"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(slug == "", "figure").otherwise(slug).alias("slug"))
+
+
+@query("classification_metrics")
+def _(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return M.fit_report(lines.select((F.col("l_linenumber") % 3).alias("y_true"), (F.col("l_partkey") % 7 % 4).cast("double").alias("y_pred")))
+
+
+@query("csv_sample")
+def _(spark, sf_dir):
+    path = learning.scratch(spark)
+    M.write_csv(predictions(spark, sf_dir).select("order_id", "line", "y_true"), path, ["order_id", "line"], 500)
+    return spark.read.csv(path, header=True, schema="order_id long, line int, y_true double")
+
+
+@query("selected_pixel_series")
+def _(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    chosen = E.best_and_worst(E.pixel_metrics(p), k=2).select("pixel_id", "kind")
+    return p.join(chosen, "pixel_id").select("kind", "pixel_id", "order_id", "line", "y_true", "y_pred")
+
+
+@query("category_spatial_metrics")
+def _(spark, sf_dir):
+    return E.category_spatial_metrics(predictions(spark, sf_dir).join(pixels(spark, sf_dir).select("pixel_id", "code", "label"), "pixel_id"))
+
+
+@query("spatial_bundle")
+def _(spark, sf_dir):
+    found = E.spatial_bundle(predictions(spark, sf_dir), pixels(spark, sf_dir), "keep")
+    return reduce(DataFrame.unionByName, [found[f"stats_{m}"].withColumn("metric", F.lit(m)) for m in ("r2", "rmse", "mae")])
+
+
+@query("observation_bundle")
+def _(spark, sf_dir):
+    return E.observation_bundle(predictions(spark, sf_dir))["stats_residual"]
+
+
+@query("workflow_metadata")
+def _(spark, sf_dir):
+    source = _kept(spark, sf_dir, {"target": "LAI", "qty": "TP", "disc": "SM", "tax": "TAX"})
+    config = {
+        "data": {"target": "LAI", "predictors": ["TP", "SM", "TAX"], "value_type": "anomaly"},
+        "train": {"train_fraction": 0.5, "test_fraction": 0.25, "params": {"numTrees": 3, "maxDepth": 3}},
+        "explain": {"max_total": 200},
+    }
+    info = W.run(spark, config, source, learning.scratch(spark), pixels(spark, sf_dir))["dataset"]
+    names = ["n_train", "n_test", "n_unique_train_pixels", "n_unique_test_pixels", "n_features", "n_time"]
+    row = [*(int(info[n]) for n in names), info["time_start"], info["time_end"], info["temporal_resolution_inferred"]]
+    return spark.createDataFrame([row], ", ".join([*(f"{n} long" for n in names), "time_start string", "time_end string", "resolution string"]))
+
+
+@query("training_scan")
+def _(spark, sf_dir):
+    c, path = fixture(spark, sf_dir), learning.scratch(spark)
+    parts = S.observation_split(c, VARIABLES, 0.5, 0.25)
+    W.save_training(S.training_table(c, T, PREDICTORS, parts), c, T, PREDICTORS, parts, {"split_mode": "random_observation"}, path)
+    return W.load_training(spark, path, "train").select("pixel_id", "time_idx", *PREDICTORS, "y")
+
+
+over_predictions("target_year", ["order_id", "line", "pixel_id"])(lambda p: E.target_year(p, 1997))
+over_predictions("value_stats")(lambda p: E.value_stats(E.pixel_metrics(p), "rmse"))
+
 QUERIES |= learning.QUERIES
 ORACLE_SQL: dict[str, str] = dict(SQL)

@@ -109,7 +109,7 @@ SQL: dict[str, str] = {
     "dense_spine": cube("SELECT pixel_id, time_idx, time, round(target, 6) AS target FROM cube"),
     "cube_long": cube(union([f"SELECT pixel_id, time_idx, '{v}' AS variable, round({v}, 6) AS value FROM cube" for v in VARIABLES])),
     "grid_metadata": cube("SELECT min(lat_idx) AS lat_min, max(lat_idx) AS lat_max, count(DISTINCT lat_idx) AS n_lat, min(lon_idx) AS lon_min, max(lon_idx) AS lon_max, count(DISTINCT lon_idx) AS n_lon, count(DISTINCT time_idx) AS n_time, min(time) AS time_min, max(time) AS time_max, round((max(lat_idx) - min(lat_idx)) / nullif(count(DISTINCT lat_idx) - 1, 0), 6) AS lat_step, round((max(lon_idx) - min(lon_idx)) / nullif(count(DISTINCT lon_idx) - 1, 0), 6) AS lon_step FROM cube"),
-    "time_resolution": "SELECT 'monthly' AS resolution",
+    "time_resolution": cube("SELECT CASE WHEN min(gap) = 1 AND max(gap) = 1 THEN 'monthly' WHEN min(gap) = 12 AND max(gap) = 12 THEN 'annual' WHEN min(gap) IS NULL THEN 'unknown' ELSE 'irregular' END AS resolution FROM (SELECT m - lag(m) OVER (ORDER BY m) AS gap FROM (SELECT DISTINCT year(time) * 12 + month(time) AS m FROM cube))"),
     "combined_mask_stats": cube("SELECT count(*) FILTER (WHERE keep AND code IN (0, 1, 2) AND NOT (lon_idx % 2 <> 0)) AS n_kept, count(*) AS n_total, round(avg(CASE WHEN keep AND code IN (0, 1, 2) AND NOT (lon_idx % 2 <> 0) THEN 1 ELSE 0 END), 6) AS fraction FROM pix"),
     "masked_cube": cube("SELECT pixel_id, time_idx, round(CASE WHEN keep AND code IN (0, 1, 2) THEN target END, 6) AS target FROM cube"),
     "categorical_mask": cube("SELECT pixel_id, time_idx, round(CASE WHEN code IN (1, 3) THEN target END, 6) AS target FROM cube"),
@@ -184,14 +184,40 @@ SQL: dict[str, str] = {
     "ape_hist": pred("SELECT CAST(least(floor(ape / (hi / 20)), 19) AS INT) AS bin, count(*) AS n FROM a, (SELECT quantile_cont(ape, 0.99) AS hi FROM a) WHERE ape <= hi GROUP BY 1", "a AS (SELECT abs(p - y) / abs(y) * 100 AS ape FROM pred WHERE abs(y) > 1e-6)"),
     "metric_hist": pred("SELECT CAST(least(floor((rmse - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM pixel, (SELECT min(rmse) AS lo, max(rmse) AS hi FROM pixel) GROUP BY 1", PIXEL),
     "density2d": pred("SELECT CAST(floor(y / 5000) AS INT) AS bx, CAST(floor(p / 5000) AS INT) AS by, count(*) AS n, round(log10(count(*)), 6) AS log_n FROM pred GROUP BY 1, 2"),
-    "mask_label_lookup": pred("SELECT order_id, line, CASE WHEN code < 3 THEN label ELSE 'Unknown' END AS label FROM pred LEFT JOIN pix ON pix.pixel_id = pred.pixel_id"),
-    "metric_map": pred("SELECT pix.pixel_id, round(coalesce(CASE WHEN pix.pixel_id % 3 = 0 THEN r2 END, CASE WHEN keep THEN 0 END), 6) AS r2 FROM pix LEFT JOIN pixel ON pixel.pixel_id = pix.pixel_id", PIXEL),
+    "mask_label_lookup": pred("SELECT order_id, line, coalesce(label, 'Unknown') AS label FROM pred LEFT JOIN pix ON pix.pixel_id = pred.pixel_id"),
+    "metric_map": pred("SELECT pix.pixel_id, round(coalesce(r2, CASE WHEN keep THEN 0 END), 6) AS r2 FROM pix LEFT JOIN pixel ON pixel.pixel_id = pix.pixel_id", PIXEL),
     "coarsen_mask": cube("SELECT CAST(lat_idx // 5 AS INT) AS lat_idx, CAST(lon_idx // 5 AS INT) AS lon_idx, round(avg(CASE WHEN keep THEN 1 ELSE 0 END), 6) AS mean, avg(CASE WHEN keep THEN 1 ELSE 0 END) >= 0.5 AS flag FROM pix GROUP BY 1, 2"),
     "land_mask": cube("SELECT pixel_id, bool_and(target IS NOT NULL) AS valid FROM cube GROUP BY pixel_id"),
     "bit_flags": "SELECT p_partkey, (p_size >> 1) & 1 = 1 AS bit1, (p_size >> 2) & 1 = 1 AS bit2 FROM part",
     "class_masks_coverage": cube("SELECT code, count(*) AS n_pixels FROM pix GROUP BY code"),
-    "regrid_nearest": cube("SELECT pixel_id AS point, CAST(floor((lat_idx * 2.25 - 89 + 90) / 0.5) AS INT) AS lat_idx, CAST(floor((lon_idx * 30.1 - 179 + 180) / 0.5) AS INT) AS lon_idx FROM pix WHERE lat_idx < 70"),
+    "regrid_nearest": cube("SELECT pixel_id AS point, CASE WHEN lat_idx * 2.25 - 89 < 90 THEN CAST(floor((lat_idx * 2.25 - 89 + 90) / 0.5) AS INT) END AS lat_idx, CASE WHEN lat_idx * 2.25 - 89 < 90 THEN CAST(floor((lon_idx * 30.1 - 179 + 180) / 0.5) AS INT) END AS lon_idx FROM pix"),
     "preview_stride": cube("SELECT pixel_id FROM pix WHERE lat_idx % 3 = 0 AND lon_idx % 3 = 0"),
     "scaled_standard": cube("SELECT pixel_id, time_idx, round((qty - (SELECT avg(qty) FROM cube)) / (SELECT stddev_pop(qty) FROM cube), 6) AS qty FROM cube"),
     "scaled_robust": cube("SELECT pixel_id, time_idx, round((qty - (SELECT median(qty) FROM cube)) / (SELECT quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25) FROM cube), 6) AS qty FROM cube"),
+    "select_roi": cube("SELECT pixel_id, CAST(lat_idx * 0.5 - 60 AS DOUBLE) AS latitude, CAST(lon_idx * 2.0 - 100 AS DOUBLE) AS longitude FROM pix WHERE lat_idx * 0.5 - 60 BETWEEN -60 AND -40 AND lon_idx * 2.0 - 100 BETWEEN -97 AND -90"),
+    "standard_axes": cube("SELECT pixel_id, CAST(lat_idx * 0.5 - 60 AS DOUBLE) AS latitude, CAST(lon_idx * 2.0 - 100 AS DOUBLE) AS longitude FROM pix"),
+    "axis_index": cube("SELECT pixel_id, CAST(dense_rank() OVER (ORDER BY -lat_idx) - 1 AS INT) AS place FROM pix"),
+    "flip_axis": cube("SELECT pixel_id, CAST(999999 - lat_idx AS INT) AS lat_idx, lon_idx FROM pix"),
+    "coordinate_lookup": cube("SELECT pixel_id, time_idx, CAST(lat_idx * 0.5 - 60 AS DOUBLE) AS latitude, CAST(lon_idx * 2.0 - 100 AS DOUBLE) AS longitude, time FROM cube"),
+    "scan_variable": cube("SELECT 'lai' AS variable, pixel_id, time_idx, round(target, 6) AS value FROM cube WHERE year BETWEEN 1996 AND 1998"),
+    "scan_lagged_variable": cube("SELECT 'TP_LAG_2' AS variable, pixel_id, time_idx, round(qty_2, 6) AS value FROM lagged WHERE year BETWEEN 1996 AND 1998", LAGGED),
+    "scan_expanded_names": cube(union([f"SELECT '{n}' AS variable, pixel_id, time_idx, round({v}, 6) AS value FROM cube" for n, v in (("LAI", "target"), ("TP_A", "qty"), ("TP_B", "disc"))])),
+    "class_variables": cube("SELECT 'LAI_CLASS_' || code AS variable, pixel_id, time_idx, round(target, 6) AS value FROM cube"),
+    "lagged_files": cube(union([f"SELECT '{n}_LAG_{k}' AS variable, pixel_id, time_idx, round({v}_{k}, 6) AS value FROM lagged" for n, v in (("TP", "qty"), ("SM", "disc")) for k in (1, 2)]), LAGGED),
+    "reconstructed_from_files": cube("SELECT pixel_id, time_idx, round(target, 6) AS target FROM cube"),
+    "mask_labels": "SELECT r_regionkey AS code, r_name AS label FROM region",
+    "available_masks": cube("SELECT pixel_id, code, 'climate' AS mask FROM pix"),
+    "scan_files_by_name": "SELECT * FROM nation",
+    "coerced_casts": "SELECT n_nationkey, TRY_CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE n_nationkey || '.5' END AS DOUBLE) AS number, TRY_CAST('2001-0' || (n_nationkey % 10) || '-10' AS DATE) AS day FROM nation",
+    "slug_names": "SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'figure') AS slug FROM part",
+    "classification_metrics": "WITH r AS (SELECT CAST(l_linenumber % 3 AS BIGINT) AS t, CAST(l_partkey % 7 % 4 AS BIGINT) AS p FROM lineitem), k AS (SELECT t AS k FROM r UNION SELECT p FROM r), c AS (SELECT k, (SELECT count(*) FROM r WHERE t = k) AS truth, (SELECT count(*) FROM r WHERE p = k) AS said, (SELECT count(*) FROM r WHERE t = k AND p = k) AS hit FROM k), q AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS pr, coalesce(hit / nullif(truth, 0), 0) AS re FROM c) SELECT CAST(sum(truth) AS BIGINT) AS n, round(sum(hit) / sum(truth), 6) AS accuracy, round(sum(truth * pr) / sum(truth), 6) AS precision, round(sum(truth * re) / sum(truth), 6) AS recall, round(sum(truth * coalesce(2 * pr * re / nullif(pr + re, 0), 0)) / sum(truth), 6) AS f1 FROM q",
+    "csv_sample": pred("SELECT order_id, line, round(y, 6) AS y_true FROM pred ORDER BY order_id, line LIMIT 500"),
+    "selected_pixel_series": pred("SELECT kind, pred.pixel_id, order_id, line, round(y, 6) AS y_true, round(p, 6) AS y_pred FROM pred JOIN ((SELECT pixel_id, 'best' AS kind FROM pixel WHERE r2 IS NOT NULL ORDER BY r2 DESC, pixel_id LIMIT 2) UNION ALL (SELECT pixel_id, 'worst' AS kind FROM pixel WHERE r2 IS NOT NULL ORDER BY r2, pixel_id LIMIT 2)) c ON c.pixel_id = pred.pixel_id", PIXEL),
+    "category_spatial_metrics": pred(f"SELECT code, label, {CORE}, round({R2}, 6) AS r2, m.n_pixels, round(m.corr_mean, 6) AS corr_mean, round(m.bias_mean, 6) AS bias_mean FROM pred JOIN pix ON pix.pixel_id = pred.pixel_id JOIN m USING (code) WHERE code <> 0 GROUP BY ALL", "per AS (SELECT code, pred.pixel_id, avg(p - y) AS bias, CASE WHEN count(*) >= 12 THEN covar_pop(p, y) / nullif(stddev_pop(p) * stddev_pop(y), 0) END AS corr FROM pred JOIN pix ON pix.pixel_id = pred.pixel_id GROUP BY 1, 2), m AS (SELECT code, count(*) AS n_pixels, avg(corr) AS corr_mean, avg(bias) AS bias_mean FROM per GROUP BY code)"),
+    "spatial_bundle": pred(union([f"SELECT '{m}' AS metric, count({m}) AS n, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std, round(median({m}), 6) AS median, round(quantile_cont({m}, 0.05), 6) AS p05, round(quantile_cont({m}, 0.95), 6) AS p95 FROM pixel" for m in ("r2", "rmse", "mae")]), PIXEL),
+    "observation_bundle": pred("SELECT count(*) AS n, round(avg(p - y), 6) AS mean, round(stddev_pop(p - y), 6) AS std, round(median(p - y), 6) AS median, round(quantile_cont(p - y, 0.05), 6) AS p05, round(quantile_cont(p - y, 0.95), 6) AS p95 FROM pred"),
+    "workflow_metadata": cube("SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test, count(DISTINCT pixel_id) FILTER (WHERE split = 'train') AS n_unique_train_pixels, count(DISTINCT pixel_id) FILTER (WHERE split = 'test') AS n_unique_test_pixels, 3::BIGINT AS n_features, (SELECT count(DISTINCT time_idx) FROM cube) AS n_time, (SELECT CAST(min(time) AS VARCHAR) FROM cube) AS time_start, (SELECT CAST(max(time) AS VARCHAR) FROM cube) AS time_end, 'monthly' AS resolution FROM split", OBS),
+    "training_scan": cube("SELECT c.pixel_id, c.time_idx, round(qty, 6) AS qty, round(disc, 6) AS disc, round(tax, 6) AS tax, round(target, 6) AS y FROM cube c JOIN split s ON s.pixel_id = c.pixel_id AND s.time_idx = c.time_idx WHERE split = 'train'", OBS),
+    "target_year": pred("SELECT order_id, line, pixel_id FROM pred WHERE year(time) = 1997"),
+    "value_stats": pred("SELECT count(rmse) AS n, round(avg(rmse), 6) AS mean, round(stddev_pop(rmse), 6) AS std, round(median(rmse), 6) AS median, round(quantile_cont(rmse, 0.05), 6) AS p05, round(quantile_cont(rmse, 0.95), 6) AS p95 FROM pixel", PIXEL),
 }

@@ -8,16 +8,23 @@ that a shift by rows is a shift in time; what is missing is NULL, not absent.
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import null_if_nan
 
 KEYS = ["pixel_id", "time_idx"]
-LAG_NAME = re.compile(r"^(?P<base>[A-Z0-9_]+)_LAG_(?P<lag>\d+)$")
+LONG_COLUMNS = ["variable", "time_idx", "time", "pixel_id", "value"]
+#: Other names of the axes.
+AXES = {"lat": "latitude", "y": "latitude", "lon": "longitude", "x": "longitude"}
+#: What the codes of the usual masks mean where a folder does not say.
+LABELS = {
+    "climate": {1: "Tropical", 2: "Dry", 3: "Temperate", 4: "Continental", 5: "Polar"},
+    "landcover": {10: "Tree cover", 20: "Shrubland", 30: "Grassland", 40: "Cropland", 70: "Snow and ice", 90: "Herbaceous wetland", 100: "Moss and lichen"},
+}
 
 
 @dataclass(frozen=True)
@@ -72,25 +79,21 @@ class Grid:
 def parse_variable(name: str) -> tuple[str, int]:
     """``X_LAG_n`` to (X, n); any other name to (name, 0)."""
     name = name.strip().upper()
-    m = LAG_NAME.match(name)
-    if not m:
+    base, _, lag = name.rpartition("_LAG_")
+    if not (lag.isascii() and lag.isdigit() and base.isascii() and base.replace("_", "A").isalnum()):
         return name, 0
-    if int(m["lag"]) < 1:
+    if int(lag) < 1:
         raise ValueError(f"a lag is at least 1: {name}")
-    return m["base"], int(m["lag"])
+    return base, int(lag)
 
 
 def parse_variables(df: DataFrame, name: str = "name") -> DataFrame:
     """The same over a column: adds ``base`` and ``lag``."""
-    pattern = r"^([A-Z0-9_]+)_LAG_([0-9]+)$"
     n = F.upper(F.trim(F.col(name)))
-    lagged = n.rlike(pattern)
-    return df.withColumns(
-        {
-            "base": F.when(lagged, F.regexp_extract(n, pattern, 1)).otherwise(n),
-            "lag": F.when(lagged, F.regexp_extract(n, pattern, 2).cast("int")).otherwise(0),
-        }
-    )
+    lag = F.substring_index(n, "_LAG_", -1)
+    base = F.substring(n, F.lit(1), F.length(n) - F.length(lag) - len("_LAG_"))
+    lagged = F.contains(n, F.lit("_LAG_")) & lag.rlike("^[0-9]+$") & base.rlike("^[A-Z0-9_]+$")
+    return df.withColumns({"base": F.when(lagged, base).otherwise(n), "lag": F.when(lagged, lag.cast("int")).otherwise(0)})
 
 
 def expand_names(requested: list[str], known: list[str]) -> list[str]:
@@ -114,21 +117,120 @@ def select_time(df: DataFrame, start_year: int | None = None, end_year: int | No
 
 
 def select_roi(df: DataFrame, roi: Roi | dict | None) -> DataFrame:
+    """The cells in the box; a box without any raises."""
     if roi is None:
         return df
     r = Roi.of(roi)
-    return df.where(F.col("latitude").between(r.lat_min, r.lat_max) & F.col("longitude").between(r.lon_min, r.lon_max))
+    out = df.where(F.col("latitude").between(r.lat_min, r.lat_max) & F.col("longitude").between(r.lon_min, r.lon_max))
+    if out.isEmpty():
+        raise ValueError(f"no cell is in {r}")
+    return out
+
+
+def standard_axes(df: DataFrame) -> DataFrame:
+    """Columns that name the axes otherwise (``lat``, ``y``, ``lon``, ``x``) get their usual names."""
+    names = {c: AXES[c.lower()] for c in df.columns if c.lower() in AXES and AXES[c.lower()] not in df.columns}
+    if len(set(names.values())) < len(names):
+        raise ValueError(f"an axis is there twice: {sorted(names)}")
+    return df.withColumnsRenamed(names)
+
+
+def only_value(df: DataFrame, keys: list[str]) -> str:
+    """The one column that is no key."""
+    values = [c for c in df.columns if c not in keys]
+    if len(values) != 1:
+        raise ValueError(f"one value column is expected, not {values}")
+    return values[0]
+
+
+def axis_index(df: DataFrame, axis: str, name: str) -> DataFrame:
+    """Adds the place of each coordinate on its axis, in ascending order. The axis is as long
+    as the grid is wide, so its distinct coordinates are put in order in one task."""
+    from pyspark.sql import Window
+
+    order = df.select(axis).distinct().withColumn(name, (F.row_number().over(Window.orderBy(axis)) - 1).cast("int"))
+    return df.join(order, axis)
+
+
+def flip_rows(df: DataFrame, n_lat: int) -> DataFrame:
+    """Rows counted from the other end of the latitudes."""
+    return df.withColumn("lat_idx", F.lit(n_lat - 1) - F.col("lat_idx"))
+
+
+def with_coordinates(df: DataFrame, pixels: DataFrame, times: DataFrame) -> DataFrame:
+    """Adds ``latitude, longitude, time`` by ``pixel_id`` and ``time_idx``; a row outside the grid raises."""
+    out = df.join(pixels.select("pixel_id", "latitude", "longitude"), "pixel_id", "left").join(times.select("time_idx", "time"), "time_idx", "left")
+    outside = out.where("latitude IS NULL OR time IS NULL")
+    if not outside.isEmpty():
+        raise IndexError(f"outside the grid: {outside.select(*KEYS).first()}")
+    return out
+
+
+def stack_classes(df: DataFrame, variable: str) -> DataFrame:
+    """A variable of several classes as a variable for each, ``X_CLASS_c``."""
+    return df.withColumn("variable", F.concat(F.lit(f"{variable.upper()}_CLASS_"), F.col("class").cast("string"))).drop("class")
+
+
+def labels_of(spark: SparkSession, path: str | None, mask: str) -> DataFrame:
+    """``code, label`` of a mask, from a table kept at ``path``; where there is none or it may
+    not be read, the usual ones."""
+    try:
+        if path is not None:
+            return spark.read.parquet(path).where(F.col("mask") == mask).select("code", "label")
+    except Exception as e:  # Spark names it in several classes
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "does not exist", "Permission denied")):
+            raise
+    return spark.createDataFrame(sorted(LABELS[mask].items()), "code int, label string")
+
+
+def available_masks(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The masks that the folder has; the others are left out."""
+    out = {}
+    for name in names:
+        try:
+            out[name] = spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return out
+
+
+def read_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder whose names fit; none raises."""
+    try:
+        return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
+        raise FileNotFoundError(f"{folder}/{pattern}") from e
+
+
+def read_cube(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Several variables of a long cube; a name that is not there stands for all that begin
+    with it. The names come from the partitions, and only theirs are read."""
+    df = spark.read.parquet(path)
+    known = [r[0] for r in df.select("variable").distinct().collect()]
+    return df.where(F.col("variable").isin(expand_names(names, known)))
 
 
 def read_variable(spark: SparkSession, path: str, variable: str, roi: Roi | dict | None = None, start_year: int | None = None, end_year: int | None = None) -> DataFrame:
     """A variable of a long cube kept as Parquet partitioned by ``variable``: only its
-    partition is read, and years and box reach the scan as filters."""
+    partition is read, and years and box reach the scan as filters; for a lagged one the
+    steps before the first year that the lag needs are read too."""
     base, lag = parse_variable(variable)
-    df = spark.read.parquet(path).where(F.upper("variable") == base)
+    df = spark.read.parquet(path)
+    if missing := [c for c in LONG_COLUMNS if c not in df.columns]:
+        raise ValueError(f"not a long cube, it lacks {missing}")
+    df = df.where(F.upper("variable") == base)
+    if df.isEmpty():
+        raise ValueError(f"there is no variable {base} in {path}")
     df = select_roi(df, roi)
     if lag:
         from gridloom.operators.cube import shift
 
+        if start_year is not None and end_year is not None:
+            first = select_time(df, start_year, end_year).agg(F.min("time_idx")).first()[0]
+            df = df.where((F.col("time") <= F.make_date(F.lit(end_year), F.lit(12), F.lit(31))) & (F.col("time_idx") >= (0 if first is None else first) - lag))
         df = shift(df, ["value"], lag)
     return select_time(df, start_year, end_year).withColumn("variable", F.lit(variable)).withColumn("value", null_if_nan("value"))
 
