@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a file whose share a task holds at once.
-GROUP = 8_192
+GROUP = 4_096
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -124,7 +124,7 @@ def rows_of_file(folder: str, file: int, schema: pa.Schema) -> pa.Table:
     path = f"{base}/file={file}"
     if where.get_file_info(path).type == fs.FileType.NotFound:
         return schema.empty_table()
-    return dataset.dataset(path, filesystem=where, format="parquet", schema=schema).to_table()
+    return dataset.dataset(path, filesystem=where, format="parquet", schema=schema).to_table(use_threads=False)
 
 
 def same_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:

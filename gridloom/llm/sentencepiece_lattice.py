@@ -293,16 +293,19 @@ def encode(docs: DataFrame, model: Model, text: str = "text", round_trip: bool =
     entry = pa.schema([("word", pa.string()), ("bounds", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, rank = re.compile(model.pattern).findall, model.ranks()
+        find, rank = re.compile(model.pattern).findall, None
         file, known, ids = None, None, None
         strings = pa.array(model.strings, pa.large_binary())
         table, numbers = pa.array(list(model.table), pa.string()), np.array([i for i, _ in model.table.values()])
-        for b in pieces(batches, text, 2 << 20):
+        for b in pieces(batches, text):
             for of, part in same_file(iter([b])):
                 if of != file:
-                    own = rows_of_file(folder, of, entry).combine_chunks()
-                    file, known = of, pa.concat_arrays(own.column("word").chunks or [pa.array([], pa.string())])
-                    ids = ids_of(known, own.column("bounds").to_numpy(), model, table, numbers)
+                    known = ids = None  # before the next are read
+                    own = rows_of_file(folder, of, entry).to_batches(32_768)
+                    file, known = of, pa.concat_arrays([x.column("word") for x in own] or [pa.array([], pa.string())])
+                    ids = pa.concat_arrays([ids_of(x.column("word"), x.column("bounds").to_numpy(), model, table, numbers) for x in own] or [pa.array([], pa.list_(pa.int32()))])
+                    del own
+                    pa.default_memory_pool().release_unused()
                 texts = part.column(text)
                 found = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts.to_pylist()]
                 counts = np.array([len(f) for f in found])
@@ -311,6 +314,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", round_trip: bool =
                 strange = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
                 own = ids
                 if len(strange):
+                    rank = rank or model.ranks()
                     more = [segment(flat[k].as_py(), model, rank) for k in strange.tolist()]
                     own = pa.concat_arrays([ids, pa.array(more, ids.type)])
                     at = at.to_numpy(zero_copy_only=False).copy()
