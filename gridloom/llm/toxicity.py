@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -112,6 +112,18 @@ def drawn_labels(labels: DataFrame, max_rows: int) -> DataFrame:
     return known.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max_rows)
 
 
+def log_ratios(rows: DataFrame, n: int, bad: int, features: int) -> list[Row]:
+    """``bucket, ratio`` of the ``features`` n-gram buckets whose presence differs most
+    between the ``bad`` toxic ones of ``n`` rows of ``text, toxic`` and the others; a
+    bucket in fewer than three rows is left out. A bounded list, as features are."""
+    good = n - bad
+    counts = rows.mapInArrow(_count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    p1, p0 = (F.col("n1") + SMOOTH) / F.lit(bad + 2 * SMOOTH), (F.col("n0") + SMOOTH) / F.lit(good + 2 * SMOOTH)
+    pooled = (F.col("n0") + F.col("n1")) / F.lit(float(n))
+    z = F.abs(p1 - p0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * F.lit(1 / bad + 1 / good))
+    return counts.where("n0 + n1 >= 3").select("bucket", F.log(p1 / p0).alias("ratio"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(features).collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -> Model:
     known = settle(drawn_labels(labels, max_rows))
     # the drawn labels are bounded, so they go to the texts and no text is shuffled
@@ -121,14 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     if not 0 < bad < n:
         share = min(max(bad / n, 1e-6), 1 - 1e-6) if n else 0.5
         return Model(none, np.zeros(1), float(np.log(share / (1 - share))))
-    good = n - bad
-    counts = rows.mapInArrow(_count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p1, p0 = (F.col("n1") + SMOOTH) / F.lit(bad + 2 * SMOOTH), (F.col("n0") + SMOOTH) / F.lit(good + 2 * SMOOTH)
-    pooled = (F.col("n0") + F.col("n1")) / F.lit(float(n))
-    z = F.abs(p1 - p0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * F.lit(1 / bad + 1 / good))
-    best = counts.where("n0 + n1 >= 3").select("bucket", F.log(p1 / p0).alias("ratio"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(features).collect()
+    best = log_ratios(rows, n, bad, features)
     if not best:
-        return Model(none, np.zeros(1), float(np.log(bad / good)))
+        return Model(none, np.zeros(1), float(np.log(bad / (n - bad))))
     number, ratio = none.copy(), np.array([r["ratio"] for r in best])
     number[[r["bucket"] for r in best]] = np.arange(len(best), dtype=np.int32)
 

@@ -1,6 +1,7 @@
 import os
 import random
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,27 @@ def test_neighbours_against_plain(spark, n):
         assert got[i].fingerprint == fingerprints.fingerprint(t) and got[i].next_fingerprint == fingerprints.fingerprint(following)
 
 
+def test_fingerprints_and_likeness_against_plain(spark):
+    draw = random.Random(7)
+    texts = ["", "a", "abcdefg", "ab" * 300, "é漢🙂" * 40] + ["".join(draw.choices("abcde fghij", k=draw.choice([30, 200, 900, 5000]))) for _ in range(12)]
+    texts += [t[: len(t) // 2] + "changed" + t[len(t) // 2 :] for t in texts[5:]] + [t * 2 for t in texts[5:9]]
+    made = [fingerprints.fingerprint(t) for t in texts]
+    assert made == [brute.fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in made for b in made]
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", fingerprints.likeness(F.col("x"), F.col("y")).alias("s")).collect()
+    assert [r.s for r in got] == pytest.approx([brute.likeness(r.x, r.y) for r in got])
+    assert len({r.s for r in got}) > 20
+
+
+def test_neighbours_of_ids_that_doubles_cannot_tell_apart(spark):
+    ids = [2**60 + i for i in range(9)] + [-(2**63), -(2**63) + 1, 2**63 - 1, 2**63 - 2, 0, None]
+    rows = [(i, f"text {(7 * k) % 15} " * 30) for k, i in enumerate(ids)]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, 0 if r[0] is None else -r[0]))
+    for k, (i, _) in enumerate(order):
+        assert got[i].next_fingerprint == brute.fingerprint(order[(k + 1) % len(order)][1]), i
+
+
 def test_neighbours_of_repeated_and_unnamed_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (None, "z")], "doc_id long, text string")
     assert fingerprints.edited_fingerprints(df).count() == 4
@@ -68,6 +90,26 @@ def test_scores_of_odd_texts(spark):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_ratios_and_scores_against_plain(spark):
+    docs, labels = labelled(spark)
+    rows = [(r.text, r.toxic) for r in docs.join(labels, "doc_id").collect()]
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    got = {r["bucket"]: (r["ratio"], r["z"]) for r in toxicity.log_ratios(df, len(rows), sum(t for _, t in rows), 10**6)}
+    want = brute.toxic_ratios(rows)
+    assert set(got) == set(want) and all(got[b] == pytest.approx(want[b]) for b in want)
+    model = toxicity.fit(docs, labels)
+    odd = [(0, None), (1, ""), (2, "IDIOT É"), (3, "a kind word number 9"), (4, "x" * 50)]
+    for r in toxicity.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect():
+        assert r.score == pytest.approx(brute.toxic_score(odd[r.doc_id][1], model)) and r.predicted == (r.score >= 0.5)
+
+
+def test_labels_other_than_0_and_1_are_ignored(spark):
+    docs, labels = labelled(spark)
+    odd = labels.unionByName(spark.createDataFrame([(i, 7 - i % 9) for i in range(50) if 7 - i % 9 not in (0, 1)], "doc_id long, toxic int"))
+    a, b = (toxicity.fit(docs, x) for x in (labels, odd))
+    assert a.intercept == pytest.approx(b.intercept) and a.weight.tolist() == pytest.approx(b.weight.tolist())
+
+
 def test_fit_without_both_classes(spark):
     docs, labels = labelled(spark)
     for some, want in ((labels.where("toxic = 0"), 0), (labels.where("toxic = 1"), 1), (labels.limit(0), 1)):

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import itertools
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,19 +60,6 @@ def test_archives_of_null_and_repeated_ids(spark):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def targets(sizes, cycle=(3, 1, 2), share=1.5, cap=2.0):
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    w = {s: cycle[i % 3] for i, s in enumerate(names)}
-    full, left = set(), share * sum(sizes.values())
-    while True:
-        open_ = [s for s in names if s not in full]
-        level = (left - sum(cap * sizes[s] for s in full)) / sum(w[s] for s in open_) if open_ else 0
-        over = [s for s in open_ if level * w[s] > cap * sizes[s]]
-        if not over:
-            return {s: cap * sizes[s] if s in full else level * w[s] for s in names}
-        full |= set(over)
-
-
 def mixed(spark, rows, **more):
     return mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), **more)
 
@@ -85,7 +73,7 @@ def test_mix_meets_targets_and_repeats(spark):
         taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
         largest[r.source] = max(largest.get(r.source, 0), r.size)
         assert 0 <= r.copies * r.size <= 2 * r.size
-    want = targets(sizes)
+    want = brute.targets(sizes)
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
     for s, t in taken.items():
@@ -107,6 +95,22 @@ def test_mix_of_repeated_rows_and_weights(spark):
     assert by[True] > by[False]
 
 
+def test_mix_of_rows_without_ids(spark):
+    got = mixed(spark, [(None, "a", f"{'w ' * 9}{i}") for i in range(200)] + [(None, "b", "w " * 800)]).where("source = 'a'").collect()
+    assert abs(sum(r.copies * r.size for r in got) - got[0].target) <= 5
+
+
+def test_urls_that_a_header_cannot_hold(spark):
+    urls = ["http://a.org/b%20c?q=é#f", "http://a.org/\r\nWARC-Type: x", " http://a.org/ ", "", "\u2028"]
+    captures = warc.write_archives(pages(spark, [(i, u, str(i)) for i, u in enumerate(urls)]))
+    assert {r.page_id: r.url for r in warc.lookup(warc.write_index(captures), captures).collect()} == dict(enumerate(urls))
+    plain = warc.zlib.decompress(warc._record("response", 1, urls[0], None, "X", 1, b"x"), 47).decode()
+    assert f"WARC-Target-URI: {urls[0]}\r\n" in plain and warc.EXACT not in plain
+    record = warc._record("response", 1, urls[0], None, base64.b32encode(hashlib.sha1(b"x").digest()).decode(), 1, b"y")
+    with pytest.raises(ValueError):
+        warc._parse(record)
+
+
 def test_pieces_equal_the_library(spark):
     sp = pytest.importorskip("sentencepiece")
     tok = pytest.importorskip("public_tokenizers")
