@@ -1,7 +1,8 @@
 """From raw documents to piece ids: five stages over the operators of ``gridloom.llm``.
 
 Each stage takes the documents that the one before has written and returns those it
-keeps, in the columns of ``documents``; the last adds ``ids`` and ``n_pieces``.
+keeps, in the columns of ``documents``; the last adds ``ids`` and ``n_pieces``. Other columns
+are kept, also where a stage uses their names, but for ``ids`` and ``n_pieces``.
 """
 
 from __future__ import annotations
@@ -16,31 +17,53 @@ from gridloom.llm.common import load, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels, calls toxic go."""
+    """Documents that the classifier, trained on the labels, calls toxic go.
+
+    Null and empty texts score what the intercept says; repeated rows, and such as share an
+    id, are judged each; a text of any length is judged whole; an empty table gives none.
+    """
     model = toxicity.fit(docs, load(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the first stays."""
+    """Of documents linked by five-word shingles at 0.8 or more, the first stays.
+
+    First is the least id, then the least digest of the text; a row without an id comes last.
+    Wordless texts, null ones among them, are copies of each other, and so are repeated
+    rows: one stays. An empty table gives none.
+    """
     return jaccard_join.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What repeats 100 bytes of an earlier place is cut; a document of which nothing is
-    left goes."""
+    left goes.
+
+    Null and short texts stay as they are; a row without an id comes first; rows that repeat
+    both id and text are one document, and each keeps what that keeps. ``n_chars`` is counted
+    anew where something was cut. An empty table gives none.
+    """
     cut = suffix_dedup.remove_repeats(docs).where("n_removed = 0 OR text <> ''")
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
+    """As many copies of each document as the mix takes.
+
+    Wordless texts, null ones among them, are not taken; a null source is one of its own, the
+    last; rows that repeat an id are taken or left together. An empty table gives none.
+    """
     mixed = mixing.mix(docs).where("copies > 0")
     return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each text."""
+    """The piece ids of each text: ``ids`` and ``n_pieces``.
+
+    A null text has null ids and no pieces, an empty one an empty list; repeated rows are
+    encoded each; a text of any length is encoded whole. An empty table gives none.
+    """
     encoded = sentencepiece_lattice.encode(docs, sentencepiece_lattice.load_model())
     return encoded.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
 
@@ -53,8 +76,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode_pieces),
 ]
 
-#: Classifier, join and suffix arrays are beyond SQL; tests hold the join and suffix
-#: stages against a plain version.
+#: Classifier, join and suffix arrays are beyond SQL; a test holds each stage against a
+#: plain version.
 ORACLE_SQL = None
 
 
