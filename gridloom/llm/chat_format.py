@@ -13,7 +13,9 @@ stands in a text, one backslash is put after its ``<``; reading takes one away.
 Defined results for odd input: null texts and roles are empty; a message whose parent
 is missing is a root; messages on a cycle have no root and are left out; repeated
 messages are turns of their own, in order of role and text; equal scores rank by the
-leaf's id; an empty table gives none; columns beside those named are not kept.
+leaf's id; texts of any length are taken whole; a conversation of numbered turns is put in
+order in one task, and each chosen path is one row, so either must fit there; an empty table
+gives none; columns beside those named are not kept, so none can clash.
 """
 
 from __future__ import annotations

@@ -53,6 +53,8 @@ BINS = 128
 NEAR = 0.6
 SMALL, BLOCK, DEPTH = 4096, 1024, 4
 ROWS, TOKENS = 2048, 1 << 20
+#: Sets in groups, of some 60 bytes each, that are broadcast; more are joined by a shuffle.
+MOST = 500_000
 #: of the likeness of two sketches, about the similarity of their sets
 SPREAD = 0.035
 SETS = "doc_id long, digest long, node long, n int, sketch binary, buckets array<long>"
@@ -297,7 +299,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     size = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
     # one document of each set, by id and text, so that rows without an id do not all meet
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
-    texts = mine.join(members, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
+    # those of up to MOST sets are found in place, and only their texts are shuffled
+    sent = F.broadcast(members) if members.count() <= MOST else members
+    texts = mine.join(sent, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
     number = F.greatest(F.ceil(F.col("size") / ROWS), F.ceil(F.col("tokens") / TOKENS))
     blocks = _blocks(texts.select("label", "node", "copies", "text"), "label", size, number)
     blocks = blocks.repartition(partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j", "node")

@@ -6,7 +6,7 @@ documents. There is no user function and no shuffle: everything is built-in
 expressions over the row's own text.
 
 Defined results for odd input: a null text counts as empty (no words, all counts
-0, it fails the base rules); ties and repeated rows are judged each on its own; an
+0, it fails the base rules); a text of any length is judged whole, by its row's task; ties and repeated rows are judged each on its own; an
 empty table gives an empty table; extra input columns are kept by ``apply_rules``
 unless their name is one of the columns it adds, which then wins.
 """

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_file, from_files, partitions, pieces, rows_of_file, same_file, settle, text_bytes
+from gridloom.llm.common import by_file, discard, from_files, partitions, pieces, rows_of_file, same_file, settle_at, text_bytes
 from gridloom.llm.shingles import mix, powers
 
 LENGTH, GRAM = 100, 24
@@ -363,15 +363,17 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> st
     """The folder with, by input file, ``doc_id, salt, runs``: the runs of bytes to remove
     from each document that has any, as sorted ``(start, stop)`` that may overlap.
     ``docs``: ``doc_id, salt, text, __file``."""
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = partitions(spark)
     where = docs.select("doc_id", "salt", F.col("__file").alias("file")).distinct()
     found = docs.mapInArrow(_occurrences(length), OCCUR)
     found = found.repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "salt", "start")
-    found = settle(found.mapInArrow(_classes, CLASSES))
+    found, at_found = settle_at(found.mapInArrow(_classes, CLASSES))
     marks = found.where("kind = 1").groupBy("doc_id", "salt").agg(F.collect_list(F.struct("h", "start", "stop")).alias("marks"))
     folder = by_file(marks.join(where, ["doc_id", "salt"]))
-    contexts = settle(docs.mapInArrow(_contexts(folder), CONTEXT))
-    large = settle(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select("h"))
+    contexts, at_contexts = settle_at(docs.mapInArrow(_contexts(folder), CONTEXT))
+    discard(spark, folder)
+    large, at_large = settle_at(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select("h"))
     runs = found.where("kind = 0").select("doc_id", "salt", "start", "stop")
     few = contexts
     if not large.isEmpty():
@@ -380,7 +382,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> st
         runs = runs.unionByName(_later(strings).select("doc_id", "salt", "start", (F.col("start") + length).alias("stop")))
     factors = few.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_factors(length), RUNS)
     runs = runs.unionByName(factors).groupBy("doc_id", "salt").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
-    return by_file(runs.join(where, ["doc_id", "salt"]))
+    folder = by_file(runs.join(where, ["doc_id", "salt"]))
+    for path in (at_found, at_contexts, at_large):
+        discard(spark, path)
+    return folder
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, keep_text: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridloom.llm.common import pieces, settle
+from gridloom.llm.common import discard, pieces, settle_at
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -125,9 +125,11 @@ def log_ratios(rows: DataFrame, n: int, bad: int, features: int) -> list[Row]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -> Model:
-    known = settle(drawn_labels(labels, max_rows))
+    spark = docs.sparkSession
+    known, at_known = settle_at(drawn_labels(labels, max_rows))
     # the drawn labels are bounded, so they go to the texts and no text is shuffled
-    rows = settle(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    rows, at_rows = settle_at(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    discard(spark, at_known)
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     none = np.full(1 << BITS, -1, np.int32)
     if not 0 < bad < n:
@@ -149,8 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
             vector = pa.StructArray.from_arrays([*fixed, *lists], ["type", "size", "indices", "values"])
             yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.float64()), vector], ["label", "features"])
 
-    train = settle(rows.mapInArrow(rows_of, StructType().add("label", "double").add("features", VectorUDT())))
+    train, at_train = settle_at(rows.mapInArrow(rows_of, StructType().add("label", "double").add("features", VectorUDT())))
     lr = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(train)
+    discard(spark, at_rows)
+    discard(spark, at_train)
     return Model(number, np.asarray(lr.coefficients) * ratio, float(lr.intercept))
 
 
