@@ -65,12 +65,14 @@ ODD = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n", None, None, 2
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
 def test_stages_take_odd_rows(spark, name):
     docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.withColumns({c: F.lit("mine") for c in ("score", "copies", "size", "node", "first", "n_removed", "word", "digest")})
+    mine = ("score", "copies", "size", "node", "first", "n_removed", "word", "digest", "__id")
+    docs = docs.withColumns({c: F.lit("mine") for c in mine})
     stage = dict(P.STAGES)[name]
     out = settle(stage(spark, docs, SF))
-    assert set(docs.columns) <= set(out.columns) and out.where("node <> 'mine' OR word <> 'mine'").isEmpty()
-    n = {"toxicity": 8, "jaccard_join": 5, "suffix_dedup": 7, "mixing": None, "sentencepiece": 8}[name]
-    assert n is None or out.count() <= n
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.where(" OR ".join(f"`{c}` <> 'mine' OR `{c}` IS NULL" for c in mine)).isEmpty()
+    n = {"jaccard_join": 4, "suffix_dedup": 8, "sentencepiece": 8}
+    assert out.count() == n.get(name, out.count())
     assert out.where("doc_id = 4").count() >= 1 or name == "toxicity"
     assert stage(spark, docs.limit(0), SF).count() == 0
 
