@@ -2,11 +2,13 @@
 
 Each stage takes the documents that the one before has written and returns those it
 keeps, in the columns of ``documents``; the last adds ``ids`` and ``n_pieces``. Other columns
-are kept, also where a stage uses their names, but for ``ids`` and ``n_pieces``.
+are put aside meanwhile and kept, also where a stage uses their names, but for ``ids`` and
+``n_pieces``, which the last replaces.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,24 @@ from gridloom.llm import jaccard_join, mixing, sentencepiece_lattice, suffix_ded
 from gridloom.llm.common import load, settle
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ASIDE = "__own_"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def others_aside(stage: Stage) -> Stage:
+    """The stage over documents whose other columns have names that no operator uses."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        out = stage(spark, docs.withColumnsRenamed({c: ASIDE + c for c in docs.columns if c not in COLUMNS}), sf_dir)
+        back = {c: c.removeprefix(ASIDE) for c in out.columns if c.startswith(ASIDE)}
+        return out.drop(*(c for c, name in back.items() if name in out.columns)).withColumnsRenamed(back)
+
+    return run
+
+
+@others_aside
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, calls toxic go.
 
@@ -26,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
+@others_aside
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8 or more, the first stays.
 
@@ -36,6 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard_join.keep_first(docs)
 
 
+@others_aside
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What repeats 100 bytes of an earlier place is cut; a document of which nothing is
     left goes.
@@ -48,6 +70,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+@others_aside
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes.
 
@@ -58,6 +81,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
+@others_aside
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each text: ``ids`` and ``n_pieces``.
 
@@ -68,7 +92,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return encoded.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("jaccard_join", drop_near_copies),
     ("suffix_dedup", cut_repeats),
