@@ -18,6 +18,7 @@ from gridloom.plans import learning
 from gridloom.plans import workflow as W
 from gridloom.plans.oracle import SQL
 from gridloom.sources import cube as SC
+from gridloom.sources.config import mark_run, model_run_name, processed_run_name, resolve_data, resolve_train, run_is_current, split_name
 from gridloom.sources.fixtures import PREDICTORS, VARIABLES, pixels, predictions, table
 from gridloom.sources.fixtures import cube as fixture
 
@@ -400,6 +401,66 @@ def _(spark, sf_dir):
     return W.load_training(spark, path, "train").select("pixel_id", "time_idx", *PREDICTORS, "y")
 
 
+@query("grid_pixels")
+def _(spark, sf_dir):
+    grid = SC.Grid(-89.75, -179.75, 0.5, 36, 72, "1982-01-01", 1)
+    return grid.pixels(spark).join(pixels(spark, sf_dir).select(F.col("pixel_id").cast("int").alias("pixel_id")), "pixel_id")
+
+
+@query("grid_times")
+def _(spark, sf_dir):
+    months = SC.Grid(0, 0, 1, 1, 1, "1995-01-01", 83).times(spark)
+    return fixture(spark, sf_dir).select("time_idx").distinct().join(months, "time_idx")
+
+
+@query("grid_check")
+def _(spark, sf_dir):
+    c = _place(fixture(spark, sf_dir)).select("pixel_id", "time_idx", "latitude", "longitude")
+    SC.check_grid(c)
+    return c.agg(F.count(F.lit(1)).alias("n_cells"), F.min("latitude").alias("lat_min"), F.max("longitude").alias("lon_max"))
+
+
+@query("mask_misaligned")
+def _(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    return C.misaligned(p.where("code < 3"), p.where("code > 1"))
+
+
+@query("row_folds")
+def _(spark, sf_dir):
+    return S.folds(fixture(spark, sf_dir).select("pixel_id", "time_idx"), 4)
+
+
+@query("json_fields")
+def _(spark, sf_dir):
+    parsed = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return parsed.withColumn("again", F.to_json(F.struct("k")))
+
+
+@query("saved_model_predictions")
+def _(spark, sf_dir):
+    rows, path = learning.rows(spark, sf_dir), learning.scratch(spark)
+    fitted = M.train(rows.where("split = 'train'"), PREDICTORS, "rf", "standard", numTrees=2, maxDepth=3)
+    M.save_run(fitted, {"model": "rf"}, path)
+    a, b = (M.predict(m, rows).select("pixel_id", "time_idx", F.col("y_pred").alias(n)) for m, n in ((fitted, "a"), (M.load_run(path), "b")))
+    return a.join(b, ["pixel_id", "time_idx"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_different"))
+
+
+@query("run_cache")
+def _(spark, sf_dir):
+    config, path = {"target": "LAI", "roi": SC.Roi(-10, 10, -20, 20)}, learning.scratch(spark)
+    mark_run(spark, config, path)
+    cases = [("same", config, path), ("other", config | {"target": "TP"}, path), ("none", config, f"{path}-none")]
+    return spark.createDataFrame([(name, run_is_current(spark, c, at)) for name, c, at in cases], "case string, current boolean")
+
+
+@query("config_names")
+def _(spark, sf_dir):
+    data = resolve_data({"target": " lai", "predictors": ["tp", "LAI", "TP"], "masks": "Climate", "value_type": "Anomaly", "detrend": True})
+    train = resolve_train({"train_fraction": 0.125})
+    return spark.createDataFrame([(",".join(data["predictors"]), processed_run_name(data), split_name(train), model_run_name(train))], "predictors string, processed string, split string, model string")
+
+
 over_predictions("target_year", ["order_id", "line", "pixel_id"])(lambda p: E.target_year(p, 1997))
 over_predictions("value_stats")(lambda p: E.value_stats(E.pixel_metrics(p), "rmse"))
 
