@@ -420,6 +420,14 @@ def _(spark, sf_dir):
     return c.agg(F.count(F.lit(1)).alias("n_cells"), F.min("latitude").alias("lat_min"), F.max("longitude").alias("lon_max"))
 
 
+@query("cube_shape")
+def _(spark, sf_dir):
+    c = fixture(spark, sf_dir)
+    n_time = c.select("time_idx").distinct().count()
+    SC.check_shape(c, pixels(spark, sf_dir).count(), n_time)
+    return c.agg(F.count_distinct("pixel_id").alias("n_pixels"), F.count_distinct("time_idx").alias("n_time"), F.count(F.lit(1)).alias("n_cells"))
+
+
 @query("mask_misaligned")
 def _(spark, sf_dir):
     p = pixels(spark, sf_dir)
@@ -451,7 +459,7 @@ def _(spark, sf_dir):
     config, path = {"target": "LAI", "roi": SC.Roi(-10, 10, -20, 20)}, learning.scratch(spark)
     mark_run(spark, config, path)
     cases = [("same", config, path), ("other", config | {"target": "TP"}, path), ("none", config, f"{path}-none")]
-    return spark.createDataFrame([(name, run_is_current(spark, c, at)) for name, c, at in cases], "case string, current boolean")
+    return spark.createDataFrame([(name, run_is_current(spark, c, at)) for name, c, at in cases], "scenario string, current boolean")
 
 
 @query("config_names")

@@ -223,10 +223,11 @@ SQL: dict[str, str] = {
     "grid_pixels": "SELECT CAST(s_suppkey AS INT) AS pixel_id, CAST(s_suppkey // 72 AS INT) AS lat_idx, CAST(s_suppkey % 72 AS INT) AS lon_idx, round(-89.75::DOUBLE + (s_suppkey // 72) * 0.5::DOUBLE, 6) AS latitude, round(-179.75::DOUBLE + (s_suppkey % 72) * 0.5::DOUBLE, 6) AS longitude FROM supplier WHERE s_suppkey < 36 * 72",
     "grid_times": cube("SELECT DISTINCT time_idx, time FROM cube"),
     "grid_check": cube("SELECT count(*) AS n_cells, CAST(min(lat_idx * 0.5 - 60) AS DOUBLE) AS lat_min, CAST(max(lon_idx * 2.0 - 100) AS DOUBLE) AS lon_max FROM cube"),
+    "cube_shape": cube("SELECT (SELECT count(*) FROM pix) AS n_pixels, (SELECT count(*) FROM times) AS n_time, (SELECT count(*) FROM pix) * (SELECT count(*) FROM times) AS n_cells"),
     "mask_misaligned": cube("SELECT pixel_id FROM pix WHERE code < 3 AND NOT code > 1 UNION ALL SELECT pixel_id FROM pix WHERE code > 1 AND NOT code < 3"),
     "row_folds": cube("SELECT pixel_id, time_idx, CAST((rank - 1) % 4 AS INT) AS fold FROM ranks", f"ranks AS ({ranked('pixel_id, time_idx', 42, 'cube')})"),
     "json_fields": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, '{\"k\":' || CAST(props->>'k' AS BIGINT) || '}' AS again FROM events",
     "saved_model_predictions": cube(f"SELECT count(*) AS n, 0::BIGINT AS n_different FROM cube WHERE {OK}"),
-    "run_cache": "SELECT * FROM (VALUES ('same', true), ('other', false), ('none', false)) v(\"case\", current)",
+    "run_cache": "SELECT * FROM (VALUES ('same', true), ('other', false), ('none', false)) v(scenario, current)",
     "config_names": "SELECT 'TP' AS predictors, 'climate_monthly_anomaly_detrended' AS processed, 'random_observation_train12p5_test10_seed42' AS split, 'rf_none_random_observation_train12p5_test10_seed42' AS model",
 }

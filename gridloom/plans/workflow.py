@@ -6,6 +6,7 @@ was made from; a stage whose folder holds the same configuration is not done aga
 
 from __future__ import annotations
 
+import argparse
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -114,7 +115,31 @@ def run(spark: SparkSession, config: dict | str, source: str, folder: str, pixel
     model.write_csv(metrics, f"{trained}/metrics", ["split"])
     model.write_csv(parts[1].select("pixel_id", "time_idx", "y_true", "y_pred"), f"{trained}/predictions", KEYS)
     if (how := dict(config.get("explain") or {})).pop("enabled", bool(how)):
+        how.setdefault("seed", train["seed"])
         explain.run(load_training(spark, table, "test"), fitted, info["feature_names"], f"{trained}/explained", **how)
     summary = {"prepared": made, "table": table, "model": trained, "dataset": info}
     save_json(spark, summary, f"{trained}/summary")
     return summary | {"metrics": metrics}
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m gridloom.plans.workflow run.toml SOURCE FOLDER PIXELS [--mask MASK] [--seed N]``;
+    a seed given here comes before those of the configuration."""
+    args = argparse.ArgumentParser(description="Run a configuration.")
+    for name in ("config", "source", "folder", "pixels"):
+        args.add_argument(name)
+    args.add_argument("--mask")
+    args.add_argument("--seed", type=int)
+    a = args.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    config = load_toml(a.config)
+    if a.seed is not None:
+        for part in ("train", "explain"):
+            if part in config or part == "train":
+                config[part] = config.get(part, {}) | {"seed": a.seed}
+    read = lambda path: spark.read.parquet(path) if path else None
+    run(spark, config, a.source, a.folder, read(a.pixels), read(a.mask))["metrics"].show()
+
+
+if __name__ == "__main__":
+    main()

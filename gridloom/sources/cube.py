@@ -267,6 +267,13 @@ def check_grid(df: DataFrame) -> None:
         raise ValueError("a cell is there twice")
 
 
+def check_shape(df: DataFrame, n_pixels: int, n_time: int) -> None:
+    """Raises unless there is one cell for each pixel and step."""
+    got = df.agg(F.count_distinct("pixel_id"), F.count_distinct("time_idx"), F.count(F.lit(1))).first()
+    if tuple(got) != (n_pixels, n_time, n_pixels * n_time):
+        raise ValueError(f"{n_pixels} pixels of {n_time} steps are expected, not {got[0]}, {got[1]} and {got[2]} cells")
+
+
 def time_resolution(times: DataFrame) -> DataFrame:
     """One row ``resolution``: monthly or annual where all steps are 1 or 12 months."""
     from pyspark.sql import Window
@@ -296,5 +303,12 @@ def save_json(spark: SparkSession, value: object, path: str) -> None:
     spark.range(1).select(F.lit(json.dumps(value, default=str)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def variables_of(metadata: dict) -> dict:
+    """The entries of the variables: below ``variables``, or, as older files have it, at the top,
+    where an entry is what has a ``path``."""
+    found = metadata.get("variables", metadata)
+    return {k: v for k, v in found.items() if isinstance(v, dict) and (found is not metadata or "path" in v)}
+
+
 def load_json(spark: SparkSession, path: str) -> object:
     return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))

@@ -106,6 +106,15 @@ def test_a_lagged_scan_reads_no_more_years_than_it_needs(spark, tmp_path):
     assert "GreaterThanOrEqual(time_" in plan and "variable" in plan.split("PartitionFilters")[1][:80]
 
 
+def test_shapes_and_metadata_of_either_form(spark):
+    cube = long_cube(spark).where("variable = 'LAI'")
+    SC.check_shape(cube, 6, 24)
+    with pytest.raises(ValueError, match="expected"):
+        SC.check_shape(cube.where("time_idx > 0"), 6, 24)
+    entry = {"LAI": {"path": "a"}}
+    assert SC.variables_of({"variables": entry, "grid": {}}) == SC.variables_of(entry | {"grid": {"n": 1}, "step": 1}) == entry
+
+
 def test_products_are_read_back_and_undone(spark, tmp_path):
     cube = long_cube(spark).where("variable = 'LAI'").drop("variable")
     done = C.preprocess(cube, "value", value_type="anomaly", detrended=True)
@@ -131,6 +140,9 @@ def test_workflow_runs_once(spark, tmp_path):
     assert spark.read.csv(f"{made[0]['model']}/explained/importance", header=True).count() == 2
     table = made[0]["table"]
     workflow.load_training(spark, table, "test")
+    pixels.write.parquet(f"file://{tmp_path}/pixels")
+    workflow.main([str(tmp_path / "run.toml"), f"file://{tmp_path}/cube", f"file://{tmp_path}/cli", f"file://{tmp_path}/pixels", "--seed", "7"])
+    assert any("seed7" in p.name for p in (tmp_path / "cli").rglob("*") if p.is_dir())
     SC.save_json(spark, info | {"n_test": 1}, f"{table}/dataset_metadata")
     with pytest.raises(ValueError, match="should have"):
         workflow.load_training(spark, table, "test")
