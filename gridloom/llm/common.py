@@ -47,10 +47,10 @@ def settle(df: DataFrame) -> DataFrame:
     return settle_at(df)[0]
 
 
-def settle_at(df: DataFrame) -> tuple[DataFrame, str]:
+def settle_at(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """``settle`` with the folder, for ``discard``."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -118,10 +118,14 @@ def by_file(rows: DataFrame, *order: str) -> str:
 
 def rows_of_file(folder: str, file: int, schema: pa.Schema) -> pa.Table:
     """In a task: what ``by_file`` wrote for one file."""
+    return rows_of_folder(f"{folder}/file={file}", schema)
+
+
+def rows_of_folder(folder: str, schema: pa.Schema) -> pa.Table:
+    """In a task: the Parquet files of a folder, none if it is not there."""
     from pyarrow import dataset, fs
 
-    where, base = fs.FileSystem.from_uri(folder)
-    path = f"{base}/file={file}"
+    where, path = fs.FileSystem.from_uri(folder)
     if where.get_file_info(path).type == fs.FileType.NotFound:
         return schema.empty_table()
     return dataset.dataset(path, filesystem=where, format="parquet", schema=schema).to_table(use_threads=False)

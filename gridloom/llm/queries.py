@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, fingerprints, jaccard_join, mixing, quality_rules, sentencepiece_lattice, sql, suffix_dedup, toxicity, url_filter, warc
+from gridloom.llm import ball_kmeans, chat_format, decontaminate, fingerprints, importance_resampling, jaccard_join, mixing, quality_rules, sentencepiece_lattice, sql, suffix_dedup, toxicity, url_filter, warc
 from gridloom.llm.common import load, settle
 
 
@@ -96,6 +96,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance_resampling.importance(docs, load(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, load(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ball_kmeans.summary(*ball_kmeans.cluster(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
@@ -107,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +138,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": sql.CHAT_SQL,
     "op8_warc": sql.WARC_SQL,
     "op9_mixing": sql.MIX_SQL,
+    "op11_importance_resampling": sql.RESAMPLING_SQL,
+    "op12_decontaminate": sql.LEAKS_SQL,
+    "op13_ball_kmeans": sql.KMEANS_SQL,
 }

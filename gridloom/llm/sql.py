@@ -142,3 +142,102 @@ WITH u AS (
 SELECT page_id, j.host, path, b.rule AS rule, coalesce(b.verdict, CASE WHEN worse THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN v ON j.host = v.host
 """
+
+_NORMAL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: A step of CRC-32 over eight bits, by its polynomial; the table of all bytes comes of it.
+_BITS = "c"
+for _ in range(8):
+    _BITS = f"list_transform({_BITS}, lambda x: xor(x >> 1, (x & 1) * 3988292384))"
+
+RESAMPLING_SQL = rf"""
+WITH t AS (
+  SELECT {_BITS} AS step FROM (SELECT range(256) AS c)
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_NORMAL} AS w FROM documents
+), f AS (
+  SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d
+), g AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f
+  FROM (SELECT {_NORMAL} AS w FROM benchmark)
+), known AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM f UNION SELECT f FROM g)
+), b AS (
+  SELECT f, xor(4294967295, list_reduce(
+           list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+           lambda a, x: xor(step[(xor(a, x) & 255) + 1], a >> 8))) % 10000 AS bucket
+  FROM known, t
+), s AS (
+  SELECT bucket, count(*) AS s FROM f JOIN b USING (f) GROUP BY bucket
+), u AS (
+  SELECT bucket, count(*) AS t FROM g JOIN b USING (f) GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+                                      / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM u) + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN u USING (bucket)
+), per AS (
+  SELECT rid, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM f JOIN b USING (f) JOIN gain USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                           / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN per USING (rid)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place,
+         count(*) OVER (PARTITION BY n_words >= 20) AS n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
+LEAKS_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_NORMAL} AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, least(len(w), 10) AS n FROM (SELECT item_id, {_NORMAL} AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT n, item, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)
+), grams AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n)
+), found AS (
+  SELECT rid, i, n, item FROM grams JOIN windows USING (n, g)
+), hits AS (
+  SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM found) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def _assigned(centroids: str) -> str:
+    """Each vector's nearest centroid and the square of its distance."""
+    square = "CAST(list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS BIGINT)"
+    return f"""SELECT rid, vec_id, any_value(v) AS v, min(s).d AS distance, min(s).j AS j
+  FROM (SELECT p.rid, p.vec_id, p.v, {{'d': {square}, 'j': c.j}} AS s FROM p, {centroids} c) GROUP BY rid, vec_id"""
+
+
+def _moved(assigned: str, before: str) -> str:
+    return f"""SELECT b.j, coalesce(m.v, b.v) AS v FROM {before} b LEFT JOIN (
+    SELECT j, list(x ORDER BY i) AS v FROM (
+      SELECT j, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM (SELECT j, v, unnest(range(1, 65)) AS i FROM {assigned}) GROUP BY j, i) GROUP BY j
+  ) m ON m.j = b.j"""
+
+
+_ROUNDS = ", ".join(f"a{r} AS MATERIALIZED ({_assigned(f'c{r}')})" + (f", c{r + 1} AS MATERIALIZED ({_moved(f'a{r}', f'c{r}')})" if r < 3 else "") for r in range(4))
+
+KMEANS_SQL = rf"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS j, v FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM p ORDER BY h, v LIMIT 16)
+), {_ROUNDS}
+SELECT vec_id, a3.j AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a3.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON a3.j = c3.j
+"""
