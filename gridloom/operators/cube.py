@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import DAYS_PER_YEAR, is_finite
-from gridloom.sources.cube import load_json, save_json
+from gridloom.sources.cube import load_json, publish, read_bucketed, save_json, write_bucketed
 
 SUMMED = ("TP", "SSRD")
 EXCLUDING = ("bs", "ebf")
@@ -78,17 +78,28 @@ def annual_rule(variable: str) -> str:
 
 def annual(df: DataFrame, values: dict[str, str], full_years: bool = True) -> DataFrame:
     """Yearly ``mean`` or ``sum`` per pixel, dated January 1. The sum of a year without
-    values is 0. With ``full_years`` a year of other than 12 months, or of one value that
-    is the year's own, raises."""
+    values is 0. With ``full_years`` years raise unless all have 12 months, or all a single
+    one, whose values they keep."""
     if full_years:
-        odd = year_lengths(df).where("n_months NOT IN (1, 12)")
+        lengths = year_lengths(df)
+        most = F.max("n_months").over(Window.partitionBy())  # a row a year
+        odd = lengths.withColumn("most", most).where("n_months <> CASE WHEN most = 1 THEN 1 ELSE 12 END")
         if not odd.isEmpty():
             raise ValueError(f"incomplete years: {[r[0] for r in odd.orderBy('year').limit(10).collect()]}")
-    how = {"mean": F.avg, "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0))}
+    alone = (F.count(F.lit(1)) == 1) & F.lit(full_years)
+    how = {"mean": F.avg, "sum": lambda v: F.when(alone, F.max(v)).otherwise(F.coalesce(F.sum(v), F.lit(0.0)))}
     out = df.groupBy("pixel_id", F.year("time").alias("year")).agg(*[how[rule](v).alias(v) for v, rule in values.items()])
     return out.withColumn("time", F.make_date("year", F.lit(1), F.lit(1)))
 
 
+def annual_series(df: DataFrame, value: str, rule: str, origin: int, lag: int = 0) -> DataFrame:
+    """Yearly values numbered by the calendar, from ``origin`` on, so that variables of other
+    spans meet in the same years; a lag is of years and comes after the aggregation, so the first
+    ``lag`` years of the rows given have none."""
+    out = annual(df, {value: rule}).withColumn("time_idx", F.col("year") - F.lit(origin))
+    return shift(out, [value], lag) if lag else out
+
+
 def year_lengths(df: DataFrame) -> DataFrame:
     return df.select(F.year("time").alias("year"), F.month("time").alias("month")).distinct().groupBy("year").agg(F.count(F.lit(1)).alias("n_months"))
 
@@ -118,17 +129,24 @@ def lags(df: DataFrame, values: list[str], steps: list[int]) -> DataFrame:
 
 def write_lags(long: DataFrame, path: str, steps: list[int]) -> DataFrame:
     """Writes ``X_LAG_k`` of every variable of a long cube and every k, a partition each, and
-    reads them back; raises unless each has as many rows as its base."""
+    reads them back; raises unless each has as many rows as its base, and then leaves what was at
+    ``path`` as it is."""
     lagged = lags(long, ["value"], steps)
     names = [f"value_LAG_{k}" for k in steps]
     keys = [c for c in long.columns if c not in ("variable", "value")]
     tall = lagged.unpivot(["variable", *keys], names, "lag", "value")
     tall = tall.withColumn("variable", F.concat("variable", F.expr("substring(lag, 6)"))).drop("lag")
-    tall.write.mode("overwrite").partitionBy("variable").parquet(path)
-    written = long.sparkSession.read.parquet(path)
-    if written.count() != long.count() * len(steps):
-        raise ValueError(f"{path} lacks rows")
-    return written
+    spark = long.sparkSession
+    found = long.groupBy("variable").count()
+    want = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in steps]))).select(F.concat("variable", F.lit("_LAG_"), "k").alias("variable"), "count")
+
+    def check(at: str) -> None:
+        got = spark.read.parquet(at).groupBy("variable").count()
+        if odd := [r["variable"] for r in want.exceptAll(got).collect()]:
+            raise ValueError(f"{path} lacks rows of {sorted(odd)}")
+
+    publish(spark, path, lambda at: tall.write.partitionBy("variable").parquet(at), check)
+    return spark.read.parquet(path)
 
 
 def _season(resolution: str) -> list[Column]:
@@ -206,17 +224,28 @@ class Preprocessed:
         """What was done, in order; the inverse undoes it from the end."""
         return ["anomaly"] * (self.climatology is not None) + ["detrend"] * (self.slopes is not None)
 
-    def save(self, folder: str) -> None:
-        """Writes each table, and last which there are and what columns they have."""
+    def save(self, folder: str, buckets: list[str] | None = None) -> None:
+        """Writes each table, the data in ``buckets`` of these keys if given, and last which there
+        are, their columns, and how many rows, pixels and steps each has."""
+        spark = self.data.sparkSession
         kept = {n: df for n in ("data", "climatology", "slopes", "years") if (df := getattr(self, n)) is not None}
+        products = {}
         for name, df in kept.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        save_json(self.data.sparkSession, {"steps": self.steps, "products": {n: dict(df.dtypes) for n, df in kept.items()}}, f"{folder}/products")
+            if bucketed := bool(buckets) and name == "data":
+                write_bucketed(df, f"{folder}/{name}", buckets)
+            else:
+                df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            back = spark.read.parquet(f"{folder}/{name}/rows" if bucketed else f"{folder}/{name}")
+            axes = [c for c in ("pixel_id", "time_idx", "time", "month") if c in df.columns]
+            counts = back.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(c).alias(f"n_{c}") for c in axes]).first().asDict()
+            products[name] = {"columns": dict(df.dtypes), "shape": counts, "bucketed": bucketed}
+        save_json(spark, {"steps": self.steps, "products": products}, f"{folder}/products")
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> Preprocessed:
         products = load_json(spark, f"{folder}/products")["products"]
-        read = lambda n: spark.read.parquet(f"{folder}/{n}") if n in products else None
+        load = lambda n: read_bucketed(spark, f"{folder}/{n}") if products[n]["bucketed"] else spark.read.parquet(f"{folder}/{n}")
+        read = lambda n: load(n) if n in products else None
         return Preprocessed(*(read(n) for n in ("data", "climatology", "slopes", "years")))
 
 

@@ -1,7 +1,9 @@
-"""A run from its configuration: prepare variables, split, train, evaluate, explain.
+"""A run from its configuration: prepare variables, join them, split, train, evaluate, explain.
 
-Each stage writes its tables below the run's folder and, last of all, the configuration it
-was made from; a stage whose folder holds the same configuration is not done again.
+Each is a stage of ``stages.Stages``: it is made once for each state of what it reads, which its
+key says. A variable hangs on its own source files, the mask, box, years and preprocessing; the cube on
+its variables and the pixels; the split on cube and fractions; the model on the training table and
+its own options; metrics and explanation on the model.
 """
 
 from __future__ import annotations
@@ -15,40 +17,59 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import cube as C
 from gridloom.operators import evaluate, explain, model, split
-from gridloom.sources.config import load_toml, mark_run, model_run_name, processed_run_name, resolve_data, resolve_train, run_is_current, split_name
-from gridloom.sources.cube import KEYS, load_json, read_variable, save_json, time_resolution
+from gridloom.plans.stages import Stage, Stages
+from gridloom.sources.config import load_toml, model_run_name, processed_run_name, resolve_data, resolve_train, split_name
+from gridloom.sources.cube import KEYS, combined_mask, load_json, parse_variable, read_bucketed, read_variable, save_json, time_resolution, write_bucketed
+from gridloom.sources.fingerprint import files_fingerprint, table_fingerprint
 
+DATA = ("roi", "start_year", "end_year", "resolution", "value_type", "detrend")
 
-def prepare_variable(spark: SparkSession, data: dict, source: str, variable: str, folder: str, mask: DataFrame | None = None) -> dict:
+
+def first_year(spark: SparkSession, data: dict, source: str) -> int:
+    """The year that annual steps are counted from, one for all variables of a run."""
+    if data.get("start_year") is not None:
+        return data["start_year"]
+    return read_variable(spark, source, parse_variable(data["target"])[0]).agg(F.min(F.year("time"))).first()[0]
+
+
+def prepare_variable(spark: SparkSession, data: dict, source: str, variable: str, folder: str, mask: DataFrame | None = None, origin: int | None = None) -> dict:
     """One variable: read, made annual if asked for, masked, preprocessed and saved; returns
-    what was done to it. ``mask``: ``pixel_id, kept``."""
-    df = read_variable(spark, source, variable, data.get("roi"), data.get("start_year"), data.get("end_year"))
-    if data["resolution"] == "annual":
-        step = F.col("year") - F.min("year").over(C.Window.partitionBy())
-        df = C.annual(df, {"value": C.annual_rule(variable)}).withColumn("time_idx", step.cast("int"))
+    what was done to it. ``mask``: ``pixel_id, kept``; ``origin``: the year annual steps count from.
+    Monthly lags are of months; annual ones of years, after the aggregation."""
+    base, lag = parse_variable(variable)
+    yearly = data["resolution"] == "annual"
+    df = read_variable(spark, source, base if yearly else variable, data.get("roi"), data.get("start_year"), data.get("end_year"))
+    rule = C.annual_rule(variable) if yearly else None
+    if yearly:
+        df = C.annual_series(df, "value", rule, first_year(spark, data, source) if origin is None else origin, lag)
     if mask is not None:
         df = C.join_mask(df, mask, ["value"])
     done = C.preprocess(df.select(*KEYS, "time", "value"), "value", data["resolution"], data["value_type"], bool(data.get("detrend")))
-    done.save(f"{folder}/{variable}")
-    return {"variable": variable, "annual_rule": C.annual_rule(variable) if data["resolution"] == "annual" else None, "masked": mask is not None, "steps": done.steps}
+    done.save(folder, KEYS)
+    said = {"variable": variable, "annual_rule": rule, "lag_steps": lag, "lag_unit": ("years" if yearly else "months") if lag else None, "masked": mask is not None, "steps": done.steps}
+    save_json(spark, said, f"{folder}/summary")
+    return said
 
 
-def prepare(spark: SparkSession, data: dict, source: str, folder: str, mask: DataFrame | None = None) -> bool:
-    """All variables of the run; returns whether anything had to be done."""
-    config = data | {"source": source}
-    if run_is_current(spark, config, folder):
-        return False
-    done = [prepare_variable(spark, data, source, v, folder, mask) for v in [data["target"], *data["predictors"]]]
-    save_json(spark, {"variables": done}, f"{folder}/summary")
-    mark_run(spark, config, folder)
-    return True
+def prepare(stages: Stages, data: dict, source: str, mask: DataFrame | None = None) -> dict[str, Stage]:
+    """All variables of the run, each a stage."""
+    spark = stages.spark
+    options = {k: data.get(k) for k in DATA}
+    if data["resolution"] == "annual":
+        options["origin"] = first_year(spark, data, source)
+    masked = table_fingerprint(mask.select("pixel_id", "kept")) if mask is not None else None
+    out = {}
+    for v in [data["target"], *data["predictors"]]:
+        inputs = {"source": files_fingerprint(spark, source, parse_variable(v)[0]), "mask": masked}
+        out[v] = stages.make(f"prepared {v}", options | {"variable": v}, inputs, lambda path, v=v: prepare_variable(spark, data, source, v, path, mask, options.get("origin")), f"prepared/{v}")
+    return out
 
 
-def prepared_cube(spark: SparkSession, data: dict, folder: str, pixels: DataFrame) -> DataFrame:
-    """The prepared variables side by side, on the pixels' places."""
-    tables = [spark.read.parquet(f"{folder}/{v}/data").select(*KEYS, "time", F.col("value").alias(v)) for v in [data["target"], *data["predictors"]]]
-    wide = reduce(lambda a, b: a.join(b.drop("time"), KEYS), tables)
-    return wide.join(pixels.select("pixel_id", "lat_idx", "lon_idx"), "pixel_id")
+def prepared_cube(spark: SparkSession, variables: dict[str, str], pixels: DataFrame) -> DataFrame:
+    """The prepared variables side by side, on the pixels' places. ``variables``: their folders. They
+    are kept in buckets of their cells, so they are joined where they are."""
+    tables = [read_bucketed(spark, f"{path}/data").select(*KEYS, *(["time"] if i == 0 else []), F.col("value").alias(v)) for i, (v, path) in enumerate(variables.items())]
+    return reduce(lambda a, b: a.join(b, KEYS), tables).join(pixels.select("pixel_id", "lat_idx", "lon_idx"), "pixel_id")
 
 
 def save_training(table: DataFrame, cube: DataFrame, target: str, predictors: list[str], split_table: DataFrame, train: dict, folder: str) -> dict:
@@ -79,56 +100,88 @@ def load_training(spark: SparkSession, folder: str, part: str) -> DataFrame:
     return rows
 
 
-def build_split(spark: SparkSession, data: dict, train: dict, prepared: str, pixels: DataFrame, folder: str) -> dict:
-    config = train | {"data": {k: str(v) for k, v in data.items()}, "prepared": prepared}
-    if not run_is_current(spark, config, folder):
-        cube = prepared_cube(spark, data, prepared, pixels)
-        names = [data["target"], *data["predictors"]]
-        parts = split.SPLITS[train["split_mode"]](cube, names, train["train_fraction"], train["test_fraction"], train["seed"])
-        save_training(split.training_table(cube, data["target"], data["predictors"], parts), cube, data["target"], data["predictors"], parts, train, folder)
-        mark_run(spark, config, folder)
-    return load_json(spark, f"{folder}/dataset_metadata")
+def build_cube(stages: Stages, variables: dict[str, Stage], pixels: DataFrame) -> Stage:
+    places = pixels.select("pixel_id", "lat_idx", "lon_idx")
+    inputs = variables | {"pixels": table_fingerprint(places)}
+    return stages.make("cube", {"variables": list(variables)}, inputs, lambda path: write_bucketed(prepared_cube(stages.spark, {v: s.path for v, s in variables.items()}, places), path, KEYS))
+
+
+def build_split(stages: Stages, data: dict, train: dict, cube: Stage) -> Stage:
+    """The split's cells, in the cube's buckets, and the training table."""
+    spark, names = stages.spark, [data["target"], *data["predictors"]]
+    options = {k: train[k] for k in ("split_mode", "train_fraction", "test_fraction", "seed")} | {"target": data["target"], "predictors": data["predictors"]}
+
+    def build(path: str) -> None:
+        rows = read_bucketed(spark, cube.path)
+        parts = split.SPLITS[train["split_mode"]](rows, names, train["train_fraction"], train["test_fraction"], train["seed"])
+        write_bucketed(parts, f"{path}/split", [k for k in KEYS if k in parts.columns])
+        parts = read_bucketed(spark, f"{path}/split")
+        save_training(split.training_table(rows, data["target"], data["predictors"], parts), rows, data["target"], data["predictors"], parts, train, path)
+
+    return stages.make("split", options, {"cube": cube}, build, split_name(train))
+
+
+def train_final(stages: Stages, train: dict, table: Stage) -> Stage:
+    options = {k: train.get(k) for k in ("model", "scaler", "seed", "params")}
+
+    def build(path: str) -> None:
+        info = load_json(stages.spark, f"{table.path}/dataset_metadata")
+        fitted = model.train(load_training(stages.spark, table.path, "train"), info["feature_names"], train["model"], train["scaler"], train["seed"], **train.get("params", {}))
+        model.save_run(fitted, options | {"table": table.key}, path)
+
+    return stages.make("model", options, {"table": table}, build, model_run_name(train))
+
+
+def evaluated(stages: Stages, table: Stage, trained: Stage) -> Stage:
+    """``metrics`` by split and ``predictions`` of the test rows, as CSV."""
+
+    def build(path: str) -> None:
+        fitted = model.load_run(trained.path)
+        parts = [model.predict(fitted, load_training(stages.spark, table.path, s)) for s in ("train", "test")]
+        model.write_csv(parts[0].unionByName(parts[1]).groupBy("split").agg(*evaluate.metric_columns()), f"{path}/metrics", ["split"])
+        model.write_csv(parts[1].select(*KEYS, "y_true", "y_pred"), f"{path}/predictions", KEYS)
+
+    return stages.make("evaluated", {}, {"table": table, "model": trained}, build)
+
 
+def explained(stages: Stages, table: Stage, trained: Stage, how: dict) -> Stage:
+    def build(path: str) -> None:
+        info = load_json(stages.spark, f"{table.path}/dataset_metadata")
+        explain.run(load_training(stages.spark, table.path, "test"), model.load_run(trained.path), info["feature_names"], path, **how)
 
-def train_final(spark: SparkSession, train: dict, info: dict, table: str, folder: str) -> PipelineModel:
-    config = train | {"table": table}
-    if not run_is_current(spark, config, folder):
-        fitted = model.train(load_training(spark, table, "train"), info["feature_names"], train["model"], train["scaler"], train["seed"], **train.get("params", {}))
-        model.save_run(fitted, config, folder)
-        mark_run(spark, config, folder)
-    return model.load_run(folder)
+    return stages.make("explained", how, {"table": table, "model": trained}, build)
 
 
-def run(spark: SparkSession, config: dict | str, source: str, folder: str, pixels: DataFrame, mask: DataFrame | None = None) -> dict:
+def run(spark: SparkSession, config: dict | str, source: str, folder: str, pixels: DataFrame, mask: DataFrame | str | None = None) -> dict:
     """All stages of a configuration, given as a dict or a TOML file with sections ``data``,
-    ``train`` and, to have predictions explained, ``explain``. Returns the summary that it
-    writes, and the metrics as a table by split."""
+    ``train`` and, to have predictions explained, ``explain``. ``mask``: a table of ``pixel_id, kept``,
+    or the folder that has the masks that ``data`` names. Returns the summary that it writes, and
+    the metrics as a table by split."""
     config = load_toml(config) if isinstance(config, str) else config
     data, train = resolve_data(config["data"]), resolve_train(config.get("train", {}))
-    at = f"{folder}/{processed_run_name(data)}"
-    table, trained = f"{at}/{split_name(train)}", f"{at}/{model_run_name(train)}"
-    made = prepare(spark, data, source, f"{at}/prepared", mask)
-    info = build_split(spark, data, train, f"{at}/prepared", pixels, table)
-    fitted = train_final(spark, train, info, table, trained)
-    parts = [model.predict(fitted, load_training(spark, table, s)) for s in ("train", "test")]
-    metrics = parts[0].unionByName(parts[1]).groupBy("split").agg(*evaluate.metric_columns())
-    model.write_csv(metrics, f"{trained}/metrics", ["split"])
-    model.write_csv(parts[1].select("pixel_id", "time_idx", "y_true", "y_pred"), f"{trained}/predictions", KEYS)
+    if isinstance(mask, str):
+        mask = combined_mask(spark, mask, data["masks"])
+    stages = Stages(spark, f"{folder}/{processed_run_name(data)}")
+    table = build_split(stages, data, train, build_cube(stages, prepare(stages, data, source, mask), pixels))
+    trained = train_final(stages, train, table)
+    result = evaluated(stages, table, trained)
     if (how := dict(config.get("explain") or {})).pop("enabled", bool(how)):
         how.setdefault("seed", train["seed"])
-        explain.run(load_training(spark, table, "test"), fitted, info["feature_names"], f"{trained}/explained", **how)
-    summary = {"prepared": made, "table": table, "model": trained, "dataset": info}
-    save_json(spark, summary, f"{trained}/summary")
-    return summary | {"metrics": metrics}
+        explained(stages, table, trained, how)
+    summary = {"table": table.path, "model": trained.path, "dataset": load_json(spark, f"{table.path}/dataset_metadata"), "stages": {s.name: s.path for s in stages.log}}
+    save_json(spark, summary, f"{result.path}/summary")
+    metrics = spark.read.csv(f"{result.path}/metrics", header=True, schema="split string, n long, rmse double, mae double, r2 double")
+    return summary | {"redone": stages.redone, "metrics": metrics}
 
 
 def main(argv: list[str] | None = None) -> None:
-    """``python -m gridloom.plans.workflow run.toml SOURCE FOLDER PIXELS [--mask MASK] [--seed N]``;
-    a seed given here comes before those of the configuration."""
+    """``python -m gridloom.plans.workflow run.toml SOURCE FOLDER PIXELS [--mask MASK | --masks FOLDER]
+    [--seed N]``; a seed given here comes before those of the configuration."""
     args = argparse.ArgumentParser(description="Run a configuration.")
     for name in ("config", "source", "folder", "pixels"):
         args.add_argument(name)
     args.add_argument("--mask")
+    args.add_argument("--masks")
     args.add_argument("--seed", type=int)
     a = args.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -138,7 +191,7 @@ def main(argv: list[str] | None = None) -> None:
             if part in config or part == "train":
                 config[part] = config.get(part, {}) | {"seed": a.seed}
     read = lambda path: spark.read.parquet(path) if path else None
-    run(spark, config, a.source, a.folder, read(a.pixels), read(a.mask))["metrics"].show()
+    run(spark, config, a.source, a.folder, read(a.pixels), a.masks or read(a.mask))["metrics"].show()
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from pathlib import Path
 
@@ -76,7 +77,7 @@ def model_run_name(train: dict) -> str:
 def run_is_current(spark: SparkSession, config: dict, folder: str) -> bool:
     """Whether ``folder`` holds the finished result of this very configuration."""
     try:
-        return load_json(spark, f"{folder}/run_config") == _plain(config)
+        return load_json(spark, f"{folder}/run_config") == json.loads(json.dumps(_plain(config), default=str))
     except Exception as e:  # no such run; Spark names it in several classes
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return False
@@ -88,5 +89,7 @@ def mark_run(spark: SparkSession, config: dict, folder: str) -> None:
     save_json(spark, _plain(config), f"{folder}/run_config")
 
 
-def _plain(config: dict) -> dict:
-    return {k: vars(v) if isinstance(v, Roi) else v for k, v in config.items()}
+def _plain(config: object) -> object:
+    if isinstance(config, dict):
+        return {k: _plain(v) for k, v in config.items()}
+    return vars(config) if isinstance(config, Roi) else config

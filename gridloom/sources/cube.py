@@ -8,11 +8,15 @@ that a shift by rows is a shift in time; what is missing is NULL, not absent.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.functions.stats import null_if_nan
 
@@ -195,6 +199,20 @@ def available_masks(spark: SparkSession, folder: str, names: list[str]) -> dict[
     return out
 
 
+def combined_mask(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """``pixel_id, kept`` of the named masks of a folder together, a table for each with a column of
+    its name; a name that the folder does not have raises."""
+    from gridloom.operators.cube import MaskPart, with_mask
+
+    found = available_masks(spark, folder, names)
+    if unknown := [n for n in names if n not in found]:
+        raise ValueError(f"{folder} has no masks {unknown}")
+    if not names:
+        raise ValueError("no mask is named")
+    joined = reduce(lambda a, b: a.join(b, "pixel_id", "full"), [df.select("pixel_id", n) for n, df in found.items()])
+    return with_mask(joined, [MaskPart.named(n) for n in names]).select("pixel_id", "kept")
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
     """The Parquet files of a folder whose names fit; none raises."""
     try:
@@ -239,6 +257,57 @@ def write_cube(cube: DataFrame, path: str) -> None:
     cube.write.mode("overwrite").partitionBy("variable").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> None:
+    """Writes ``df`` in buckets of its keys, sorted in each, so that tables of as many buckets are
+    joined by them where they are."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"gridloom_{uuid.uuid4().hex}"
+    try:
+        df.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).option("path", f"{path}/rows").saveAsTable(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    save_json(spark, {"keys": keys, "buckets": n, "schema": json.loads(df.schema.json())}, f"{path}/buckets")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_bucketed`` wrote. Spark knows buckets by the catalogue only, so the table is
+    there while it is looked up, under a name of its own; where the catalogue takes no table the
+    rows are read without."""
+    info = load_json(spark, f"{path}/buckets")
+    schema, name = StructType.fromJson(info["schema"]), f"gridloom_{uuid.uuid4().hex}"
+    columns, keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), ", ".join(info["keys"])
+    try:
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {info['buckets']} BUCKETS LOCATION '{path}/rows'")
+        return spark.table(name)
+    except AnalysisException:
+        return spark.read.schema(schema).parquet(f"{path}/rows")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], object], check: Callable[[str], object]) -> None:
+    """Has ``write`` put a folder aside and ``check`` look at it, then gives it the name ``path``. What
+    was there stays until then, and for good where one of both raises."""
+    new, old = f"{path.rstrip('/')}__new", f"{path.rstrip('/')}__old"
+    at = {p: spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
+    fs = at[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at[new], True)
+    try:
+        write(new)
+        check(new)
+    except BaseException:
+        fs.delete(at[new], True)
+        raise
+    fs.delete(at[old], True)
+    if fs.exists(at[path]) and not fs.rename(at[path], at[old]):
+        raise OSError(f"{path} can not be put aside")
+    if not fs.rename(at[new], at[path]):
+        fs.rename(at[old], at[path])
+        raise OSError(f"{new} can not be renamed")
+    fs.delete(at[old], True)
+
+
 def spine(pixels: DataFrame, times: DataFrame) -> DataFrame:
     """All pixels at all steps between the first and the last of ``times``."""
     span = times.agg(F.min("time_idx").alias("__lo"), F.max("time_idx").alias("__hi"))

@@ -125,29 +125,6 @@ def test_products_are_read_back_and_undone(spark, tmp_path):
         assert (back[r.pixel_id, r.time_idx] is None) == (r.value is None) and (r.value is None or math.isclose(back[r.pixel_id, r.time_idx], r.value, abs_tol=1e-9))
 
 
-def test_workflow_runs_once(spark, tmp_path):
-    SC.write_cube(long_cube(spark), f"file://{tmp_path}/cube")
-    pixels = spark.createDataFrame([(i, i // 3, i % 3, i != 5) for i in range(6)], "pixel_id long, lat_idx int, lon_idx int, kept boolean")
-    (tmp_path / "run.toml").write_text(
-        '[data]\ntarget = "LAI"\npredictors = ["TP", "SM_LAG_1"]\nvalue_type = "anomaly"\ndetrend = true\n'
-        '[train]\nsplit_mode = "spatial_pixel"\ntest_fraction = 0.2\n[train.params]\nnumTrees = 3\nmaxDepth = 3\n[explain]\nmax_total = 20\n'
-    )
-    made = [workflow.run(spark, str(tmp_path / "run.toml"), f"file://{tmp_path}/cube", f"file://{tmp_path}/runs", pixels, pixels) for _ in range(2)]
-    assert [m["prepared"] for m in made] == [True, False] and made[0]["dataset"] == made[1]["dataset"]
-    info = made[0]["dataset"]
-    assert info["n_unique_train_pixels"] == 4 and info["n_unique_test_pixels"] == 1 and info["feature_names"] == ["TP", "SM_LAG_1"] and info["temporal_resolution_inferred"] == "monthly"
-    assert {r["split"]: r["n"] for r in made[1]["metrics"].collect()} == {"train": info["n_train"], "test": info["n_test"]}
-    assert spark.read.csv(f"{made[0]['model']}/explained/importance", header=True).count() == 2
-    table = made[0]["table"]
-    workflow.load_training(spark, table, "test")
-    pixels.write.parquet(f"file://{tmp_path}/pixels")
-    workflow.main([str(tmp_path / "run.toml"), f"file://{tmp_path}/cube", f"file://{tmp_path}/cli", f"file://{tmp_path}/pixels", "--seed", "7"])
-    assert any("seed7" in p.name for p in (tmp_path / "cli").rglob("*") if p.is_dir())
-    SC.save_json(spark, info | {"n_test": 1}, f"{table}/dataset_metadata")
-    with pytest.raises(ValueError, match="should have"):
-        workflow.load_training(spark, table, "test")
-
-
 def test_shapley_against_all_subsets(spark, tmp_path):
     rng = random.Random(6)
     rows = spark.createDataFrame([(a := rng.random(), b := rng.random(), c := rng.random(), a * 2 + b * c) for _ in range(300)], "a double, b double, c double, y double")
