@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.quantiles import quantile, quantiles
+from gridloom.functions.quantiles import quantile, quantiles, quantiles_of
 from gridloom.functions.stats import all_finite, bias, fit_intercept, fit_slope, mae, pair, r2, rmse, safe_corr
+from gridloom.sources.scratch import settled
 
 Y, P = "y_true", "y_pred"
 
@@ -52,7 +53,7 @@ def pixel_metrics_spatial(df: DataFrame, min_valid: int = 12) -> DataFrame:
 
 def metrics_summary(pixels: DataFrame) -> DataFrame:
     """How the pixels' metrics are distributed, one row."""
-    q = {c: quantiles(pixels, c, [0.05, 0.5, 0.95]).get(None, [None] * 3) for c in ("r2", "rmse", "mae")}
+    q = {c: found.get(None, [None] * 3) for c, found in quantiles_of(pixels, ["r2", "rmse", "mae"], [0.05, 0.5, 0.95]).items()}
     at = lambda c, i: F.lit(q[c][i]).cast("double")
     return pixels.agg(
         F.count(F.lit(1)).alias("n_pixels"), F.count("r2").alias("n_valid_r2"), F.count_if(F.col("r2").isNull()).alias("n_null_r2"),
@@ -118,27 +119,39 @@ def target_year(df: DataFrame, year: int | None) -> DataFrame:
 def value_stats(df: DataFrame, value: str) -> DataFrame:
     """What a histogram is marked with: count, mean, deviation and three quantiles of the
     finite values; NULL where there are none."""
-    p05, p50, p95 = quantiles(df, value, [0.05, 0.5, 0.95]).get(None, [None] * 3)
-    known = df.where(all_finite(value)).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    return known.withColumns({n: F.lit(v).cast("double") for n, v in (("median", p50), ("p05", p05), ("p95", p95))})
+    return stats_of(df, [value])[value]
+
+
+def stats_of(df: DataFrame, values: list[str]) -> dict[str, DataFrame]:
+    """The same of several columns, which are scanned together."""
+    found, out = quantiles_of(df, values, [0.05, 0.5, 0.95]), {}
+    for value in values:
+        p05, p50, p95 = found[value].get(None, [None] * 3)
+        known = df.where(all_finite(value)).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+        out[value] = known.withColumns({n: F.lit(v).cast("double") for n, v in (("median", p50), ("p05", p05), ("p95", p95))})
+    return out
 
 
 def spatial_bundle(df: DataFrame, pixels: DataFrame, base: str | None = None) -> dict[str, DataFrame]:
-    """All tables behind the maps and histograms of a spatial evaluation."""
-    per = pixel_metrics(df)
-    metrics = ("r2", "rmse", "mae")
+    """All tables behind the maps and histograms of a spatial evaluation. The predictions and the
+    pixels' metrics are written once to a scratch folder, and every table reads them there."""
+    df = settled(df.select("pixel_id", "lat_idx", "lon_idx", Y, P))
+    per = settled(pixel_metrics(df))
+    metrics = ["r2", "rmse", "mae"]
     return {
-        "metrics": fit_metrics(df), "pixels": per, "summary": metrics_summary(per), "density": density(df, Y, P, 5000, 5000), "error_bins": error_bins(df),
-        **{f"map_{m}": metric_map(pixels, per, m, base) for m in metrics}, **{f"hist_{m}": histogram(per, m) for m in metrics}, **{f"stats_{m}": value_stats(per, m) for m in metrics},
+        "metrics": fit_metrics(df), "pixels": per, "summary": metrics_summary(per), "density": density_hex(df, Y, P), "error_bins": error_bins(df),
+        **{f"map_{m}": metric_map(pixels, per, m, base) for m in metrics}, **{f"hist_{m}": histogram(per, m) for m in metrics}, **{f"stats_{m}": t for m, t in stats_of(per, metrics).items()},
     }
 
 
 def observation_bundle(df: DataFrame) -> dict[str, DataFrame]:
-    """All tables behind the plots of an evaluation by observation."""
+    """All tables behind the plots of an evaluation by observation, over predictions that are
+    written once to a scratch folder."""
+    df = settled(df.select("pixel_id", "lat_idx", "lon_idx", "time", Y, P))
     errors = with_errors(df)
     return {
         "metrics": fit_metrics(df), "by_time": observation_metrics_by_time(df), "pixels": pixel_observations(df), "error_bins": error_bins(df), "residual_bins": residual_bins(df),
-        "ape": ape_histogram(df), "hist_residual": histogram(errors, "residual"), "stats_residual": value_stats(errors, "residual"), "density": density(df, Y, P, 5000, 5000),
+        "ape": ape_histogram(df), "hist_residual": histogram(errors, "residual"), "stats_residual": value_stats(errors, "residual"), "density": density_hex(df, Y, P),
     }
 
 
@@ -164,8 +177,8 @@ def binned_summary(df: DataFrame, value: str, metric: str = "r2", bins: int = 8)
 
 
 def error_bins(df: DataFrame, bins: int = 12, least: float = 1e-6) -> DataFrame:
-    """Errors by quantile of the truth."""
-    known = df.where(F.col(Y) > least)
+    """Errors by quantile of the truth; infinite truths are left out."""
+    known = df.where((F.col(Y) > least) & all_finite(Y))
     edges = quantile_edges(known, Y, bins)
     ape = F.abs(F.col(P) - F.col(Y)) / F.col(Y) * 100
     return known.withColumn("bin", bin_of(Y, edges)).groupBy("bin").agg(_n(), F.avg(Y).alias("mean_true"), mae(Y, P).alias("mae"), F.avg(ape).alias("mape"))
@@ -193,12 +206,14 @@ def ape_histogram(df: DataFrame, bins: int = 20, top: float = 0.99, least: float
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
-    """Equal-width counts over the range of the finite values."""
+    """Equal-width counts over the range of the finite values; where that is a single value it
+    stands in the middle one of bins over half a unit to either side."""
     known = df.where(all_finite(value))
     lo, hi = known.agg(F.min(value), F.max(value)).first()
     if lo is None:
         return known.select(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
-    width = (hi - lo) / bins or 1.0
+    lo, hi = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    width = (hi - lo) / bins
     return known.groupBy(F.least(F.floor((F.col(value) - lo) / width).cast("int"), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -208,6 +223,30 @@ def density(df: DataFrame, x: str, y: str, width: float, height: float) -> DataF
     return boxes.agg(F.count(F.lit(1)).alias("n")).withColumn("log_n", F.log10("n"))
 
 
+def density_hex(df: DataFrame, x: str, y: str, columns: int = 60, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """``hx, hy, n, log_n``: counts over hexagons, ``columns`` of them side by side, over the range of the
+    finite values or ``bounds`` (x from and to, y from and to). The hexagons' centres are two lattices of boxes, the second
+    offset by half a box both ways, and a point goes to the nearer of the centres next to it,
+    where a step up counts for three times a step aside; a tie goes to the first lattice. ``hx`` and
+    ``hy`` are the centre's place in half boxes, so that those of the second lattice are odd."""
+    known = df.where(all_finite(x, y))
+    if bounds is None:
+        bounds = tuple(known.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first())
+    if bounds[0] is None:
+        return known.select(*(F.lit(0).alias(c) for c in ("hx", "hy")), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("log_n")).limit(0)
+    x0, x1, y0, y1 = bounds
+    rows = max(int(columns / 3**0.5), 1)
+    width, height = (x1 - x0) / columns or 1.0, (y1 - y0) / rows or 1.0
+    a, b = (F.col(x) - x0) / width, (F.col(y) - y0) / height
+    first = [F.floor(c + 0.5) for c in (a, b)]
+    second = [F.floor(c) for c in (a, b)]
+    near = lambda u, v: (a - u) * (a - u) + 3.0 * (b - v) * (b - v)
+    odd = near(*first) > near(second[0] + 0.5, second[1] + 0.5)
+    place = [F.when(odd, 2 * t + 1).otherwise(2 * s).cast("int") for s, t in zip(first, second, strict=True)]
+    hexagons = known.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1)).groupBy(place[0].alias("hx"), place[1].alias("hy"))
+    return hexagons.agg(F.count(F.lit(1)).alias("n")).withColumn("log_n", F.log10("n"))
+
+
 def label_codes(df: DataFrame, mask: DataFrame, labels: DataFrame, code: str = "code") -> DataFrame:
     """Adds the mask's code by pixel and its label; what has none is Unknown."""
     out = df.join(mask.select("pixel_id", code).dropDuplicates(["pixel_id"]), "pixel_id", "left").join(labels.select(code, "label"), code, "left")

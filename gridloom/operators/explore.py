@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.quantiles import quantiles
+from gridloom.functions.quantiles import quantiles_of
 from gridloom.functions.stats import is_finite, kurtosis, pair, safe_corr, safe_divide, skewness
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -80,8 +80,8 @@ def univariate(df: DataFrame, variables: list[str]) -> DataFrame:
 
     moments = df.agg(_each(variables, stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
     names = [f"p{round(p * 100):02d}" for p in QUANTILES]
-    found = quantiles(df.unpivot([], variables, "variable", "value"), "value", list(QUANTILES), "variable")
-    table = df.sparkSession.createDataFrame([(v, *q) for v, q in found.items()], f"variable string, {', '.join(f'{n} double' for n in names)}")
+    found = quantiles_of(df, variables, list(QUANTILES))
+    table = df.sparkSession.createDataFrame([(v, *q[None]) for v, q in found.items() if None in q], f"variable string, {', '.join(f'{n} double' for n in names)}")
     return moments.join(table, "variable", "left").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.quantiles import quantiles
+from gridloom.functions.quantiles import quantiles_of
 from gridloom.functions.stats import all_finite, safe_divide
 from gridloom.operators.evaluate import global_metrics
 from gridloom.sources.cube import save_json
@@ -81,8 +81,8 @@ def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minus the median, over the range of the middle half."""
-    found = quantiles(df.unpivot([], columns, "variable", "value"), "value", [0.25, 0.5, 0.75], "variable")
-    q = lambda c, i: F.lit(found[c][i] if c in found else None).cast("double")
+    found = quantiles_of(df, columns, [0.25, 0.5, 0.75])
+    q = lambda c, i: F.lit(found[c][None][i] if found[c] else None).cast("double")
     return df.withColumns({c: safe_divide(F.col(c) - q(c, 1), q(c, 2) - q(c, 0)) for c in columns})
 
 

@@ -5,24 +5,12 @@ defaults of 200 of depth 10, 5 rounds of boosting, 3 draws in 3 folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluate, explain, model, split
 from gridloom.sources.fixtures import PREDICTORS, VARIABLES, cube
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, where the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+from gridloom.sources.scratch import scratch
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,12 +259,17 @@ def write_cube(cube: DataFrame, path: str) -> None:
 
 def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> None:
     """Writes ``df`` in buckets of its keys, sorted in each, so that tables of as many buckets are
-    joined by them where they are."""
+    joined by them where they are. The catalogue has the table while it is written; one that
+    takes no table gets none, and the rows are in no buckets."""
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"gridloom_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, *keys)
     try:
-        df.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).option("path", f"{path}/rows").saveAsTable(name)
+        dealt.write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).option("path", f"{path}/rows").saveAsTable(name)
+    except AnalysisException:
+        n = 0
+        dealt.write.mode("overwrite").parquet(f"{path}/rows")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     save_json(spark, {"keys": keys, "buckets": n, "schema": json.loads(df.schema.json())}, f"{path}/buckets")
@@ -276,6 +281,8 @@ def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
     rows are read without."""
     info = load_json(spark, f"{path}/buckets")
     schema, name = StructType.fromJson(info["schema"]), f"gridloom_{uuid.uuid4().hex}"
+    if not info["buckets"]:
+        return spark.read.schema(schema).parquet(f"{path}/rows")
     columns, keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), ", ".join(info["keys"])
     try:
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {info['buckets']} BUCKETS LOCATION '{path}/rows'")
