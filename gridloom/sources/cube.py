@@ -257,8 +257,8 @@ def write_cube(cube: DataFrame, path: str) -> None:
     cube.write.mode("overwrite").partitionBy("variable").parquet(path)
 
 
-def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> None:
-    """Writes ``df`` in buckets of its keys, sorted in each, so that tables of as many buckets are
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None, in_order: bool = True) -> None:
+    """Writes ``df`` in buckets of its keys, sorted in each if ``in_order``, so that tables of as many buckets are
     joined by them where they are. The catalogue has the table while it is written; one that
     takes no table gets none, and the rows are in no buckets."""
     spark = df.sparkSession
@@ -266,13 +266,14 @@ def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | Non
     name = f"gridloom_{uuid.uuid4().hex}"
     dealt = df.repartition(n, *keys)
     try:
-        dealt.write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).option("path", f"{path}/rows").saveAsTable(name)
+        writer = dealt.write.mode("overwrite").bucketBy(n, *keys)
+        (writer.sortBy(*keys) if in_order else writer).option("path", f"{path}/rows").saveAsTable(name)
     except AnalysisException:
         n = 0
         dealt.write.mode("overwrite").parquet(f"{path}/rows")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    save_json(spark, {"keys": keys, "buckets": n, "schema": json.loads(df.schema.json())}, f"{path}/buckets")
+    save_json(spark, {"keys": keys, "buckets": n, "in_order": in_order, "schema": json.loads(df.schema.json())}, f"{path}/buckets")
 
 
 def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
@@ -284,8 +285,9 @@ def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
     if not info["buckets"]:
         return spark.read.schema(schema).parquet(f"{path}/rows")
     columns, keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), ", ".join(info["keys"])
+    order = f"SORTED BY ({keys}) " if info["in_order"] else ""
     try:
-        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {info['buckets']} BUCKETS LOCATION '{path}/rows'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) {order}INTO {info['buckets']} BUCKETS LOCATION '{path}/rows'")
         return spark.table(name)
     except AnalysisException:
         return spark.read.schema(schema).parquet(f"{path}/rows")
