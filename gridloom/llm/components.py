@@ -9,7 +9,8 @@ from gridloom.llm.common import discard, settle, settle_at
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, label`` of all nodes of ``a, b``: the least node of each component.
+    """``node, label`` of all nodes of ``a, b``: the least node of each component. More than
+    ``rounds`` rounds, which grow with the logarithm of a component's length, raise.
 
     Large-star and small-star steps in turn link each node's neighbours to the least of
     them, until only stars are left. The least is merged before the shuffle, written, and
@@ -35,6 +36,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components are not found after {rounds} rounds")
     roots = now.select(F.col("lo").alias("node")).distinct()
     out = settle(now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots.select("node", F.col("node").alias("label"))))
     discard(spark, at_now)

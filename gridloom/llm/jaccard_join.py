@@ -50,13 +50,14 @@ from gridloom.llm.shingles import WORDS, mix, shingle_sets
 
 THRESHOLD, RECALL = 0.8, 0.999
 BINS = 128
-NEAR = 0.6
 SMALL, BLOCK, DEPTH = 4096, 1024, 4
 ROWS, TOKENS = 2048, 1 << 20
 #: Sets in groups, of some 60 bytes each, that are broadcast; more are joined by a shuffle.
 MOST = 500_000
 #: of the likeness of two sketches, about the similarity of their sets
 SPREAD = 0.035
+#: So many deviations below the threshold a pair's sketches may be alike and still are looked at.
+DEVIATIONS = 5.66
 SETS = "doc_id long, digest long, node long, n int, sketch binary, buckets array<long>"
 
 
@@ -132,9 +133,17 @@ def _merge(labels: np.ndarray, i: int, near: np.ndarray) -> None:
         labels[np.isin(labels, met)] = met[0]
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(threshold: float) -> float:
+    """The deviation of the likeness of two sketches of sets of that similarity."""
+    return math.sqrt(threshold * (1 - threshold) / BINS)
+
+
+def _near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Links each member of a bucket's components by sketch to one of them."""
     a, b = [], []
+    limit = max(threshold - DEVIATIONS * _spread(threshold), 0.0)
+    # in whole numbers, and a little below, for thresholds like 0.8
+    ratio = round(threshold * 10_000) - 1
     for g in _groups(batches, ["bucket", "i", "j"]):
         if g.num_rows < 2:
             continue
@@ -146,7 +155,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = s[i + 1 :]
             same = ((rest == s[i]) & full[i]).sum(1)
             some = (full[i + 1 :] | full[i]).sum(1)
-            near = (same >= NEAR * some) & (np.minimum(n[i + 1 :], n[i]) >= 0.79 * np.maximum(n[i + 1 :], n[i]))
+            near = (same >= limit * some) & (np.minimum(n[i + 1 :], n[i]).astype(np.int64) * 10_000 >= ratio * np.maximum(n[i + 1 :], n[i]).astype(np.int64))
             if near.any():
                 _merge(labels, i, i + 1 + np.flatnonzero(near))
         other = labels != np.arange(len(node))
@@ -162,7 +171,7 @@ def _trees(threshold: float, missed: float) -> int:
     """So many trees that a pair of ``threshold``, and of sketches less alike by twice
     ``SPREAD``, comes apart in all of them before the last level with a chance of ``missed`` at
     most."""
-    return math.ceil(math.log(missed) / math.log1p(-((threshold - 2 * SPREAD) ** DEPTH)))
+    return math.ceil(math.log(missed) / math.log1p(-((threshold - 2 * max(SPREAD, _spread(threshold))) ** DEPTH)))
 
 
 def _children(s: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
@@ -178,8 +187,8 @@ def _split(rows: DataFrame, level: int, trees: int) -> DataFrame:
     bins. ``bucket`` is the one before; at the first level each set goes to all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for b in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
+        for whole in batches:
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
                 s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
                 seeds = [mix(np.full(len(s), t, np.uint64), 31) for t in range(trees)] if level == 0 else [b.column("bucket").to_numpy().view(np.uint64)]
                 for at in seeds:
@@ -217,7 +226,7 @@ def candidates(nodes: DataFrame, threshold: float, missed: float) -> DataFrame:
         sized = here.select("bucket", "size").distinct()
         found = _blocks(here.drop("size").join(about, "node"), "bucket", sized, F.ceil(F.col("size") / BLOCK))
         found = found.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = settle(found.mapInArrow(_near, "a long, b long").distinct())
+        found = settle(found.mapInArrow(lambda rows: _near(rows, threshold), "a long, b long").distinct())
         links = found if links is None else links.unionByName(found)
         large = live.where(F.col("size") > SMALL)
         if last or large.isEmpty():
@@ -286,7 +295,10 @@ def _verify(threshold: float, words: int):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """One row per document: ``doc_id, digest, node, class_id, n_links, first``."""
+    """One row per document: ``doc_id, digest, node, class_id, n_links, first``. A threshold is
+    at least 0.3: below, sketches of a pair are hardly more alike than those of others."""
+    if not 0.3 <= threshold <= 1:
+        raise ValueError("a threshold is from 0.3 to 1")
     spark = docs.sparkSession
     missed = (1 - recall) / 2
     runs = math.ceil(-math.log(missed))

@@ -44,6 +44,23 @@ def test_join_equals_brute_force(spark, rows, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_join_at_other_thresholds(spark, rows, monkeypatch, threshold):
+    draw = random.Random(12)
+    own = lambda k: " ".join(draw.choices(VOCABULARY, k=k))
+    more = []
+    for both in (30, 45, 60, 90, 130):  # shared words of pairs, from far below the thresholds to above
+        for _ in range(6):
+            shared = own(both)
+            more += [f"{shared} {own(20)}", f"{shared} {own(20)}"]
+    docs = [*rows, *((1000 + i, t) for i, t in enumerate(more))]
+    monkeypatch.setattr(jaccard_join, "SMALL", 6)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(frame(spark, docs), threshold).collect()}
+    assert got == brute.jaccard_classes(docs, threshold)
+    with pytest.raises(ValueError, match="threshold"):
+        jaccard_join.join(frame(spark, docs), 0.1)
+
+
 def test_join_finds_pairs_in_large_buckets(spark, monkeypatch):
     """Pairs of 0.8 that share nothing but a passage, which many others hold too."""
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
@@ -57,6 +74,13 @@ def test_join_finds_pairs_in_large_buckets(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [1, 1, *[0] * 8] * 150
 
 
+def test_a_split_sends_every_row_on(spark):
+    rows = spark.range(20_000, numPartitions=1).select(F.col("id").alias("bucket"), F.col("id").alias("node"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("s"))
+    rows = rows.select("bucket", "node", F.concat(*["s"] * 4).alias("sketch"))
+    for level, trees in ((0, 3), (1, 3)):
+        assert jaccard_join._split(rows, level, trees).count() == 20_000 * (trees if level == 0 else 1)
+
+
 @pytest.mark.parametrize("n", [9, 45, 450])
 def test_pairs_meet_in_a_tree_at_every_depth(n):
     """2,000 pairs of sets of similarity 0.8, with only their tree buckets to meet in."""
@@ -92,6 +116,8 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(1000, 1001), (7, 7)], "a long, b long"))
     got = {r.node: r.label for r in components.components(edges).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[1001] == 1000
+    with pytest.raises(RuntimeError, match="not found"):
+        components.components(edges, rounds=2)
 
 
 @pytest.mark.parametrize("many", [suffix_dedup.MANY, 2])
