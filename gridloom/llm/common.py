@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +11,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import discard as discard
+from gridloom.sources.scratch import scratch
+
 #: A word is a run of characters other than ASCII white space.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a file whose share a task holds at once.
 GROUP = 4_096
+#: Bytes of a row group of what tasks look up by file.
+ROW_GROUP = 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,18 +29,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
-    the executors are threads of this process, as in tests, a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    """A new folder below the application's, which driver and executors share."""
+    return scratch(spark)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -54,14 +46,6 @@ def settle_at(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, st
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that ``shared_dir`` has named, once what it held is written on."""
-    if "/gridloom-" not in path:
-        raise ValueError(f"not a folder of this package: {path}")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -108,27 +92,34 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def by_file(rows: DataFrame, *order: str) -> str:
-    """Writes ``rows`` to a folder per ``file``, so that a task that reads documents in
-    place finds what concerns them without a shuffle of their texts; returns the folder."""
+    """Writes ``rows`` so that a task that reads documents in place finds what concerns a
+    ``file`` without a shuffle of their texts; returns the folder. There are as many parts as
+    shuffle partitions, a file's number says which is its, and parts are sorted by file, so
+    that a reader takes the row groups that have it by their statistics."""
     spark = rows.sparkSession
-    folder = shared_dir(spark)
-    rows.repartition(partitions(spark), "file").sortWithinPartitions("file", *order).write.partitionBy("file").parquet(folder)
+    n = partitions(spark)
+    folder = f"{shared_dir(spark)}/of-{n}"
+    part = F.pmod(F.col("file"), F.lit(n)).cast("int")
+    dealt = rows.withColumn("part", part).repartition(n, "part").sortWithinPartitions("part", "file", *order)
+    dealt.write.option("parquet.block.size", ROW_GROUP).partitionBy("part").parquet(folder)
     return folder
 
 
 def rows_of_file(folder: str, file: int, schema: pa.Schema) -> pa.Table:
     """In a task: what ``by_file`` wrote for one file."""
-    return rows_of_folder(f"{folder}/file={file}", schema)
+    n = int(folder.rpartition("/of-")[2])
+    own = pa.schema([*schema, ("file", pa.int64())])
+    return rows_of_folder(f"{folder}/part={file % n}", own, pc.field("file") == file).select(schema.names)
 
 
-def rows_of_folder(folder: str, schema: pa.Schema) -> pa.Table:
-    """In a task: the Parquet files of a folder, none if it is not there."""
+def rows_of_folder(folder: str, schema: pa.Schema, where: pc.Expression | None = None) -> pa.Table:
+    """In a task: the rows of a folder's Parquet files, none if it is not there."""
     from pyarrow import dataset, fs
 
-    where, path = fs.FileSystem.from_uri(folder)
-    if where.get_file_info(path).type == fs.FileType.NotFound:
+    store, path = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
         return schema.empty_table()
-    return dataset.dataset(path, filesystem=where, format="parquet", schema=schema).to_table(use_threads=False)
+    return dataset.dataset(path, filesystem=store, format="parquet", schema=schema).to_table(filter=where, use_threads=False)
 
 
 def same_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:

@@ -30,7 +30,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, text_or_empty
+from gridloom.llm.common import partitions, pieces, text_or_empty
 
 LEAST, LENGTH, RUN = 3, 64, 7
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -135,7 +135,7 @@ def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for part, extra, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held is not None and held[0] != part:

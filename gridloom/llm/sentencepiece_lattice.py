@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_file, discard, from_files, partitions, pieces, rows_of_file, same_file, shared_dir, text_bytes
+from gridloom.llm.common import by_file, discard, from_files, pieces, rows_of_file, same_file, shared_dir, text_bytes
+from gridloom.sources.cube import read_bucketed, write_bucketed
 
 MARK = "▁"
 LONG = 60
@@ -237,16 +237,14 @@ def segment(word: str, model: Model, rank: dict[str, int]) -> list[int]:
 
 def dictionaries(docs: DataFrame, model: Model, text: str = "text") -> str:
     """Writes the words of each group of rows with the bounds of their pieces; returns the
-    folder."""
+    folder. The catalogue has the words' table only while it is written and looked up."""
     spark = docs.sparkSession
-    n, name, place = partitions(spark), f"gridloom_words_{uuid.uuid4().hex}", shared_dir(spark)
-    pairs = words(docs, model, text).repartition(n, "word")
-    pairs.write.bucketBy(n, "word").option("path", place).saveAsTable(name)
-    known = spark.table(name)
+    place = shared_dir(spark)
+    write_bucketed(words(docs, model, text), place, ["word"], in_order=False)
+    known = read_bucketed(spark, place)
     grouped = lattice(known.select("word").distinct(), model)
     bounds = fold_viterbi(grouped, model) if model.unigram else fold_merges(grouped)
     folder = by_file(known.join(bounds.hint("shuffle_hash"), "word").select("file", "word", "bounds"))
-    spark.sql(f"DROP TABLE {name}")
     discard(spark, place)
     return folder
 
