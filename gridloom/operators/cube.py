@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.slopes import median_slopes
 from gridloom.functions.stats import DAYS_PER_YEAR, is_finite
 from gridloom.sources.cube import load_json, publish, read_bucketed, save_json, write_bucketed
 
@@ -177,19 +178,12 @@ def centred_years(df: DataFrame) -> DataFrame:
 
 def theil_sen(df: DataFrame, value: str) -> DataFrame:
     """``pixel_id, slope``: the median slope over all pairs of steps, per year; 0 for
-    fewer than two values. A pixel's series is one array, and its pairs never are rows."""
+    fewer than two values. A pixel's series is one array, and its pairs never are rows; of long
+    series they are only counted (``functions.slopes``)."""
     day = F.unix_date("time") / F.lit(DAYS_PER_YEAR)
     point = F.when(is_finite(value), F.struct(day.alias("x"), F.col(value).cast("double").alias("y")))
     series = df.groupBy("pixel_id").agg(F.sort_array(F.collect_list(point)).alias("s"))
-
-    def slopes(p: Column, i: Column) -> Column:
-        rest = F.slice(F.col("s"), i + 2, F.size("s"))
-        return F.transform(F.filter(rest, lambda q: q["x"] > p["x"]), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"]))
-
-    out = series.withColumn("m", F.sort_array(F.flatten(F.transform("s", slopes))))
-    n = F.size("m")
-    middle = (F.get("m", F.floor((n - 1) / 2).cast("int")) + F.get("m", F.floor(n / 2).cast("int"))) / 2
-    return out.select("pixel_id", F.when(n == 0, 0.0).otherwise(middle).alias("slope"))
+    return median_slopes(series)
 
 
 def detrend(df: DataFrame, value: str, slopes: DataFrame, years: DataFrame) -> DataFrame:
@@ -290,6 +284,25 @@ def nearest_cells(points: DataFrame, step: float, n_lat: int, n_lon: int) -> Dat
     return points.withColumns({"lat_idx": F.when(inside, lat), "lon_idx": F.when(inside, lon)}).withColumn("pixel_id", F.col("lat_idx") * n_lon + F.col("lon_idx"))
 
 
+def resample_nearest(points: DataFrame, value: str, grid: DataFrame, step: float, fill: float | None = None) -> DataFrame:
+    """``grid`` (``lat_idx, lon_idx, latitude, longitude`` of cell centres ``step`` apart) with the ``value`` of the
+    nearest of ``points`` (``latitude, longitude`` and the value): of those in the cell, on its edge or in the eight
+    cells around it, by distance in degrees, then from the south, the west, and the least value;
+    ``fill`` where there are none. A point goes to the cells around it, so the grid is
+    joined once and no pair of far ones is made."""
+    lat0, lon0 = (F.min(F.col(c) - F.lit(step) * F.col(i)) for c, i in (("latitude", "lat_idx"), ("longitude", "lon_idx")))
+    origin = grid.agg(lat0.alias("__lat0"), lon0.alias("__lon0"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    known = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col(value).isNotNull())
+    dealt = known.crossJoin(F.broadcast(origin)).withColumn("__near", around)  # one row
+    cell = [F.floor((F.col(c) - F.col(o)) / step + 0.5).cast("int") + F.col(f"__near.{k}") for c, o, k in (("latitude", "__lat0", "i"), ("longitude", "__lon0", "j"))]
+    centre = [F.col(o) + F.lit(step) * c for o, c in zip(("__lat0", "__lon0"), cell, strict=True)]
+    far = F.pow(F.col("latitude") - centre[0], F.lit(2)) + F.pow(F.col("longitude") - centre[1], F.lit(2))
+    found = dealt.groupBy(cell[0].alias("lat_idx"), cell[1].alias("lon_idx")).agg(F.min(F.struct(F.round(far, 9).alias("d"), "latitude", "longitude", F.col(value).alias("v"))).alias("__s"))
+    out = grid.join(found, ["lat_idx", "lon_idx"], "left")
+    return out.withColumn(value, F.coalesce(F.col("__s.v"), F.lit(fill)) if fill is not None else F.col("__s.v")).drop("__s")
+
+
 def stride(df: DataFrame, n: int) -> DataFrame:
     """Every n-th cell of both axes, for a preview."""
     return df.where((F.col("lat_idx") % n == 0) & (F.col("lon_idx") % n == 0))

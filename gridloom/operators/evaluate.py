@@ -239,7 +239,7 @@ def density_hex(df: DataFrame, x: str, y: str, columns: int = 60, bounds: tuple[
     width, height = (x1 - x0) / columns or 1.0, (y1 - y0) / rows or 1.0
     a, b = (F.col(x) - x0) / width, (F.col(y) - y0) / height
     first = [F.floor(c + 0.5) for c in (a, b)]
-    second = [F.floor(c) for c in (a, b)]
+    second = [F.least(F.floor(c), F.lit(n - 1)) for c, n in ((a, columns), (b, rows))]
     near = lambda u, v: (a - u) * (a - u) + 3.0 * (b - v) * (b - v)
     odd = near(*first) > near(second[0] + 0.5, second[1] + 0.5)
     place = [F.when(odd, 2 * t + 1).otherwise(2 * s).cast("int") for s, t in zip(first, second, strict=True)]

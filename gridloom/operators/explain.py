@@ -15,7 +15,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.split import head_sample, stratified_sample
@@ -63,22 +63,32 @@ def leaves(model: PipelineModel, folder: str) -> list[Leaf]:
 
 
 def shapley(x: np.ndarray, forest: list[Leaf]) -> np.ndarray:
-    """One value per row and feature."""
+    """One value per row and feature, in a leaf's depth squared.
+
+    A leaf's tests make a polynomial, the product over its features of share + inside * t,
+    whose coefficients weigh the sets of known features by their number. It is extended feature by
+    feature once, and each feature is unwound from it by a division: where the row is inside,
+    from the highest coefficient down, all features at once; elsewhere by the share."""
     out = np.zeros(x.shape)
     for leaf in forest:
         d = len(leaf.features)
         if not d:
             continue
-        inside = ((x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)).astype(float)
+        inside = ((x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)).T.astype(float)
+        share = leaf.share[:, None]
+        e = np.zeros((d + 1, len(x)))
+        e[0] = 1
+        for k in range(d):
+            e[1 : k + 2] = e[1 : k + 2] * share[k] + e[: k + 1] * inside[k]
+            e[0] *= share[k]
         weight = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
-        for i, j in enumerate(leaf.features):
-            # sums over the sets of s other features that are known, by their number
-            e = np.zeros((d, len(x)))
-            e[0] = 1
-            for m, k in enumerate(k for k in range(d) if k != i):
-                e[1 : m + 2] = e[1 : m + 2] * leaf.share[k] + e[: m + 1] * inside[:, k]
-                e[0] *= leaf.share[k]
-            out[:, j] += leaf.value * (inside[:, i] - leaf.share[i]) * (np.array(weight) @ e)
+        left = np.broadcast_to(e[d], inside.shape)
+        known = weight[d - 1] * left
+        for s in range(d - 1, 0, -1):
+            left = e[s] - share * left
+            known = known + weight[s - 1] * left
+        outside = (np.array(weight) @ e[:d])[None, :] / share
+        np.add.at(out.T, leaf.features, leaf.value * (inside - share) * np.where(inside > 0, known, outside))
     return out
 
 
@@ -100,6 +110,17 @@ def explain(rows: DataFrame, predictors: list[str], forest: list[Leaf]) -> DataF
     return rows.drop(*added).mapInPandas(run, schema)
 
 
+def worst_row(explained: DataFrame, predictors: list[str], error: str = "abs_error", keys: tuple[str, ...] = ("pixel_id", "time_idx")) -> DataFrame:
+    """``keys..., feature, value, shap, rank`` of the row of largest error: its features by what they
+    moved the prediction, most first. An error that is no number counts least; where errors
+    are equal, the first by ``keys``."""
+    e = F.col(error).try_cast("double")
+    worst = explained.orderBy(F.coalesce(F.when(~F.isnan(e), e), F.lit(float("-inf"))).desc(), *keys).limit(1)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("feature"), F.col(p).cast("double").alias("value"), F.col(f"shap_{p}").alias("shap")) for p in predictors]))
+    rows = worst.select(*keys, each.alias("s")).select(*keys, "s.*")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap")), "feature")))
+
+
 def importance(explained: DataFrame, predictors: list[str], by: str | None = None, least: int = 1) -> DataFrame:
     """Mean absolute value per feature, over all rows or per group of enough rows."""
     means = F.array(*[F.struct(F.lit(p).alias("feature"), F.avg(F.abs(f"shap_{p}")).alias("mean_abs_shap")) for p in predictors])

@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 from gridloom.functions.quantiles import quantiles_of
 from gridloom.functions.stats import all_finite, safe_divide
 from gridloom.operators.evaluate import global_metrics
+from gridloom.operators.perceptron import Perceptron
 from gridloom.sources.cube import save_json
 
 MODELS = {
     "rf": (RandomForestRegressor, {"numTrees": 200, "featureSubsetStrategy": "sqrt", "maxDepth": 10}),
     "hgb": (GBTRegressor, {"maxIter": 200, "stepSize": 0.1, "minInstancesPerNode": 20}),
+    "mlp": (Perceptron, {"layers": [128, 64]}),
 }
 
 
 def build_model(name: str, seed: int = 42, **params):
-    """A regressor by name, with its defaults overridden. ``rf`` is a random forest and
-    ``hgb`` boosted trees over binned features; Spark has no perceptron for regression."""
+    """A regressor by name, with its defaults overridden. ``rf`` is a random forest,
+    ``hgb`` boosted trees over binned features, ``mlp`` a perceptron."""
     if name not in MODELS:
         raise ValueError(f"unknown model {name}; there are {', '.join(MODELS)}")
     cls, defaults = MODELS[name]

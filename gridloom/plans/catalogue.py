@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import text as TX
 from gridloom.functions.stats import bit_is_set
 from gridloom.operators import cube as C
 from gridloom.operators import evaluate as E
@@ -18,7 +19,9 @@ from gridloom.plans import learning
 from gridloom.plans import workflow as W
 from gridloom.plans.oracle import SQL
 from gridloom.sources import cube as SC
-from gridloom.sources.config import mark_run, model_run_name, processed_run_name, resolve_data, resolve_train, run_is_current, split_name
+from gridloom.sources import npy
+from gridloom.plans.stages import Stages
+from gridloom.sources.config import model_run_name, processed_run_name, resolve_data, resolve_train, split_name
 from gridloom.sources.fixtures import PREDICTORS, VARIABLES, pixels, predictions, table
 from gridloom.sources.fixtures import cube as fixture
 
@@ -334,13 +337,12 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     n = table(spark, sf_dir, "nation").withColumn("given", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(F.concat(F.col("n_nationkey"), F.lit(".5"))))
     dates = F.concat(F.lit("2001-0"), F.col("n_nationkey") % 10, F.lit("-10"))
-    return n.select("n_nationkey", F.col("given").try_cast("double").alias("number"), dates.try_cast("date").alias("day"))
+    return n.select("n_nationkey", TX.to_number("given").alias("number"), TX.to_day(dates).alias("day"))
 
 
 @query("slug_names")
 def _(spark, sf_dir):
-    slug = F.trim(F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "_"), F.lit("_"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(slug == "", "figure").otherwise(slug).alias("slug"))
+    return table(spark, sf_dir, "part").select("p_partkey", TX.slug("p_type").alias("slug"))
 
 
 @query("classification_metrics")
@@ -374,6 +376,27 @@ def _(spark, sf_dir):
     return reduce(DataFrame.unionByName, [found[f"stats_{m}"].withColumn("metric", F.lit(m)) for m in ("r2", "rmse", "mae")])
 
 
+@query("spatial_bundle_frames")
+def _(spark, sf_dir):
+    return _frames(E.spatial_bundle(predictions(spark, sf_dir), pixels(spark, sf_dir), "keep"))
+
+
+@query("observation_bundle_frames")
+def _(spark, sf_dir):
+    return _frames(E.observation_bundle(predictions(spark, sf_dir)))
+
+
+def _frames(found: dict[str, DataFrame]) -> DataFrame:
+    """Of every table of a bundle the rows, and over its columns of counts and numbers (all but places
+    and bins) the sums."""
+    parts = []
+    for name, df in found.items():
+        numbers = [c for c, t in df.dtypes if t in ("double", "bigint", "int") and c not in ("pixel_id", "lat_idx", "lon_idx", "bin", "hx", "hy")]
+        total = reduce(lambda a, b: a + b, [F.coalesce(F.sum(F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))), F.lit(0.0)) for c in numbers])
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.bround(F.log(F.abs(total) + 1), 6).alias("log_sum")).withColumn("frame", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("observation_bundle")
 def _(spark, sf_dir):
     return E.observation_bundle(predictions(spark, sf_dir))["stats_residual"]
@@ -403,7 +426,8 @@ def _(spark, sf_dir):
 
 @query("grid_pixels")
 def _(spark, sf_dir):
-    grid = SC.Grid(-89.75, -179.75, 0.5, 36, 72, "1982-01-01", 1)
+    last = pixels(spark, sf_dir).agg(F.max("pixel_id")).first()[0] or 0
+    grid = SC.Grid(-89.75, -179.75, 0.5, last // 72 + 1, 72, "1982-01-01", 1)  # as many rows as the pixels need
     return grid.pixels(spark).join(pixels(spark, sf_dir).select(F.col("pixel_id").cast("int").alias("pixel_id")), "pixel_id")
 
 
@@ -441,8 +465,8 @@ def _(spark, sf_dir):
 
 @query("json_fields")
 def _(spark, sf_dir):
-    parsed = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-    return parsed.withColumn("again", F.to_json(F.struct("k")))
+    parsed = table(spark, sf_dir, "events").select("event_id", TX.json_field("props", "k", "long").alias("k"))
+    return parsed.withColumn("again", TX.json_object("k"))
 
 
 @query("saved_model_predictions")
@@ -454,21 +478,70 @@ def _(spark, sf_dir):
     return a.join(b, ["pixel_id", "time_idx"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_different"))
 
 
+@query("annual_lagged")
+def _(spark, sf_dir):
+    path = _kept(spark, sf_dir, {"target": "LAI", "qty": "TP"})
+    years = SC.read_variable(spark, path, "TP", start_year=1995, end_year=2000)
+    return C.annual_series(years, "value", C.annual_rule("TP_LAG_2"), 1995, 2).select("pixel_id", "time_idx", "time", "value")
+
+
+@query("annual_aligned")
+def _(spark, sf_dir):
+    path = learning.scratch(spark)
+    SC.write_cube(_long(spark, sf_dir, {"target": "LAI", "qty": "TP", "disc": "SM"}).where("variable <> 'TP' OR year(time) >= 1996"), path)
+    data = resolve_data({"target": "LAI", "predictors": ["TP", "SM_LAG_1"], "resolution": "annual", "start_year": 1995, "end_year": 2000})
+    made = W.prepare(Stages(spark, learning.scratch(spark)), data, path)
+    return W.prepared_cube(spark, {v: s.path for v, s in made.items()}, pixels(spark, sf_dir)).select("pixel_id", "time_idx", "time", "LAI", "TP", (F.col("SM_LAG_1") * 1000).alias("SM_LAG_1"))
+
+
 @query("run_cache")
 def _(spark, sf_dir):
-    config, path = {"target": "LAI", "roi": SC.Roi(-10, 10, -20, 20)}, learning.scratch(spark)
-    mark_run(spark, config, path)
-    cases = [("same", config, path), ("other", config | {"target": "TP"}, path), ("none", config, f"{path}-none")]
-    return spark.createDataFrame([(name, run_is_current(spark, c, at)) for name, c, at in cases], "scenario string, current boolean")
+    """Which stages are redone when one input has changed, and how many rows the table then has."""
+    path, folder, p = learning.scratch(spark), learning.scratch(spark), pixels(spark, sf_dir)
+    SC.write_cube(_long(spark, sf_dir, {"target": "LAI", "qty": "TP", "disc": "SM"}), path)
+    train = resolve_train({"test_fraction": 0.25})
+    kept = C.with_mask(p, [C.MaskPart("keep")])
+
+    def go(name: str, mask: DataFrame = kept, places: DataFrame = p, predictors: tuple[str, ...] = ("TP", "SM"), **years) -> tuple[str, str, int]:
+        data, stages = resolve_data({"target": "LAI", "predictors": list(predictors), **years}), Stages(spark, folder)
+        made = W.build_split(stages, data, train, W.build_cube(stages, W.prepare(stages, data, path, mask), places))
+        info = SC.load_json(spark, f"{made.path}/dataset_metadata")
+        return name, ",".join(stages.redone), info["n_train"] + info["n_test"]
+
+    rows = [go("first"), go("same"), go("mask", C.with_mask(p, [C.MaskPart("code", (0, 1, 2))])), go("pixels", places=p.withColumn("lon_idx", F.col("lon_idx") + 1)), go("years", start_year=1996, end_year=1998), go("predictors", predictors=("TP",))]
+    fewer = _long(spark, sf_dir, {"disc": "SM"}).where("time_idx % 2 = 0").drop("variable")
+    fewer.write.mode("overwrite").parquet(f"{path}/variable=SM")
+    return spark.createDataFrame([*rows, go("source")], "scenario string, redone string, n_rows long")
 
 
 @query("config_names")
 def _(spark, sf_dir):
-    data = resolve_data({"target": " lai", "predictors": ["tp", "LAI", "TP"], "masks": "Climate", "value_type": "Anomaly", "detrend": True})
-    train = resolve_train({"train_fraction": 0.125})
-    return spark.createDataFrame([(",".join(data["predictors"]), processed_run_name(data), split_name(train), model_run_name(train))], "predictors string, processed string, split string, model string")
+    def names(k: int, n: str) -> tuple[int, str, str, str, str]:
+        data = resolve_data({"target": f" {n.lower()}", "predictors": ["tp", n, "TP"], "masks": "Climate" if k % 2 else [], "value_type": "Anomaly" if k % 3 == 0 else "real", "detrend": k % 5 == 0})
+        train = resolve_train({"train_fraction": (k + 1) / 32})
+        return k, ",".join(data["predictors"]), processed_run_name(data), split_name(train), model_run_name(train)
+
+    known = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # a configuration each
+    return spark.createDataFrame([names(*r) for r in known], "n_nationkey long, predictors string, processed string, split string, model string")
+
+
+@query("resampled_nearest")
+def _(spark, sf_dir):
+    grid = SC.Grid(-85.0, -175.0, 10.0, 18, 36, "1982-01-01", 1).pixels(spark)
+    at = lambda c, m, n: (F.col(c) * m) % n
+    points = table(spark, sf_dir, "customer").select((at("c_custkey", 37, 1801) / 10 - 90).alias("latitude"), (at("c_custkey", 101, 3607) / 10 - 180).alias("longitude"), F.col("c_acctbal").alias("v"))
+    return C.resample_nearest(points, "v", grid, 10.0, 0.0).select("lat_idx", "lon_idx", "v")
+
+
+@query("array_scan")
+def _(spark, sf_dir):
+    c, path = fixture(spark, sf_dir), learning.scratch(spark)
+    n_lat, n_lon = (r + 1 for r in pixels(spark, sf_dir).agg(F.max("lat_idx"), F.max("lon_idx")).first())
+    npy.write_npy(c, "qty", path, n_lat, n_lon, dtype="float64")
+    return npy.read_npy(spark, path, n_lat, n_lon).where("time_idx BETWEEN 12 AND 35 AND value IS NOT NULL").select("time_idx", "lat_idx", "lon_idx", "value")
 
 
+over_predictions("density_hex")(lambda p: E.density_hex(p, "y_true", "y_pred", 30))
 over_predictions("target_year", ["order_id", "line", "pixel_id"])(lambda p: E.target_year(p, 1997))
 over_predictions("value_stats")(lambda p: E.value_stats(E.pixel_metrics(p), "rmse"))
 

@@ -37,6 +37,10 @@ def gbt_predict_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, "hgb", maxIter=5, maxDepth=3)
 
 
+def mlp_predict_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir, "mlp", scaler="standard", layers=[16], maxIter=15)
+
+
 def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = split.folds(rows(spark, sf_dir), 3, group="pixel_id")
     return model.search(table, PREDICTORS, {"numTrees": [3, 5], "maxDepth": [2, 4]}, 3)[1]
@@ -49,4 +53,4 @@ def shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.importance(explain.explain(table.where("split = 'test'"), PREDICTORS, forest), PREDICTORS)
 
 
-QUERIES = {f.__name__: f for f in (rf_predict_metrics, gbt_predict_metrics, cv_search, shap_importance)}
+QUERIES = {f.__name__: f for f in (rf_predict_metrics, gbt_predict_metrics, mlp_predict_metrics, cv_search, shap_importance)}

@@ -103,6 +103,24 @@ def bin_of(value: str) -> str:
     return f"CAST(len(list_filter(e.e[2:len(e.e) - 1], lambda x: {value} > x)) AS INT)"
 
 
+def hexagons(columns: int) -> str:
+    rows = int(columns / 3**0.5)
+    return f"""b AS (SELECT min(y) AS x0, max(y) AS x1, min(p) AS y0, max(p) AS y1 FROM pred),
+    s AS (SELECT (y - x0) / ((x1 - x0) / {columns}) AS a, (p - y0) / ((y1 - y0) / {rows}) AS b FROM pred, b),
+    c AS (SELECT a, b, floor(a + 0.5) AS i, floor(b + 0.5) AS j, least(floor(a), {columns - 1}) AS k, least(floor(b), {rows - 1}) AS l FROM s),
+    h AS (SELECT *, (a - i) * (a - i) + 3.0::DOUBLE * (b - j) * (b - j) > (a - k - 0.5) * (a - k - 0.5) + 3.0::DOUBLE * (b - l - 0.5) * (b - l - 0.5) AS odd FROM c),
+    hex AS (SELECT CAST(CASE WHEN odd THEN 2 * k + 1 ELSE 2 * i END AS INT) AS hx, CAST(CASE WHEN odd THEN 2 * l + 1 ELSE 2 * j END AS INT) AS hy, count(*) AS n FROM h GROUP BY 1, 2)"""
+
+
+YEARLY = "yearly AS (SELECT pixel_id, year, make_date(year, 1, 1) AS time, avg(target) AS lai, coalesce(sum(qty), 0) AS tp, avg(disc) AS sm FROM cube WHERE year <= 2000 GROUP BY pixel_id, year)"
+_SHORT = "target IS NOT NULL AND qty IS NOT NULL"
+_WHOLE = f"{_SHORT} AND disc IS NOT NULL"
+_REDONE = "prepared LAI,prepared TP,prepared SM,cube,split"
+SCENARIOS = [
+    ("first", _REDONE, f"keep AND {_WHOLE}"), ("same", "", f"keep AND {_WHOLE}"), ("mask", _REDONE, f"code IN (0, 1, 2) AND {_WHOLE}"), ("pixels", "cube,split", f"keep AND {_WHOLE}"),
+    ("years", _REDONE, f"keep AND year BETWEEN 1996 AND 1998 AND {_WHOLE}"), ("predictors", "cube,split", f"keep AND {_SHORT}"), ("source", "prepared SM,cube,split", f"keep AND time_idx % 2 = 0 AND {_WHOLE}"),
+]
+
 SQL: dict[str, str] = {
     "scan_time_roi": cube("SELECT pixel_id, time_idx, round(target, 6) AS target FROM cube WHERE year BETWEEN 1996 AND 1998 AND lat_idx BETWEEN 0 AND 4 AND lon_idx BETWEEN 2 AND 7"),
     "lag_name_parse": "SELECT DISTINCT n_name AS name, CASE WHEN regexp_matches(upper(trim(n_name || '_LAG_' || n_regionkey)), '^[A-Z0-9_]+_LAG_[0-9]+$') THEN upper(n_name) ELSE upper(n_name || '_LAG_' || n_regionkey) END AS base, CAST(CASE WHEN regexp_matches(upper(n_name || '_LAG_' || n_regionkey), '^[A-Z0-9_]+_LAG_[0-9]+$') THEN n_regionkey ELSE 0 END AS INT) AS lag FROM nation",
@@ -220,7 +238,7 @@ SQL: dict[str, str] = {
     "training_scan": cube("SELECT c.pixel_id, c.time_idx, round(qty, 6) AS qty, round(disc, 6) AS disc, round(tax, 6) AS tax, round(target, 6) AS y FROM cube c JOIN split s ON s.pixel_id = c.pixel_id AND s.time_idx = c.time_idx WHERE split = 'train'", OBS),
     "target_year": pred("SELECT order_id, line, pixel_id FROM pred WHERE year(time) = 1997"),
     "value_stats": pred("SELECT count(rmse) AS n, round(avg(rmse), 6) AS mean, round(stddev_pop(rmse), 6) AS std, round(median(rmse), 6) AS median, round(quantile_cont(rmse, 0.05), 6) AS p05, round(quantile_cont(rmse, 0.95), 6) AS p95 FROM pixel", PIXEL),
-    "grid_pixels": "SELECT CAST(s_suppkey AS INT) AS pixel_id, CAST(s_suppkey // 72 AS INT) AS lat_idx, CAST(s_suppkey % 72 AS INT) AS lon_idx, round(-89.75::DOUBLE + (s_suppkey // 72) * 0.5::DOUBLE, 6) AS latitude, round(-179.75::DOUBLE + (s_suppkey % 72) * 0.5::DOUBLE, 6) AS longitude FROM supplier WHERE s_suppkey < 36 * 72",
+    "grid_pixels": "SELECT CAST(s_suppkey AS INT) AS pixel_id, CAST(s_suppkey // 72 AS INT) AS lat_idx, CAST(s_suppkey % 72 AS INT) AS lon_idx, round(-89.75::DOUBLE + (s_suppkey // 72) * 0.5::DOUBLE, 6) AS latitude, round(-179.75::DOUBLE + (s_suppkey % 72) * 0.5::DOUBLE, 6) AS longitude FROM supplier",
     "grid_times": cube("SELECT DISTINCT time_idx, time FROM cube"),
     "grid_check": cube("SELECT count(*) AS n_cells, CAST(min(lat_idx * 0.5 - 60) AS DOUBLE) AS lat_min, CAST(max(lon_idx * 2.0 - 100) AS DOUBLE) AS lon_max FROM cube"),
     "cube_shape": cube("SELECT (SELECT count(*) FROM pix) AS n_pixels, (SELECT count(*) FROM times) AS n_time, (SELECT count(*) FROM pix) * (SELECT count(*) FROM times) AS n_cells"),
@@ -228,6 +246,17 @@ SQL: dict[str, str] = {
     "row_folds": cube("SELECT pixel_id, time_idx, CAST((rank - 1) % 4 AS INT) AS fold FROM ranks", f"ranks AS ({ranked('pixel_id, time_idx', 42, 'cube')})"),
     "json_fields": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, '{\"k\":' || CAST(props->>'k' AS BIGINT) || '}' AS again FROM events",
     "saved_model_predictions": cube(f"SELECT count(*) AS n, 0::BIGINT AS n_different FROM cube WHERE {OK}"),
-    "run_cache": "SELECT * FROM (VALUES ('same', true), ('other', false), ('none', false)) v(scenario, current)",
-    "config_names": "SELECT 'TP' AS predictors, 'climate_monthly_anomaly_detrended' AS processed, 'random_observation_train12p5_test10_seed42' AS split, 'rf_none_random_observation_train12p5_test10_seed42' AS model",
+    "run_cache": cube(union([f"SELECT '{name}' AS scenario, '{redone}' AS redone, count(*) AS n_rows FROM cube WHERE {rows}" for name, redone, rows in SCENARIOS])),
+    "config_names": """SELECT n_nationkey, 'TP' AS predictors, processed, split, 'rf_none_' || split AS model FROM (
+      SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 1 THEN 'climate' ELSE 'nomask' END || '_monthly_' || CASE WHEN n_nationkey % 3 = 0 THEN 'anomaly' ELSE 'real' END || CASE WHEN n_nationkey % 5 = 0 THEN '_detrended' ELSE '' END AS processed,
+             'random_observation_train' || replace(printf('%g', round((n_nationkey + 1) / 32 * 100, 4)), '.', 'p') || '_test10_seed42' AS split FROM nation)""",
+    "annual_lagged": cube("SELECT a.pixel_id, CAST(a.year - 1995 AS INT) AS time_idx, a.time, round(b.tp, 6) AS value FROM yearly a LEFT JOIN yearly b ON b.pixel_id = a.pixel_id AND b.year = a.year - 2", YEARLY),
+    "annual_aligned": cube("SELECT a.pixel_id, CAST(a.year - 1995 AS INT) AS time_idx, a.time, round(a.lai, 6) AS LAI, round(a.tp, 6) AS TP, round(b.sm * 1000, 6) AS SM_LAG_1 FROM yearly a LEFT JOIN yearly b ON b.pixel_id = a.pixel_id AND b.year = a.year - 1 WHERE a.year >= 1996", YEARLY),
+    "density_hex": pred("SELECT hx, hy, n, round(log10(n), 6) AS log_n FROM hex", hexagons(30)),
+    "resampled_nearest": """WITH p AS (SELECT ((c_custkey * 37) % 1801) / 10 - 90 AS la, ((c_custkey * 101) % 3607) / 10 - 180 AS lo, c_acctbal AS v FROM customer WHERE c_acctbal IS NOT NULL),
+      near AS (SELECT p.*, CAST(floor((la + 90) / 10) AS INT) + i AS lat_idx, CAST(floor((lo + 180) / 10) AS INT) + j AS lon_idx FROM p, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+      best AS (SELECT lat_idx, lon_idx, min({'d': round(pow(la - (lat_idx * 10 - 85), 2) + pow(lo - (lon_idx * 10 - 175), 2), 9), 'la': la, 'lo': lo, 'v': v}).v AS v FROM near GROUP BY 1, 2),
+      grid AS (SELECT CAST(g // 36 AS INT) AS lat_idx, CAST(g % 36 AS INT) AS lon_idx FROM (SELECT unnest(range(648)) AS g))
+      SELECT lat_idx, lon_idx, round(coalesce(v, 0), 6) AS v FROM grid LEFT JOIN best USING (lat_idx, lon_idx)""",
+    "array_scan": cube("SELECT time_idx, lat_idx, lon_idx, round(qty, 6) AS value FROM cube WHERE time_idx BETWEEN 12 AND 35 AND qty IS NOT NULL"),
 }
