@@ -122,11 +122,21 @@ def build_split(stages: Stages, data: dict, train: dict, cube: Stage) -> Stage:
 
 
 def train_final(stages: Stages, train: dict, table: Stage) -> Stage:
-    options = {k: train.get(k) for k in ("model", "scaler", "seed", "params")}
+    """The model, trained with its ``params`` or, with ``search`` (``space``, ``draws``, ``folds``, ``metric``), the
+    best of the draws; those are written as ``cv_results``, the best first."""
+    options = {k: train.get(k) for k in ("model", "scaler", "seed", "params", "search")}
 
     def build(path: str) -> None:
-        info = load_json(stages.spark, f"{table.path}/dataset_metadata")
-        fitted = model.train(load_training(stages.spark, table.path, "train"), info["feature_names"], train["model"], train["scaler"], train["seed"], **train.get("params", {}))
+        names = load_json(stages.spark, f"{table.path}/dataset_metadata")["feature_names"]
+        rows = load_training(stages.spark, table.path, "train")
+        if how := train.get("search"):
+            dealt = split.folds(rows, how.get("folds", 5), train["seed"], group="pixel_id")
+            metric = how.get("metric", "rmse")
+            fitted, results = model.search(dealt, names, how["space"], how.get("draws", 25), train["model"], metric, train["seed"], train["scaler"])
+            place = F.row_number().over(C.Window.orderBy(F.desc(f"{metric}_mean") if metric == "r2" else F.asc(f"{metric}_mean"), "draw"))
+            model.write_csv(results.withColumn("rank", place), f"{path}/cv_results", ["rank"])  # a row a draw
+        else:
+            fitted = model.train(rows, names, train["model"], train["scaler"], train["seed"], **train.get("params", {}))
         model.save_run(fitted, options | {"table": table.key}, path)
 
     return stages.make("model", options, {"table": table}, build, model_run_name(train))

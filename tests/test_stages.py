@@ -76,6 +76,14 @@ def test_a_second_period_has_its_own_model(spark, tmp_path):
     assert found[0][0] >= years[0] * 100 - 300 and found[0][1] < 199700 and found[1][0] > 199700
 
 
+def test_a_search_writes_its_results(spark, tmp_path):
+    SC.write_cube(long_cube(spark, names=("LAI", "TP")), f"file://{tmp_path}/cube")
+    search = {"space": {"numTrees": [1, 2], "maxDepth": [1, 2]}, "draws": 2, "folds": 2}
+    made = workflow.run(spark, {"data": {"target": "LAI", "predictors": ["TP"]}, "train": {"test_fraction": 0.2, "search": search}}, f"file://{tmp_path}/cube", f"file://{tmp_path}/runs", grid(spark))
+    rows = spark.read.csv(f"{made['model']}/cv_results", header=True, inferSchema=True).orderBy("rank").collect()
+    assert 1 <= len(rows) <= 2 and [r.rmse_mean for r in rows] == sorted(r.rmse_mean for r in rows) and "maxDepth" in rows[0].params
+
+
 def test_workflow_from_a_file(spark, tmp_path):
     SC.write_cube(long_cube(spark), f"file://{tmp_path}/cube")
     pixels = grid(spark)
