@@ -260,3 +260,34 @@ SQL: dict[str, str] = {
       SELECT lat_idx, lon_idx, round(coalesce(v, 0), 6) AS v FROM grid LEFT JOIN best USING (lat_idx, lon_idx)""",
     "array_scan": cube("SELECT time_idx, lat_idx, lon_idx, round(qty, 6) AS value FROM cube WHERE time_idx BETWEEN 12 AND 35 AND qty IS NOT NULL"),
 }
+
+
+def frames(tables: dict[str, tuple[str, str]]) -> str:
+    """Of each table (its SQL, and its columns of counts and numbers) the rows and the sums' logarithm."""
+    total = lambda columns: " + ".join(f"coalesce(sum({c})::DOUBLE, 0)" for c in columns.split())
+    return union([f"SELECT '{name}' AS frame, count(*) AS n_rows, round(ln(abs({total(columns)}) + 1), 6) AS log_sum FROM ({sql})" for name, (sql, columns) in tables.items()])
+
+
+def _hist(value: str, source: str) -> str:
+    return f"SELECT CAST(least(floor((v - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM (SELECT {value} AS v FROM {source}), (SELECT min({value}) AS lo, max({value}) AS hi FROM {source}) WHERE v IS NOT NULL GROUP BY 1"
+
+
+_SUMMARY = "n_pixels n_valid_r2 n_null_r2 r2_mean rmse_mean mae_mean variance_mean r2_median r2_p05 r2_p95 rmse_median mae_median"
+_FIT, _STATS = "n rmse mae r2 bias slope intercept pearson_r", "n mean std median p05 p95"
+_HEX = pred("SELECT hx, hy, n, round(log10(n), 6) AS log_n FROM hex", hexagons(60))
+SQL["spatial_bundle_frames"] = frames(
+    {
+        "metrics": (SQL["fit_metrics"], _FIT), "pixels": (SQL["pixel_metrics"], "n rmse mae r2 y_variance"), "summary": (SQL["pixel_metrics_summary"], _SUMMARY),
+        "density": (_HEX, "n log_n"), "error_bins": (SQL["error_bins"], "n mean_true mae mape"),
+        **{f"map_{m}": (SQL["metric_map"].replace("coalesce(r2", f"coalesce({m}").replace("AS r2 FROM pix ", f"AS {m} FROM pix "), m) for m in ("r2", "rmse", "mae")},
+        **{f"hist_{m}": (pred(_hist(m, "pixel"), PIXEL), "n") for m in ("r2", "rmse", "mae")},
+        **{f"stats_{m}": (f"SELECT * FROM ({SQL['spatial_bundle']}) WHERE metric = '{m}'", _STATS) for m in ("r2", "rmse", "mae")},
+    }
+)
+SQL["observation_bundle_frames"] = frames(
+    {
+        "metrics": (SQL["fit_metrics"], _FIT), "by_time": (SQL["obs_metrics_by_time"], "n rmse mae bias"), "pixels": (SQL["pixel_obs_summary"], "n mean_abs_error rmse mean_residual"),
+        "error_bins": (SQL["error_bins"], "n mean_true mae mape"), "residual_bins": (SQL["residual_bins"], "n mean_residual"), "ape": (SQL["ape_hist"], "n"),
+        "hist_residual": (pred(_hist("p - y", "pred")), "n"), "stats_residual": (SQL["observation_bundle"], _STATS), "density": (_HEX, "n log_n"),
+    }
+)
