@@ -13,7 +13,7 @@ so order is found without gathering the table.
 Defined results for odd input: a null text is empty, with the fingerprint ``3::``; equal
 fingerprints have likeness 1; signatures shorter than seven characters count for less,
 in proportion, as they prove little; documents that repeat an id follow each other in
-order of text; a null id is the smallest; ids are 64-bit whole numbers; a single document
+order of a hash of their texts; a null id is the smallest; ids are 64-bit whole numbers; a single document
 is its own next; texts of any length are taken whole, one in a task at once; an empty table
 gives none; columns beside those named are not kept, so none can clash.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -103,27 +104,39 @@ def neighbours(docs: DataFrame) -> DataFrame:
     part is a copy (``extra`` 1) of the first document of the part that follows.
 
     Parts are ranges of ids as doubles, which keep the order of longs but not all their
-    digits; within a part, and to find its first document, ids are compared as longs."""
+    digits; within a part, and to find its first document, ids are compared as longs. Documents that
+    repeat an id, or have none, follow each other in order of a hash of their texts, and where they
+    fill a part they are cut by ranges of it."""
     spark = docs.sparkSession
     n = partitions(spark)
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     # the bitwise complement turns the order round and never overflows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.bitwise_not(low).alias("__key"))
-    rows = rows.withColumn("__about", F.col("__key").cast("double"))
+    rows = rows.withColumns({"__about": F.col("__key").cast("double"), "__h": F.xxhash64("text")})
     if rows.select("__key").isEmpty():
         return rows.select(F.lit(0).alias("part"), F.lit(0).alias("extra"), "doc_id", "text")
     cuts = rows.agg(F.percentile_approx("__about", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="__about", outputCol="__part").transform(rows).withColumn("__part", F.col("__part").cast("int"))
-    # a row per part: no more than there are shuffle partitions
-    heads = [(r[0], r[1]) for r in dealt.groupBy("__part").agg(F.min("__key")).orderBy("__part").collect()]
-    before = spark.createDataFrame([(part, key, heads[i - 1][0]) for i, (part, key) in enumerate(heads)], "__part int, __key long, __back int")
-    marked = dealt.join(F.broadcast(before), ["__part", "__key"], "left")
+    # a row per part: no more than there are shuffle partitions, or twice as many where ids are cut
+    found = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), (F.min("__key") == F.max("__key")).alias("one")).orderBy("__part").collect()
+    share, first, cut = max(sum(r["n"] for r in found) / n, 1.0), 0, []
+    for r in found:
+        into = ceil(r["n"] / share) if r["one"] else 1
+        cut.append((r["__part"], first, into))
+        first += into
+    if first > len(cut):
+        own = F.least(F.floor((F.col("__h").cast("double") / 2.0**64 + 0.5) * F.col("__into")).cast("int"), F.col("__into") - 1)
+        cut = spark.createDataFrame(cut, "__part int, __first int, __into int")
+        dealt = dealt.join(F.broadcast(cut), "__part").withColumn("__part", F.col("__first") + own).drop("__first", "__into")
+    heads = [(r[0], *r[1]) for r in dealt.groupBy("__part").agg(F.min(F.struct("__key", "__h"))).orderBy("__part").collect()]
+    before = spark.createDataFrame([(part, key, h, heads[i - 1][0]) for i, (part, key, h) in enumerate(heads)], "__part int, __key long, __h long, __back int")
+    marked = dealt.join(F.broadcast(before), ["__part", "__key", "__h"], "left")
     own = F.struct(F.col("__part").alias("part"), F.lit(0).alias("extra"))
     copy = F.struct(F.col("__back").alias("part"), F.lit(1).alias("extra"))
     spread = marked.withColumn("__to", F.explode(F.when(F.col("__back").isNotNull(), F.array(own, copy)).otherwise(F.array(own))))
-    spread = spread.select("__to.part", "__to.extra", "doc_id", "text", "__key", F.col("doc_id").isNull().alias("__none"))
-    return spread.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", "__key", "__none", "text").drop("__key", "__none")
+    spread = spread.select("__to.part", "__to.extra", "doc_id", "text", "__key", "__h", F.col("doc_id").isNull().alias("__none"))
+    return spread.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", "__key", "__h", "__none", "text").drop("__key", "__h", "__none")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"

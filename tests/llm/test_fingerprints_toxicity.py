@@ -63,6 +63,18 @@ def test_neighbours_of_ids_that_doubles_cannot_tell_apart(spark):
         assert got[i].next_fingerprint == brute.fingerprint(order[(k + 1) % len(order)][1]), i
 
 
+def test_many_rows_without_an_id_are_cut(spark):
+    rows = [(None, f"text {i} " * (i % 7 + 9)) for i in range(600)] + [(i, f"named {i} " * 9) for i in range(300)] + [(-5, f"same {i} " * 8) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts = fingerprints.neighbours(df).where("extra = 0").groupBy("part").count().collect()
+    assert sum(r["count"] for r in parts) == 1200 and max(r["count"] for r in parts) < 600
+    order = [r.text for r in df.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    after = dict(zip(order, [*order[1:], order[0]], strict=True))
+    got = fingerprints.edited_fingerprints(df).collect()
+    want = sorted((str(i), fingerprints.fingerprint(t), fingerprints.fingerprint(after[t])) for i, t in rows)
+    assert sorted((str(r.doc_id), r.fingerprint, r.next_fingerprint) for r in got) == want
+
+
 def test_neighbours_of_repeated_and_unnamed_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (None, "z")], "doc_id long, text string")
     assert fingerprints.edited_fingerprints(df).count() == 4
