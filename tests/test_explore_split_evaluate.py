@@ -101,7 +101,7 @@ def test_forest_explanations_add_up(spark, table, tmp_path):
 
 def test_models_by_name_and_saved(spark, table, tmp_path):
     with pytest.raises(ValueError):
-        model.build_model("mlp")
+        model.build_model("svm")
     rows = table.where("y IS NOT NULL")
     fitted = model.train(rows, ["a", "b"], "rf", "standard", numTrees=2, maxDepth=2)
     model.save_run(fitted, {"model": "rf"}, f"file://{tmp_path}/m")
