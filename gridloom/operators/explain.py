@@ -9,7 +9,7 @@ the share of training rows that passed. Rows are explained a batch at a time in
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from math import factorial
 
 import numpy as np
@@ -22,6 +22,10 @@ from gridloom.operators.split import head_sample, stratified_sample
 from gridloom.sources.cube import save_json
 
 
+#: Rows and leaves of a block, whose arrays stay in a core's cache.
+ROWS, LEAVES = 256, 32
+
+
 @dataclass(frozen=True)
 class Leaf:
     """The tested features, per feature the open interval (low, high] that the path allows
@@ -62,52 +66,84 @@ def leaves(model: PipelineModel, folder: str) -> list[Leaf]:
     return out
 
 
-def shapley(x: np.ndarray, forest: list[Leaf]) -> np.ndarray:
-    """One value per row and feature, in a leaf's depth squared.
+@dataclass(frozen=True)
+class Stack:
+    """Leaves that test equally many features, one in a row of each array."""
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def stacked(forest: list[Leaf]) -> list[Stack]:
+    """The forest as a few arrays, which are what tasks are sent; leaves without tests move nothing."""
+    by_size: dict[int, list[Leaf]] = {}
+    for leaf in forest:
+        by_size.setdefault(len(leaf.features), []).append(leaf)
+    names = [f.name for f in fields(Stack)]
+    return [Stack(*(np.array([getattr(leaf, n) for leaf in some]) for n in names)) for d, some in sorted(by_size.items()) if d]
+
+
+def shapley(x: np.ndarray, forest: list[Leaf] | list[Stack]) -> np.ndarray:
+    """One value per row and feature, in a leaf's depth squared, for blocks of leaves and rows.
 
     A leaf's tests make a polynomial, the product over its features of share + inside * t,
     whose coefficients weigh the sets of known features by their number. It is extended feature by
     feature once, and each feature is unwound from it by a division: where the row is inside,
     from the highest coefficient down, all features at once; elsewhere by the share."""
     out = np.zeros(x.shape)
-    for leaf in forest:
-        d = len(leaf.features)
-        if not d:
-            continue
-        inside = ((x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)).T.astype(float)
-        share = leaf.share[:, None]
-        e = np.zeros((d + 1, len(x)))
-        e[0] = 1
-        for k in range(d):
-            e[1 : k + 2] = e[1 : k + 2] * share[k] + e[: k + 1] * inside[k]
-            e[0] *= share[k]
-        weight = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
-        left = np.broadcast_to(e[d], inside.shape)
-        known = weight[d - 1] * left
-        for s in range(d - 1, 0, -1):
-            left = e[s] - share * left
-            known = known + weight[s - 1] * left
-        outside = (np.array(weight) @ e[:d])[None, :] / share
-        np.add.at(out.T, leaf.features, leaf.value * (inside - share) * np.where(inside > 0, known, outside))
+    stacks = stacked(forest) if forest and isinstance(forest[0], Leaf) else forest
+    for s, r in ((s, r) for s in stacks for r in range(0, len(x), ROWS)):
+        for k in range(0, len(s.value), LEAVES):
+            out[r : r + ROWS] += _moved(x[r : r + ROWS], Stack(*(getattr(s, f.name)[k : k + LEAVES] for f in fields(s))))
     return out
 
 
+def _moved(x: np.ndarray, s: Stack) -> np.ndarray:
+    """What a block of leaves moves; arrays are by feature of a leaf, leaf and row."""
+    at = s.features.T
+    d = len(at)
+    low, high, share = (a.T[:, :, None] for a in (s.low, s.high, s.share))
+    v = x.T[at]
+    inside = ((v > low) & (v <= high)).astype(float)
+    e = np.zeros((d + 1, *v.shape[1:]))
+    e[0] = 1
+    for k in range(d):
+        e[1 : k + 2] = e[1 : k + 2] * share[k] + e[: k + 1] * inside[k]
+        e[0] *= share[k]
+    weight = np.array([factorial(n) * factorial(d - 1 - n) / factorial(d) for n in range(d)])
+    left = np.broadcast_to(e[d], inside.shape)
+    known = weight[d - 1] * left
+    for n in range(d - 1, 0, -1):
+        left = e[n] - share * left
+        known = known + weight[n - 1] * left
+    outside = np.tensordot(weight, e[:d], 1)[None] / share
+    moved = s.value[None, :, None] * (inside - share) * np.where(inside > 0, known, outside)
+    of = (np.arange(x.shape[1])[:, None] == at.ravel()).astype(float)
+    return (of @ moved.reshape(-1, len(x))).T
+
+
 def base_value(forest: list[Leaf]) -> float:
     """What is predicted when nothing is known: the value of the empty set."""
     return float(sum(leaf.value * np.prod(leaf.share) for leaf in forest))
 
 
-def explain(rows: DataFrame, predictors: list[str], forest: list[Leaf]) -> DataFrame:
-    """The rows with ``shap_<predictor>``; they add up to prediction minus base."""
+def explain(rows: DataFrame, predictors: list[str], forest: list[Leaf], parts: int | None = None) -> DataFrame:
+    """The rows with ``shap_<predictor>``; they add up to prediction minus base. With ``parts``
+    they are dealt to so many tasks first: a row costs as much as the forest has leaves, and
+    a small sample often comes in one part."""
     added = [f"shap_{p}" for p in predictors]
-    schema = rows.withColumns({a: F.lit(0.0) for a in added}).schema
+    schema, stacks = rows.withColumns({a: F.lit(0.0) for a in added}).schema, stacked(forest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[added] = shapley(b[predictors].to_numpy(float), forest)
+            b[added] = shapley(b[predictors].to_numpy(float), stacks)
             yield b
 
-    return rows.drop(*added).mapInPandas(run, schema)
+    dealt = rows.repartition(parts) if parts else rows
+    return dealt.drop(*added).mapInPandas(run, schema)
 
 
 def worst_row(explained: DataFrame, predictors: list[str], error: str = "abs_error", keys: tuple[str, ...] = ("pixel_id", "time_idx")) -> DataFrame:
@@ -135,7 +171,7 @@ def run(rows: DataFrame, model: PipelineModel, predictors: list[str], folder: st
     spark = rows.sparkSession
     sample = stratified_sample(rows, group, list(keys), max_per_group, fraction, max_total, seed) if group else head_sample(rows, list(keys), max_total, seed)
     forest = leaves(model, f"{folder}/forest")
-    explain(sample, predictors, forest).write.mode("overwrite").parquet(f"{folder}/values")
+    explain(sample, predictors, forest, spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{folder}/values")
     values = spark.read.parquet(f"{folder}/values")
     if values.isEmpty():
         raise ValueError("no rows were chosen to be explained")

@@ -118,6 +118,13 @@ def stratified_sample(df: DataFrame, group: str, keys: list[str], max_per_group:
     return ranked(some, seed + 1, keys).where(F.col("rank") <= cap).drop("rank", "total")
 
 
+def category_sample(df: DataFrame, category: str, keys: list[str], most: int = 2000, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows of each category, the first in hash order; the category is part
+    of the hash, so samples of different categories are drawn apart. Rows without one are left out."""
+    drawn = ranked(df.where(F.col(category).isNotNull()), seed, [category, *keys], [category])
+    return drawn.where(F.col("rank") <= most).drop("rank", "total")
+
+
 def head_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows in hash order."""
     return df.orderBy(stable_order(seed, *keys), *keys).limit(n)

@@ -458,6 +458,24 @@ def _(spark, sf_dir):
     return C.misaligned(p.where("code < 3"), p.where("code > 1"))
 
 
+@query("category_pixels")
+def _(spark, sf_dir):
+    return S.category_sample(pixels(spark, sf_dir), "code", ["pixel_id"], 5).select("code", "pixel_id")
+
+
+@query("metadata_files")
+def _(spark, sf_dir):
+    """What is known of each variable, written and read back in both forms of the file."""
+    counts = fixture(spark, sf_dir).agg(*[F.count(v).alias(v) for v in VARIABLES]).first()
+    entries = {v: {"path": f"{v}.parquet", "n": counts[v]} for v in VARIABLES}
+    rows = []
+    for form, value in (("nested", {"title": "cube", "variables": entries}), ("flat", {"title": "cube", "grid": {"rows": 1}, **entries})):
+        path = learning.scratch(spark)
+        SC.save_json(spark, value, path)
+        rows += [(form, name, e["path"], e["n"]) for name, e in SC.variables_of(SC.load_json(spark, path)).items()]
+    return spark.createDataFrame(rows, "form string, variable string, path string, n long")
+
+
 @query("row_folds")
 def _(spark, sf_dir):
     return S.folds(fixture(spark, sf_dir).select("pixel_id", "time_idx"), 4)

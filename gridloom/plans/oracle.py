@@ -181,6 +181,10 @@ SQL: dict[str, str] = {
     "group_folds": cube("SELECT pixel_id, CAST((rank - 1) % 5 AS INT) AS fold FROM ranks", f"ranks AS ({ranked('pixel_id', 42, 'pix')})"),
     "train_test_export": cube("SELECT split, c.pixel_id, lat_idx, lon_idx, c.time_idx, round(qty, 6) AS qty, round(disc, 6) AS disc, round(tax, 6) AS tax, round(target, 6) AS y FROM cube c JOIN split s ON s.pixel_id = c.pixel_id AND s.time_idx = c.time_idx WHERE split IS NOT NULL", OBS),
     "export_stats": cube("SELECT split, count(*) AS n, count(DISTINCT pixel_id) AS n_pixels, min(time_idx) AS time_min, max(time_idx) AS time_max FROM split WHERE split IS NOT NULL GROUP BY split", OBS),
+    "category_pixels": cube("SELECT code, pixel_id FROM ranks WHERE rank <= 5", f"ranks AS ({ranked('code, pixel_id', 42, 'pix', 'code')})"),
+    "metadata_files": cube("SELECT form, variable, variable || '.parquet' AS path, n FROM (SELECT 'nested' AS form UNION ALL SELECT 'flat') CROSS JOIN (" + union([f"SELECT '{v}' AS variable, count({v}) AS n FROM cube" for v in VARIABLES]) + ")"),
+    "shap_adds_up": cube(f"SELECT CAST(least(greatest(1, round_even(count(*) * 0.2::DOUBLE, 0)), count(*) - 1) AS BIGINT) AS n, 0::BIGINT AS n_off FROM cube WHERE {OK}"),
+    "shap_groups": cube("SELECT label, n, 3::BIGINT AS n_features, CAST(sum(n) OVER () AS BIGINT) AS n_rows FROM found", f"found AS (SELECT label, CASE WHEN count(*) >= 2000 THEN 1000 ELSE greatest(1, CAST(floor(count(*) * 0.5) AS BIGINT)) END AS n FROM cube WHERE {OK} GROUP BY label)"),
     "stratified_sample": cube("SELECT pixel_id, code FROM (" + ranked("pixel_id", 43, "picked") + ") WHERE rank <= 20", f"ranks AS ({ranked('pixel_id', 42, 'pix', 'code')}), picked AS (SELECT pixel_id, code FROM ranks WHERE rank <= CASE WHEN total >= 16 THEN 8 ELSE greatest(1, floor(total * 0.5)) END)"),
     "head_sample": cube("SELECT pixel_id, code FROM pix ORDER BY md5('42:' || pixel_id), pixel_id LIMIT 10"),
     "global_metrics": pred(f"SELECT {CORE}, round({R2}, 6) AS r2 FROM pred"),
