@@ -155,3 +155,19 @@ def test_arrays_are_written_read_and_cut(spark, tmp_path):
 def test_the_worst_row_names_its_features(spark):
     rows = spark.createDataFrame([(1, 0, 0.5, 1.0, 0.1, -0.7), (2, 0, 3.0, 2.0, -0.2, 0.1), (3, 0, float("nan"), 9.0, 9.0, 9.0)], "pixel_id int, time_idx int, abs_error double, a double, shap_a double, shap_b double").withColumn("b", F.col("a") * 2)
     assert [(r.pixel_id, r.feature, r["rank"]) for r in explain.worst_row(rows, ["a", "b"]).orderBy("rank").collect()] == [(2, "a", 1), (2, "b", 2)]
+
+
+def test_shapley_in_blocks_is_the_sum_over_leaves():
+    rng = np.random.default_rng(3)
+
+    def leaf(d):
+        low = rng.normal(size=d) - 1
+        return explain.Leaf(np.sort(rng.choice(5, d, replace=False)), low, low + 2, rng.uniform(0.1, 1, d), rng.normal())
+
+    forest = [leaf(d) for d in rng.integers(0, 6, 3 * explain.LEAVES + 5)]
+    x = rng.normal(size=(explain.ROWS + 7, 5))
+    x[3, 2] = np.nan
+    one_by_one = sum(explain.shapley(x, [leaf]) for leaf in forest)
+    np.testing.assert_allclose(explain.shapley(x, forest), one_by_one, atol=1e-9)
+    assert not explain.shapley(x, []).any() and not explain.shapley(x, [leaf(0)]).any()
+    assert explain.shapley(x[:0], forest).shape == (0, 5)
