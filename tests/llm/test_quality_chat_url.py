@@ -92,6 +92,13 @@ def test_rules_compiled_and_joined_agree(spark, monkeypatch):
         assert [(r.url, r.host, r.path, r.rule, r.rule_verdict) for r in got] == URLS
 
 
+def test_rules_are_those_of_the_contract(spark):
+    rows = [(1, "http://a.org/"), (2, "http://example.org/es/x"), (3, "https://a.example.org/en/12"), (4, "http://example.org/en/2"), (5, "http://a.com/fr/"), (6, "http://a.com/de/1")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()}
+    assert got == {1: ("org/", "allow"), 2: ("example.org/es/", "block"), 3: ("example.org/en/1", "block"), 4: ("org/", "allow"), 5: ("com/fr/", "allow"), 6: ("com/de/", "block")}
+
+
 def test_trust_and_distrust_follow_links(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">t</a>' for h in hosts)
     rows = [(1, "http://good.org/", link("friend.net")), (2, "http://friend.net/", link("good.org")), (3, "http://spam.net/", link("bad.com")), (4, "http://bad.com/de/1", link("bad.com")), (5, "http://alone.net/", None), (6, None, link("bad.com"))]
