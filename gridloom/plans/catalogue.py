@@ -440,7 +440,8 @@ def _(spark, sf_dir):
 @query("grid_check")
 def _(spark, sf_dir):
     c = _place(fixture(spark, sf_dir)).select("pixel_id", "time_idx", "latitude", "longitude")
-    SC.check_grid(c)
+    low, high = (pixels(spark, sf_dir).agg(f("lat_idx")).first()[0] or 0 for f in (F.min, F.max))
+    SC.check_grid(c, low * 0.5 - 60, high * 0.5 - 60, -100, 9 * 2.0 - 100)  # as many rows as the pixels need
     return c.agg(F.count(F.lit(1)).alias("n_cells"), F.min("latitude").alias("lat_min"), F.max("longitude").alias("lon_max"))
 
 

@@ -336,9 +336,10 @@ def to_wide(long: DataFrame, variables: list[str], keys: list[str]) -> DataFrame
     return long.groupBy(*keys).pivot("variable", variables).agg(F.first("value"))
 
 
-def check_grid(df: DataFrame) -> None:
-    """Raises where coordinates are out of range or cells repeat."""
-    odd = F.count_if((F.abs("latitude") > 90) | (F.abs("longitude") > 180))
+def check_grid(df: DataFrame, south: float = -90, north: float = 90, west: float = -180, east: float = 180) -> None:
+    """Raises where coordinates are out of range or cells repeat. The range is the globe's, unless the
+    grid's own is given, which may be in other units than degrees."""
+    odd = F.count_if(~F.col("latitude").between(south, north) | ~F.col("longitude").between(west, east))
     if df.agg(odd).first()[0]:
         raise ValueError("coordinates out of range")
     if not df.groupBy(*KEYS).count().where("count > 1").isEmpty():

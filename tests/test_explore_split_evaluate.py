@@ -8,6 +8,8 @@ from gridloom.operators import evaluate as E
 from gridloom.operators import explain, model
 from gridloom.operators import explore as X
 from gridloom.operators import split as S
+from gridloom.plans import catalogue
+from gridloom.sources import cube as SC
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +109,18 @@ def test_models_by_name_and_saved(spark, table, tmp_path):
     model.save_run(fitted, {"model": "rf"}, f"file://{tmp_path}/m")
     a, b = (model.predict(m, rows).agg(F.sum("y_pred")).first()[0] for m in (fitted, model.load_run(f"file://{tmp_path}/m")))
     assert a == pytest.approx(b)
+
+
+def test_grid_check_of_a_grid_beyond_the_poles(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 240.0, -82.0), (2, 0, -60.0, -100.0)], "pixel_id long, time_idx int, latitude double, longitude double")
+    SC.check_grid(cells, -60, 240, -100, -82)
+    for bad, bounds in ((cells, ()), (cells, (-60, 239.5, -100, -82)), (cells, (-60, 240, -99, -82)), (cells.union(cells), (-60, 240, -100, -82))):
+        with pytest.raises(ValueError):
+            SC.check_grid(bad, *bounds)
+    # suppliers enough for more than 300 rows of ten, which half a degree each takes past the pole
+    data = "/root/testdata/sf0.001"
+    for name in ("nation", "region", "lineitem"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{data}/supplier.parquet").crossJoin(spark.range(2).select("id")).withColumn("s_suppkey", F.col("s_suppkey") + F.col("id") * 5000).drop("id").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.QUERIES["grid_check"](spark, str(tmp_path)).first()
+    assert got.lat_min == -60 and got.lon_max == -82 and got.n_cells > 0
