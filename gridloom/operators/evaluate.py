@@ -160,18 +160,31 @@ def quantile_edges(df: DataFrame, value: str, n: int) -> list[float]:
     return sorted(set(quantiles(df, value, [i / n for i in range(n + 1)]).get(None, [])))
 
 
-def bin_of(value: str, edges: list[float]) -> Column:
-    """The bin's number: right-closed, the lowest edge in the first; NULL outside."""
+#: Aggregates that differ by less than this share are equal: sums in another order differ by so much.
+ROUNDING = 1e-12
+
+
+def bin_of(value: str, edges: list[float], rounding: float = 0.0) -> Column:
+    """The bin's number: right-closed, the lowest edge in the first; NULL outside. What is above an
+    edge by no more than the share ``rounding`` is at it."""
     c = F.col(value)
     number = F.lit(0)
     for e in edges[1:-1]:
-        number = number + F.when(c > e, 1).otherwise(0)
-    return F.when(c.between(edges[0], edges[-1]), number) if len(edges) > 1 else F.lit(None).cast("int")
+        number = number + F.when(c > e + abs(e) * rounding, 1).otherwise(0)
+    inside = c.between(edges[0] - abs(edges[0]) * rounding, edges[-1] + abs(edges[-1]) * rounding) if edges else None
+    return F.when(inside, number) if len(edges) > 1 else F.lit(None).cast("int")
 
 
 def binned_summary(df: DataFrame, value: str, metric: str = "r2", bins: int = 8) -> DataFrame:
-    edges = quantile_edges(df, value, bins)
-    dealt = df.withColumn("bin", bin_of(value, edges)).where("bin IS NOT NULL")
+    """Of bins of equal count of ``value``, an aggregate as ``metric`` is: their size and means. The rows are
+    written once to a scratch folder, since sums are not the same each time they are made, and
+    values that are equal but for the order of a sum share a bin."""
+    df = settled(df.select(value, metric))
+    edges: list[float] = []
+    for e in quantile_edges(df, value, bins):
+        if not edges or e > edges[-1] + abs(e) * ROUNDING:
+            edges.append(e)
+    dealt = df.withColumn("bin", bin_of(value, edges, ROUNDING)).where("bin IS NOT NULL")
     middle = df.sparkSession.createDataFrame([(g, q[0]) for g, q in quantiles(dealt, metric, [0.5], "bin").items()], "bin int, median double")
     return dealt.groupBy("bin").agg(F.count(metric).alias("n"), F.avg(value).alias("mean_value"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std")).join(middle, "bin", "left")
 

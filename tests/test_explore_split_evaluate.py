@@ -124,3 +124,13 @@ def test_grid_check_of_a_grid_beyond_the_poles(spark, tmp_path):
     spark.read.parquet(f"{data}/supplier.parquet").crossJoin(spark.range(2).select("id")).withColumn("s_suppkey", F.col("s_suppkey") + F.col("id") * 5000).drop("id").write.parquet(f"{tmp_path}/supplier.parquet")
     got = catalogue.QUERIES["grid_check"](spark, str(tmp_path)).first()
     assert got.lat_min == -60 and got.lon_max == -82 and got.n_cells > 0
+
+
+def test_bins_of_aggregates_equal_but_for_rounding(spark):
+    """Eight values ten times each, which differ in their last bits: a bin has all ten."""
+    rng = random.Random(4)
+    noisy = [(k + 1.1) * (1 + rng.choice([-1, 0, 1, 2]) * 2e-16) for k in range(8) for _ in range(10)]
+    for n in (8, 4, 16):
+        got = {r.bin: (r.n, round(r.mean_value, 6)) for r in E.binned_summary(spark.createDataFrame([(v, 1.0) for v in noisy], "v double, r2 double"), "v", bins=n).collect()}
+        plain = {r.bin: (r.n, round(r.mean_value, 6)) for r in E.binned_summary(spark.createDataFrame([(round(v, 6), 1.0) for v in noisy], "v double, r2 double"), "v", bins=n).collect()}
+        assert got == plain and all(k % 10 == 0 for k, _ in got.values()) and sum(k for k, _ in got.values()) == 80
