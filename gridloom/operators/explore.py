@@ -144,10 +144,16 @@ def lagged_correlations(df: DataFrame, target: str, predictors: list[str], steps
     return out.withColumns({"lag": F.regexp_extract(parts, r"_LAG_(\d+)$", 1).cast("int"), "predictor": F.regexp_replace(parts, r"_LAG_\d+$", "")}).drop("place")
 
 
+def _strength() -> Column:
+    """What correlations are ranked by: below six digits they differ by the order of the sums, as of
+    two pairs, which correlate by 1 or -1 whatever they are."""
+    return F.round(F.abs("r"), 6)
+
+
 def best_lag(df: DataFrame, target: str, predictors: list[str], steps: list[int]) -> DataFrame:
-    """The lag of the strongest correlation of each predictor, the first among equals."""
+    """The lag of the strongest correlation of each predictor, the first among equals to six digits."""
     found = lagged_correlations(df, target, predictors, steps)
-    w = Window.partitionBy("predictor").orderBy(F.desc_nulls_last(F.abs("r")), "lag")
+    w = Window.partitionBy("predictor").orderBy(F.desc_nulls_last(_strength()), "lag")
     return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -165,8 +171,8 @@ def spatial_correlation_summary(df: DataFrame, target: str, predictors: list[str
 
 def strongest(found: DataFrame, by: list[str]) -> DataFrame:
     """The predictor of the largest absolute correlation of each group, the first listed
-    among equals; merged before the shuffle. Groups without any have NULL and code 0."""
-    key = F.struct(F.abs("r").alias("s"), (-F.col("place")).alias("o"), "predictor", "r")
+    among equals to six digits; merged before the shuffle. Groups without any have NULL and code 0."""
+    key = F.struct(_strength().alias("s"), (-F.col("place")).alias("o"), "predictor", "r")
     best = found.groupBy(*by).agg(F.max(F.when(F.col("r").isNotNull(), key)).alias("b"))
     return best.select(*by, F.col("b.predictor").alias("predictor"), F.col("b.r").alias("r"), F.coalesce(-F.col("b.o") + 1, F.lit(0)).alias("dominant_code"))
 

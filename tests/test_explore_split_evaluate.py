@@ -134,3 +134,14 @@ def test_bins_of_aggregates_equal_but_for_rounding(spark):
         got = {r.bin: (r.n, round(r.mean_value, 6)) for r in E.binned_summary(spark.createDataFrame([(v, 1.0) for v in noisy], "v double, r2 double"), "v", bins=n).collect()}
         plain = {r.bin: (r.n, round(r.mean_value, 6)) for r in E.binned_summary(spark.createDataFrame([(round(v, 6), 1.0) for v in noisy], "v double, r2 double"), "v", bins=n).collect()}
         assert got == plain and all(k % 10 == 0 for k, _ in got.values()) and sum(k for k, _ in got.values()) == 80
+
+
+def test_correlations_equal_to_six_digits_are_ties(spark):
+    found = spark.createDataFrame([(1, "a", 0, 1 - 3e-16), (1, "b", 1, -1.0), (2, "a", 0, 0.5), (2, "b", 1, 0.50001)], "k int, predictor string, place int, r double")
+    assert {r.k: (r.predictor, r.dominant_code) for r in X.strongest(found, ["k"]).collect()} == {1: ("a", 1), 2: ("b", 2)}
+
+
+def test_lags_equal_to_six_digits_are_ties(spark, monkeypatch):
+    found = spark.createDataFrame([("a", 0, 0.25), ("a", 1, 1 - 3e-16), ("a", 2, 1.0)], "predictor string, lag int, r double")
+    monkeypatch.setattr(X, "lagged_correlations", lambda *_: found)
+    assert X.best_lag(found, "y", ["a"], [0, 1, 2]).first().lag == 1
