@@ -284,22 +284,33 @@ def nearest_cells(points: DataFrame, step: float, n_lat: int, n_lon: int) -> Dat
     return points.withColumns({"lat_idx": F.when(inside, lat), "lon_idx": F.when(inside, lon)}).withColumn("pixel_id", F.col("lat_idx") * n_lon + F.col("lon_idx"))
 
 
+#: Grids of up to so many cells are sent to all tasks, some 50 MB.
+BROADCAST_CELLS = 1_000_000
+
+
 def resample_nearest(points: DataFrame, value: str, grid: DataFrame, step: float, fill: float | None = None) -> DataFrame:
     """``grid`` (``lat_idx, lon_idx, latitude, longitude`` of cell centres ``step`` apart) with the ``value`` of the
     nearest of ``points`` (``latitude, longitude`` and the value): of those in the cell, on its edge or in the eight
     cells around it, by distance in degrees, then from the south, the west, and the least value;
     ``fill`` where there are none. A point goes to the cells around it, so the grid is
-    joined once and no pair of far ones is made."""
+    joined once and no pair of far ones is made. The least distance of each cell is found first, as
+    a number, which is hashed and not sorted; the points at that distance, few or at few
+    places, are compared in full."""
+    place, distance = ["lat_idx", "lon_idx"], ["lat_idx", "lon_idx", "d"]
     lat0, lon0 = (F.min(F.col(c) - F.lit(step) * F.col(i)) for c, i in (("latitude", "lat_idx"), ("longitude", "lon_idx")))
-    origin = grid.agg(lat0.alias("__lat0"), lon0.alias("__lon0"))
+    *origin, n_cells = grid.agg(lat0, lon0, F.count(F.lit(1))).first()
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     known = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col(value).isNotNull())
-    dealt = known.crossJoin(F.broadcast(origin)).withColumn("__near", around)  # one row
-    cell = [F.floor((F.col(c) - F.col(o)) / step + 0.5).cast("int") + F.col(f"__near.{k}") for c, o, k in (("latitude", "__lat0", "i"), ("longitude", "__lon0", "j"))]
-    centre = [F.col(o) + F.lit(step) * c for o, c in zip(("__lat0", "__lon0"), cell, strict=True)]
+    start = [F.lit(o).cast("double") for o in origin]
+    cell = [F.floor((F.col(c) - o) / step + 0.5).cast("int") + F.col(f"__near.{k}") for c, o, k in zip(("latitude", "longitude"), start, "ij", strict=True)]
+    centre = [o + F.lit(step) * c for o, c in zip(start, cell, strict=True)]
     far = F.pow(F.col("latitude") - centre[0], F.lit(2)) + F.pow(F.col("longitude") - centre[1], F.lit(2))
-    found = dealt.groupBy(cell[0].alias("lat_idx"), cell[1].alias("lon_idx")).agg(F.min(F.struct(F.round(far, 9).alias("d"), "latitude", "longitude", F.col(value).alias("v"))).alias("__s"))
-    out = grid.join(found, ["lat_idx", "lon_idx"], "left")
+    dealt = known.withColumn("__near", around).select(cell[0].alias("lat_idx"), cell[1].alias("lon_idx"), F.round(far, 9).alias("d"), "latitude", "longitude", F.col(value).alias("v"))
+    least = dealt.groupBy(*place).agg(F.min("d").alias("d")).join(grid.select(*place), place, "left_semi")
+    nearest = dealt.join(F.broadcast(least) if n_cells <= BROADCAST_CELLS else least, distance)
+    at_once = nearest.groupBy(*distance, "latitude", "longitude").agg(F.min("v").alias("v"))  # points of one place
+    found = at_once.groupBy(*place).agg(F.min(F.struct("latitude", "longitude", "v")).alias("__s"))
+    out = grid.join(found, place, "left")
     return out.withColumn(value, F.coalesce(F.col("__s.v"), F.lit(fill)) if fill is not None else F.col("__s.v")).drop("__s")
 
 

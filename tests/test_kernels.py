@@ -127,6 +127,20 @@ def test_resampling_takes_the_nearest_point(spark):
         assert r.v == (min(own)[3] if own else -1.0)
 
 
+def test_resampling_hashes_distances_and_breaks_ties(spark, monkeypatch):
+    """Ties go south, west, then to the least value; no plan sorts all points in a task to find a cell's least."""
+    points = spark.createDataFrame([(x, y, v) for x, y in ((1.25, 1.0), (0.75, 1.0), (1.0, 0.75)) for v in (3.0, 2.0)], "latitude double, longitude double, v double")
+    grid = spark.createDataFrame([(1, 1, 1.0, 1.0), (1, 2, 1.0, 2.0)], "lat_idx int, lon_idx int, latitude double, longitude double")
+    for limit in (C.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(C, "BROADCAST_CELLS", limit)
+        got = C.resample_nearest(points, "v", grid, 1.0)
+        assert {(r.lat_idx, r.lon_idx): r.v for r in got.collect()} == {(1, 1): 2.0, (1, 2): 2.0}
+    plan = C.resample_nearest(points, "v", grid, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct(d" not in plan
+    empty = grid.limit(0)
+    assert C.resample_nearest(points, "v", empty, 1.0).count() == 0
+
+
 def test_arrays_are_written_read_and_cut(spark, tmp_path):
     rng = random.Random(7)
     cells = [(t, i, j, rng.random() if (t + i + j) % 4 else None) for t in range(30) for i in range(4) for j in range(5) if (t, i) != (7, 2)]
