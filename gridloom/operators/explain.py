@@ -2,8 +2,8 @@
 
 The path-dependent values of a forest are sums over its leaves: a leaf whose path tests d
 features gives each of them a share that depends only on which tests the row passes and on
-the share of training rows that passed. Rows are explained a batch at a time in
-``mapInPandas``; the tree table is as large as the model, not as the data.
+the share of training rows that passed. Rows are explained by the cells that the forest's cuts
+make, a batch of cells at a time in ``mapInPandas``; the tree table is as large as the model, not as the data.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.split import head_sample, stratified_sample
@@ -130,20 +130,40 @@ def base_value(forest: list[Leaf]) -> float:
     return float(sum(leaf.value * np.prod(leaf.share) for leaf in forest))
 
 
+def _cell_of(value: Column, cuts: list[float]) -> Column:
+    """How many cuts are below the value; what passes no test, as no number, is in cell -1."""
+    v = value.cast("double")
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < v)) if cuts else F.lit(0)
+    return F.when(v.isNull() | F.isnan(v) | (v == float("-inf")), -1).otherwise(below)
+
+
 def explain(rows: DataFrame, predictors: list[str], forest: list[Leaf], parts: int | None = None) -> DataFrame:
-    """The rows with ``shap_<predictor>``; they add up to prediction minus base. With ``parts``
-    they are dealt to so many tasks first: a row costs as much as the forest has leaves, and
-    a small sample often comes in one part."""
+    """The rows with ``shap_<predictor>``; they add up to prediction minus base.
+
+    Rows that are between the same cuts of the forest in every predictor pass the same tests, so
+    each such cell is explained once and its rows get its values by a join: a cell costs as much as
+    the forest has leaves, and a forest of three predictors in 32 bins has 32,768 cells, however many
+    rows there are. The cells are dealt to ``parts`` tasks, as many as the cluster runs at once unless given."""
     added = [f"shap_{p}" for p in predictors]
-    schema, stacks = rows.withColumns({a: F.lit(0.0) for a in added}).schema, stacked(forest)
+    names, stacks = rows.withColumns({a: F.lit(0.0) for a in added}).columns, stacked(forest)
+    cuts: list[set[float]] = [set() for _ in predictors]
+    for s in stacks:
+        for bounds in (s.low, s.high):
+            for j in np.unique(s.features):
+                cuts[j] |= set(np.unique(bounds[(s.features == j) & np.isfinite(bounds)]).tolist())
+    keys = [f"__cell_{i}" for i in range(len(predictors))]
+    dealt = rows.drop(*added).withColumns({k: _cell_of(F.col(p), sorted(c)) for k, p, c in zip(keys, predictors, cuts, strict=True)})
+    some = [f"__some_{i}" for i in range(len(predictors))]  # any value of the cell stands for it
+    cells = dealt.groupBy(*keys).agg(*(F.min(F.col(p).cast("double")).alias(v) for p, v in zip(predictors, some, strict=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[added] = shapley(b[predictors].to_numpy(float), stacks)
-            yield b
+            b[added] = shapley(b[some].to_numpy(float), stacks)
+            yield b[keys + added]
 
-    dealt = rows.repartition(parts) if parts else rows
-    return dealt.drop(*added).mapInPandas(run, schema)
+    schema = ", ".join([*(f"{k} int" for k in keys), *(f"`{a}` double" for a in added)])
+    values = cells.repartition(parts or rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
+    return dealt.join(values, keys).select(*(f"`{n}`" for n in names))
 
 
 def worst_row(explained: DataFrame, predictors: list[str], error: str = "abs_error", keys: tuple[str, ...] = ("pixel_id", "time_idx")) -> DataFrame:

@@ -145,3 +145,24 @@ def test_lags_equal_to_six_digits_are_ties(spark, monkeypatch):
     found = spark.createDataFrame([("a", 0, 0.25), ("a", 1, 1 - 3e-16), ("a", 2, 1.0)], "predictor string, lag int, r double")
     monkeypatch.setattr(X, "lagged_correlations", lambda *_: found)
     assert X.best_lag(found, "y", ["a"], [0, 1, 2]).first().lag == 1
+
+
+def test_rows_of_one_cell_are_explained_once(spark, tmp_path):
+    """Rows between the same cuts of a forest share their values, also such as pass no test; only cells go to Python."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (300, 2))
+    data = spark.createDataFrame([(float(a), float(b), float(2 * a - b)) for a, b in x], "a double, b double, y double")
+    forest = explain.leaves(model.train(data, ["a", "b"], "rf", numTrees=4, maxDepth=4), f"file://{tmp_path}/forest")
+    odd = [(None, 0.0), (float("nan"), 1.0), (float("-inf"), float("inf")), (0.5, 0.5), (0.5, 0.5), (1e300, -1e300)]
+    asked = [(i, a, b, "old") for i, (a, b) in enumerate([*odd, *((float(a), float(b)) for a, b in x)])]
+    cuts = sorted({float(c) for leaf in forest for f, lo, hi in zip(leaf.features, leaf.low, leaf.high, strict=True) if f == 0 for c in (lo, hi) if np.isfinite(c)})
+    asked += [(len(asked) + i, c, c, "old") for i, c in enumerate(cuts)]
+    rows = spark.createDataFrame(asked, "id int, a double, b double, shap_a string").repartition(3)
+    out = explain.explain(rows, ["a", "b"], forest)
+    assert out.columns == ["id", "a", "b", "shap_a", "shap_b"]
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[1]
+    got = {r.id: (r.shap_a, r.shap_b) for r in out.collect()}
+    want = explain.shapley(np.array([[np.nan if v is None else v for v in r[1:3]] for r in asked]), forest)
+    assert len(got) == len(asked)
+    np.testing.assert_allclose([got[r[0]] for r in asked], want, atol=1e-12)
+    assert explain.explain(rows, ["a", "b"], []).where("shap_a = 0 AND shap_b = 0").count() == len(asked)
