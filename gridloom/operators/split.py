@@ -22,6 +22,8 @@ def valid_pixels(df: DataFrame, variables: list[str], min_fraction: float = 0.0)
 def valid_observations(df: DataFrame, variables: list[str], min_fraction: float = 0.0) -> DataFrame:
     """The complete cells of valid pixels."""
     ok = all_finite(*variables)
+    if min_fraction <= 0:  # a pixel with a complete cell is valid
+        return df.where(ok)
     share = F.avg(ok.cast("int")).over(Window.partitionBy("pixel_id"))
     return df.withColumn("__share", share).where(ok & (F.col("__share") >= min_fraction)).drop("__share")
 

@@ -22,6 +22,8 @@ from gridloom.sources.config import load_toml, model_run_name, processed_run_nam
 from gridloom.sources.cube import KEYS, combined_mask, load_json, parse_variable, read_bucketed, read_variable, save_json, time_resolution, write_bucketed
 from gridloom.sources.fingerprint import files_fingerprint, table_fingerprint
 
+#: Some 50 MB in memory; a global grid of half a degree has 259,200.
+BROADCAST_PIXELS = 1_000_000
 DATA = ("roi", "start_year", "end_year", "resolution", "value_type", "detrend")
 
 
@@ -67,9 +69,11 @@ def prepare(stages: Stages, data: dict, source: str, mask: DataFrame | None = No
 
 def prepared_cube(spark: SparkSession, variables: dict[str, str], pixels: DataFrame) -> DataFrame:
     """The prepared variables side by side, on the pixels' places. ``variables``: their folders. They
-    are kept in buckets of their cells, so they are joined where they are."""
+    are kept in buckets of their cells, so they are joined where they are, and places of up to
+    ``BROADCAST_PIXELS`` are sent there."""
     tables = [read_bucketed(spark, f"{path}/data").select(*KEYS, *(["time"] if i == 0 else []), F.col("value").alias(v)) for i, (v, path) in enumerate(variables.items())]
-    return reduce(lambda a, b: a.join(b, KEYS), tables).join(pixels.select("pixel_id", "lat_idx", "lon_idx"), "pixel_id")
+    places = pixels.select("pixel_id", "lat_idx", "lon_idx")
+    return reduce(lambda a, b: a.join(b, KEYS), tables).join(F.broadcast(places) if places.count() <= BROADCAST_PIXELS else places, "pixel_id")
 
 
 def save_training(table: DataFrame, cube: DataFrame, target: str, predictors: list[str], split_table: DataFrame, train: dict, folder: str) -> dict:

@@ -323,9 +323,10 @@ def spine(pixels: DataFrame, times: DataFrame) -> DataFrame:
     return pixels.crossJoin(F.broadcast(span)).withColumn("time_idx", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
 
 
-def densify(cells: DataFrame, pixels: DataFrame) -> DataFrame:
-    """``cells`` with a row for every pixel and step; what was not there is NULL."""
-    return spine(pixels, cells.select("time_idx")).join(cells, KEYS, "left")
+def densify(cells: DataFrame, pixels: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """``cells`` with a row for every pixel and step; what was not there is NULL. ``times``: where the
+    first and last step are read, if the cells themselves are costly to make."""
+    return spine(pixels, (cells if times is None else times).select("time_idx")).join(cells, KEYS, "left")
 
 
 def to_long(wide: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:

@@ -29,11 +29,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int")
+    return table(spark, sf_dir, "lineitem").withColumn("time_idx", step)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("pixel_id"), step.alias("time_idx"))
+        _lines(spark, sf_dir)
+        .groupBy(F.col("l_suppkey").alias("pixel_id"), "time_idx")
         .agg(F.avg("l_extendedprice").alias("target"), F.avg("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"))
     )
 
@@ -41,7 +45,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel by month, dense, with one column per variable."""
     time = F.make_date(F.lit(1995) + F.floor(F.col("time_idx") / 12).cast("int"), F.col("time_idx") % 12 + 1, F.lit(1))
-    return densify(cells(spark, sf_dir), pixels(spark, sf_dir)).withColumn("time", time)
+    return densify(cells(spark, sf_dir), pixels(spark, sf_dir), _lines(spark, sf_dir)).withColumn("time", time)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from gridloom.operators import split as S
 from gridloom.plans import workflow
 from gridloom.plans.stages import Stages
 from gridloom.sources import cube as SC
+from gridloom.sources import fixtures
 from gridloom.sources.config import resolve_data
 from gridloom.sources.fingerprint import files_fingerprint, table_fingerprint
 
@@ -173,3 +174,23 @@ def test_lag_files_stay_when_new_ones_are_not_sound(spark, tmp_path, monkeypatch
     assert back.count() == 3 * 2 * 6 * 24 and {p.name for p in tmp_path.iterdir()} == {"lags"}
     monkeypatch.setattr(C, "lags", whole)
     assert C.write_lags(long_cube(spark), path, [3]).count() == 3 * 6 * 24
+
+
+def test_no_shuffle_of_cells_that_is_not_needed(spark, tmp_path, monkeypatch):
+    """Places are sent to the cells' buckets, which are kept; a split of all pixels needs no window; the steps of a
+    fixture are read from its lines and not from cells made twice."""
+    cells = spark.range(40).select((F.col("id") % 8).alias("pixel_id"), (F.col("id") / 8).cast("int").alias("time_idx"), F.make_date(F.lit(2000), F.lit(1), F.lit(1)).alias("time"), F.when(F.col("id") != 3, F.col("id") * 1.0).alias("value"))
+    for v in ("A", "B"):
+        SC.write_bucketed(cells, f"file://{tmp_path}/{v}/data", SC.KEYS)
+    places = spark.range(8).select(F.col("id").alias("pixel_id"), F.lit(0).alias("lat_idx"), F.col("id").cast("int").alias("lon_idx")).repartition(2)
+    made = {}
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(workflow, "BROADCAST_PIXELS", limit)
+        out = workflow.prepared_cube(spark, {v: f"file://{tmp_path}/{v}" for v in ("A", "B")}, places)
+        made[limit] = (sorted(map(tuple, out.collect()), key=str), out._jdf.queryExecution().optimizedPlan().toString())
+    assert made[0][0] == made[1_000_000][0] and len(made[0][0]) == 40
+    assert "strategy=broadcast" in made[1_000_000][1] and "strategy=broadcast" not in made[0][1]
+    kept = S.valid_observations(cells, ["value"])
+    assert kept.count() == 39 and "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    plan = fixtures.cube(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [l_suppkey") == 1
