@@ -112,8 +112,10 @@ def fit_report(predicted: DataFrame, classes: int = 20) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, keys: list[str], limit: int = 20_000) -> None:
-    """A small table as one CSV file: the first ``limit`` rows by ``keys``."""
-    df.orderBy(*keys).limit(limit).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """A small table as one CSV file: the first ``limit`` rows by ``keys``, NULL last as in SQL; rows of
+    equal keys go by their other columns, so a cut between them is the same in every run."""
+    order = [*keys, *(c for c in df.columns if c not in keys)]
+    df.orderBy(*(F.asc_nulls_last(f"`{c}`") for c in order)).limit(limit).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def save_run(model: PipelineModel, info: dict, folder: str) -> None:

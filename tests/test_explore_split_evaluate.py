@@ -166,3 +166,10 @@ def test_rows_of_one_cell_are_explained_once(spark, tmp_path):
     assert len(got) == len(asked)
     np.testing.assert_allclose([got[r[0]] for r in asked], want, atol=1e-12)
     assert explain.explain(rows, ["a", "b"], []).where("shap_a = 0 AND shap_b = 0").count() == len(asked)
+
+
+def test_a_cut_between_equal_keys_does_not_hang_on_the_order_of_rows(spark, tmp_path):
+    rows = [(None, 1, 0.5), *((1, 2, v) for v in (4.0, None, 1.0, 3.0, 2.0)), (0, 9, 7.0)]
+    for given in (rows, rows[::-1], sorted(rows[1:], key=lambda r: -(r[2] or 0)) + rows[:1]):
+        model.write_csv(spark.createDataFrame(given, "a int, b int, v double").repartition(3), f"file://{tmp_path}/t", ["a", "b"], 4)
+        assert [(r.a, r.v) for r in spark.read.csv(f"file://{tmp_path}/t", header=True, inferSchema=True).collect()] == [(0, 7.0), (1, 1.0), (1, 2.0), (1, 3.0)]
