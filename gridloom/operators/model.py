@@ -7,7 +7,7 @@ import random
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from gridloom.functions.quantiles import quantiles_of
 from gridloom.functions.stats import all_finite, safe_divide
 from gridloom.operators.evaluate import global_metrics
+from gridloom.operators.forest import Forest
 from gridloom.operators.perceptron import Perceptron
 from gridloom.sources.cube import save_json
 
 MODELS = {
-    "rf": (RandomForestRegressor, {"numTrees": 200, "featureSubsetStrategy": "sqrt", "maxDepth": 10}),
+    "rf": (Forest, {"numTrees": 200, "featureSubsetStrategy": "sqrt", "maxDepth": 10}),
     "hgb": (GBTRegressor, {"maxIter": 200, "stepSize": 0.1, "minInstancesPerNode": 20}),
     "mlp": (Perceptron, {"layers": [128, 64]}),
 }

@@ -1,17 +1,19 @@
 """Slopes, perceptron, hexagons, resampling and arrays against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from gridloom.functions import quantiles as Q
 from gridloom.functions.slopes import inversions, median_slope
 from gridloom.operators import cube as C
 from gridloom.operators import evaluate as E
-from gridloom.operators import explain, model, perceptron
+from gridloom.operators import explain, forest, model, perceptron
 from gridloom.sources import npy
 
 
@@ -185,3 +187,39 @@ def test_shapley_in_blocks_is_the_sum_over_leaves():
     np.testing.assert_allclose(explain.shapley(x, forest), one_by_one, atol=1e-9)
     assert not explain.shapley(x, []).any() and not explain.shapley(x, [leaf(0)]).any()
     assert explain.shapley(x[:0], forest).shape == (0, 5)
+
+
+def test_forest_of_cells_is_the_forest_of_rows(spark, monkeypatch, tmp_path):
+    """Without drawing, the trees of pyspark.ml; with it, samples of as many rows and as good a forest, in jobs whose number does not grow with depth."""
+    monkeypatch.setattr(forest, "DRAWS", 0)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 7, (3000, 2))
+    y = x[:, 0] * (x[:, 1] - 2.5) + rng.normal(0, 1, 3000)
+    data = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double").repartition(3).cache()
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data)
+    told = lambda m: [re.sub(r"(?<=Predict: ).*", lambda v: f"{float(v[0]):.9f}", line) for line in m.toDebugString.split("\n")[1:]]
+    plain = {"labelCol": "y", "predictionCol": "y_pred", "seed": -5, "maxBins": 16}
+    for least, depth in ((1, 6), (40, 4)):
+        whole = {**plain, "numTrees": 2, "bootstrap": False, "featureSubsetStrategy": "all", "maxDepth": depth, "minInstancesPerNode": least}
+        got, want = forest.Forest(**whole).fit(rows), RandomForestRegressor(**whole).fit(rows)
+        assert told(got) == told(want) and got.totalNumNodes > 20
+        assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray())
+        got.write().save(f"file://{tmp_path}/{least}")
+        rawly = spark.read.parquet(f"file://{tmp_path}/{least}/data").select("nodeData.*").where("id = 0").first()
+        assert rawly.rawCount == 3000 and rawly.impurityStats == pytest.approx([3000, y.sum(), (y * y).sum()])
+    jobs = []
+    for depth in (3, 8):
+        spark.sparkContext.setJobGroup(f"forest {depth}", "")
+        fitted = model.train(data, ["a", "b"], "rf", numTrees=40, maxDepth=depth, maxBins=16)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest {depth}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    said = {"cells": fitted, "rows": model.pipeline(["a", "b"], RandomForestRegressor(**plain, numTrees=40, maxDepth=8, featureSubsetStrategy="sqrt")).fit(data)}
+    r2 = {k: E.global_metrics(model.predict(m, data)).first().r2 for k, m in said.items()}
+    assert r2["cells"] == pytest.approx(r2["rows"], abs=0.01) and r2["cells"] > 0.9
+    fitted.stages[-1].write().save(f"file://{tmp_path}/drawn")
+    roots = [r.rawCount for r in spark.read.parquet(f"file://{tmp_path}/drawn/data").select("nodeData.*").where("id = 0").collect()]
+    assert len(set(roots)) > 20 and all(abs(r - 3000) < 5 * 3000**0.5 for r in roots)
+    leaves = explain.leaves(fitted, f"file://{tmp_path}/again")
+    off = explain.explain(model.predict(fitted, data), ["a", "b"], leaves).where(F.abs(F.col("shap_a") + F.col("shap_b") + explain.base_value(leaves) - F.col("y_pred")) > 1e-6)
+    assert off.isEmpty()
