@@ -42,27 +42,26 @@ def leaves(model: PipelineModel, folder: str) -> list[Leaf]:
     """The leaves of a fitted forest, read from the model as Spark saves it."""
     forest = model.stages[-1]
     forest.write().overwrite().save(folder)
-    nodes = SparkSession.active().read.parquet(f"{folder}/data").select("treeID", "nodeData.*").collect()
+    node = SparkSession.active().read.parquet(f"{folder}/data").select("treeID", "nodeData.*")
+    cut = F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")
+    nodes = node.select("treeID", "id", "prediction", "rawCount", "leftChild", "rightChild", "split.featureIndex", cut).toArrow().sort_by([("treeID", "ascending"), ("id", "ascending")])
+    trees, prediction, count, left, right, feature, cuts = (nodes[c].to_numpy() for c in nodes.column_names if c != "id")
     weights = list(forest.treeWeights)
     if type(forest).__name__.startswith("RandomForest"):
         weights = [1 / len(weights)] * len(weights)
-    by_tree: dict[int, dict[int, object]] = {}
-    for n in nodes:
-        by_tree.setdefault(n["treeID"], {})[n["id"]] = n
     out: list[Leaf] = []
-    for tree, table in by_tree.items():
-        stack = [(0, {})]
+    for root in np.flatnonzero(np.diff(trees, prepend=-1)):  # a tree's nodes are numbered from 0
+        stack = [(root, {})]
         while stack:
             at, path = stack.pop()
-            n = table[at]
-            if n["leftChild"] < 0:
+            if left[at] < 0:
                 f = sorted(path)
-                out.append(Leaf(np.array(f, int), *(np.array([path[j][i] for j in f]) for i in range(3)), n["prediction"] * weights[tree]))
+                out.append(Leaf(np.array(f, int), *(np.array([path[j][i] for j in f]) for i in range(3)), float(prediction[at]) * weights[trees[at]]))
                 continue
-            j, cut = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
+            j, cut = int(feature[at]), float(cuts[at])
             low, high, share = path.get(j, (-np.inf, np.inf, 1.0))
-            for child, bounds in ((n["leftChild"], (low, min(high, cut))), (n["rightChild"], (max(low, cut), high))):
-                stack.append((child, path | {j: (*bounds, share * table[child]["rawCount"] / n["rawCount"])}))
+            for child, bounds in ((root + left[at], (low, min(high, cut))), (root + right[at], (max(low, cut), high))):
+                stack.append((child, path | {j: (*bounds, share * float(count[child] / count[at]))}))
     return out
 
 
